@@ -30,7 +30,6 @@ WORD_REFERENCE = {
 }
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.45
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
@@ -45,15 +44,20 @@ def repeated_words(words: Column) -> Column:
     adds the words up to the next repeated window, three at most.
     """
     n = F.size(words)
-    windows = F.array_sort(F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i"))))
-    starts = lambda w: F.array_sort(F.transform(F.filter(w, lambda x, k: (
-        (x["h"] == F.get(w, k - 1)["h"]) | (x["h"] == F.get(w, k + 1)["h"]))), lambda x: x["i"]))
-    covered = lambda s: F.aggregate(
-        s, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-3).alias("last")),
-        lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(3), i - acc["last"])).cast("long").alias("sum"), i.alias("last")))["sum"]
-    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  evaluates value once
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(bound(windows, lambda w: bound(starts(w), covered)))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  evaluates value once
+    none = F.lit(0).cast("long")
+
+    def covered(hashes: Column) -> Column:
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        starts = lambda o: F.sort_array(F.transform(F.filter(o, lambda x, k: (
+            (x["h"] == F.get(o, k - 1)["h"]) | (x["h"] == F.get(o, k + 1)["h"]))), lambda x: x["i"]))
+        total = F.aggregate(
+            once(ordered, starts), F.struct(none.alias("sum"), F.lit(-3).alias("last")),
+            lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(3), i - acc["last"])).cast("long").alias("sum"), i.alias("last")))["sum"]
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(total)
+
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    return F.when(n < 4, none).otherwise(once(hashes, covered))
 
 
 def js_distance(counts: Column, reference: tuple[float, ...]) -> Column:
@@ -75,14 +79,12 @@ def quality_signals(docs: DataFrame, text: str = "text", char_reference=None, wo
     char_reference, word_reference = char_reference or CHAR_REFERENCE, word_reference or WORD_REFERENCE
     t = F.coalesce(F.col(text), F.lit(""))
     vocabulary = sorted({w for words in word_reference.values() for w in words})
-    without = lambda chars: F.char_length(F.translate(t, chars, ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     classes = [F.char_length(F.regexp_replace(t, p, "")) for p in CHAR_PATTERN]
     out = docs.withColumns({"_w": words_of(F.col(text)), "_l": lines, "_lw": F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != "")})
     out = out.withColumns({
         "n_words": F.size("_w").cast("long"),
-        "word_chars": without(SPACE_CHARS).cast("long"),
-        "n_symbols": (F.char_length(t) - without("#*$%&|<>")).cast("long"),
+        "n_symbols": F.char_length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_w")),
         "n_chars": F.char_length(t).cast("long"),
@@ -98,7 +100,7 @@ def quality_signals(docs: DataFrame, text: str = "text", char_reference=None, wo
         own = F.array(*[F.col("_times")[vocabulary.index(w)] for w in known])
         return F.concat(own, F.array(F.col("n_letter_words") - F.aggregate(own, F.lit(0.0), lambda a, x: a + x)))
 
-    out = out.withColumn("_classes", classes_of)
+    out = out.withColumns({"_classes": classes_of, "word_chars": (F.col("n_chars") - F.col("_known")[CHAR_CLASSES.index("space")]).cast("long")})
     out = out.withColumns({
         "js_chars": F.when(F.col("n_chars") > 0, F.array(*[js_distance(F.col("_classes"), r) for r in char_reference.values()])),
         "js_words": F.when(F.col("n_letter_words") > 0, F.array(*[js_distance(word_counts(k), (*k.values(), 100.0 - sum(k.values()))) for k in word_reference.values()])),
