@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import quality
+from lorekeep.llm import neardup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLES = {"op6_quality_rules": _op6_sql()}
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OP10_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+top AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(top.other, w.doc_id)) AS component_id,
+  w.doc_id = least(w.doc_id, coalesce(top.other, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN top USING (doc_id)"""
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_minhash_neardup": op10_minhash_neardup}
+ORACLES = {"op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
