@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import neardup, quality
+from lorekeep.llm import neardup, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,5 +86,17 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(top.ot
   w.doc_id = least(w.doc_id, coalesce(top.other, w.doc_id)) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN top USING (doc_id)"""
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_minhash_neardup": op10_minhash_neardup}
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules, "op10_minhash_neardup": op10_minhash_neardup,
+}
 ORACLES = {"op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
