@@ -65,6 +65,10 @@ class PrefixTokens:
         self.ids = {raw(k): v for k, v in model["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        self.parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for a, b in self.rank:
+            self.parts.setdefault(a + b, (a, b))
+        self.born = {t: self.rank[ab] for t, ab in self.parts.items()}
         self.longest = max(map(len, self.ids))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -83,13 +87,32 @@ class PrefixTokens:
         return parts
 
     def fit(self, a: bytes, b: bytes) -> bool:
+        """Whether the encoding of ``a + b`` is [a, b] (of ``b`` alone: [b])."""
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) > _MEMORY:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            known = self.fits[a, b] = self._stay_apart(a, b) if a else self.merged(b) == [b]
         return known
 
+    def _stay_apart(self, a: bytes, b: bytes) -> bool:
+        """Undo the merges that made ``a`` and ``b``, latest first: did any pair across the border come up in time to merge?
+
+        Of merges of one rank the leftmost comes first, so a pair across the border precedes the making of ``b`` at a tie.
+        """
+        rank, born, parts = self.rank.get, self.born.get, self.parts
+        before = 1 << 60
+        while True:
+            if rank((a, b), before) < before:
+                return False
+            made_a, made_b = born(a, -1), born(b, -1)
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                before, a = made_a, parts[a][1]
+            else:
+                before, b = made_b + 1, parts[b][0]
+
     def word_counts(self, word: str) -> list[int]:
         """Token counts of all prefixes of a word, by character, from the empty one to the whole."""
         data = word.encode()
