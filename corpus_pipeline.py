@@ -1,26 +1,49 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and reread as the next
-stage's docs.  All stages but the last return the columns of ``documents``.
+stage's docs.  All stages but the last return the columns of their docs; whatever these are called, they travel in
+one struct past the operators' own columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorekeep.llm import quality
+from lorekeep.llm import linededup, neardup, packing, quality
 from lorekeep.plans.store import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def _carried(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.struct(*docs.columns).alias("row"), *columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs.select(*COLUMNS)).where("kept").select(*[docs[c] for c in COLUMNS])
+    return quality.quality_rules(_carried(docs, "text")).where("kept").select("row.*")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one has; those go that lose lines and have no word left."""
+    out = linededup.line_dedup(_carried(docs, "doc_id", "text"))
+    out = out.where((F.col("n_exact") + F.col("n_near") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the least id; of repeated rows, all that bear it."""
+    found = neardup.near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in sequences."""
+    return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
-#: Line dedup and packing have no SQL form.
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_dedup_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
+#: The packing of byte-pair tokens has no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import neardup, packing, quality, tokens
+from lorekeep.llm import linededup, neardup, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,11 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(top.ot
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN top USING (doc_id)"""
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -96,7 +101,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
+    "op1_line_dedup": op1_line_dedup, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules, "op10_minhash_neardup": op10_minhash_neardup,
 }
 ORACLES = {"op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
