@@ -10,7 +10,7 @@
 4. Where a group has several blocks and isn't one component after that, the members outside its main component
    meet all other blocks.  Every pair that shares a bucket is thus either connected or compared: no caps.
 
-A pair at the similarity threshold misses all bands with probability under 1e-6; the likelihood filter keeps five
+A pair at a similarity of 0.8 misses all bands with probability 5e-6, while unrelated texts seldom share one; the likelihood filter keeps five
 standard errors below the threshold.
 """
 
@@ -28,10 +28,12 @@ from lorekeep.plans.components import connected_components
 from lorekeep.plans.store import discard, materialize
 
 BASE, RATE, LIMIT = 1.2, 20.0, 255
-BANDS, BAND_ROWS = 32, 5
+BANDS, BAND_ROWS = 56, 8
 REGISTERS = BANDS * BAND_ROWS
 #: Shingles that a block of documents holds at most, about; a document counts as LIGHTEST at least.
 BLOCK_WEIGHT, LIGHTEST = 200_000, 64
+#: The ids of documents with candidates are broadcast up to this size, which their count is checked against.
+BROADCAST_BYTES = 64 << 20
 _RNG = np.random.default_rng(20210)
 _MULTIPLY = (_RNG.integers(0, 2**32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -69,27 +71,17 @@ def shingle_set(text: str | None, known: _WordHashes, size: int = 2) -> np.ndarr
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """SetSketch registers of a non-empty set; mergeable by maximum."""
-    short, least = (shingles >> np.uint64(32)).astype(np.uint32), None
-    for at in range(0, len(short), 2048):
-        low = (short[at : at + 2048, None] * _MULTIPLY + _ADD).min(axis=0)
-        least = low if least is None else np.minimum(least, low)
+    short, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(REGISTERS, 2**32 - 1, np.uint32)
+    room = np.empty((min(64, len(short)), REGISTERS), np.uint32)
+    for at in range(0, len(short), 64):
+        part = short[at : at + 64]
+        np.multiply(part[:, None], _MULTIPLY, out=room[: len(part)])
+        room += _ADD
+        np.minimum(least, room[: len(part)].min(axis=0), out=least)
     exponential = -np.log1p(-(least + 0.5) / 2**32) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LIMIT).astype(np.uint8)
 
 
-def band_keys(reg: np.ndarray) -> np.ndarray:
-    """A long for each band: its number and its registers, exactly."""
-    keys = np.arange(BANDS, dtype=np.int64)
-    for k in range(BAND_ROWS):
-        keys = keys << 8 | reg.reshape(BANDS, BAND_ROWS)[:, k]
-    return keys
-
-
-def registers_of_keys(keys: np.ndarray) -> np.ndarray:
-    """Registers (rows, REGISTERS) of band keys (rows, BANDS)."""
-    return np.stack([keys >> 8 * (BAND_ROWS - 1 - k) & 255 for k in range(BAND_ROWS)], axis=-1).reshape(len(keys), REGISTERS).astype(np.uint8)
-
-
 def likelihood_jaccard(more: np.ndarray, less: np.ndarray, same: np.ndarray, n_a, n_b) -> np.ndarray:
     """Jaccard similarity that makes the counts of greater, smaller and equal registers likeliest, given both set sizes."""
     u = np.asarray(n_a / (n_a + n_b), float)
@@ -111,16 +103,16 @@ def likelihood_jaccard(more: np.ndarray, less: np.ndarray, same: np.ndarray, n_a
 def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     known = _WordHashes()
     for batch in batches:
-        ids, n, fp1, fp2, keys = batch.column(0), [], [], [], []
+        ids, n, fp1, fp2, reg = batch.column(0), [], [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py(), known, size)
             n.append(len(s))
             fp1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             fp2.append(int(np.bitwise_xor.reduce(_mix(s * _C3)).view(np.int64)) if len(s) else 0)
-            keys.append(band_keys(registers(s)) if len(s) else None)
+            reg.append(registers(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc", "n", "fp1", "fp2", "keys"])
+            [ids, pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(reg, pa.binary())],
+            names=["doc", "n", "fp1", "fp2", "registers"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -196,7 +188,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             return None
         ids = list(rows)
         sets = [np.frombuffer(rows[k][0], np.uint64) for k in ids]
-        reg = registers_of_keys(np.array([rows[k][1] for k in ids], np.int64))
+        reg = np.stack([np.frombuffer(rows[k][1], np.uint8) for k in ids])
         found = linked_forest(sets, reg, np.array([rows[k][2] for k in ids]), [rows[k][3] for k in ids], percent)
         as_row = lambda k: {"doc": ids[k][0], "fp1": ids[k][1]}
         return pa.RecordBatch.from_pylist([{"a": as_row(i), "b": as_row(j)} for i, j in found], schema) if found else None
@@ -209,7 +201,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
                     yield out
                 rows, group = {}, key
             old = rows.get(at := (r["doc"], r["fp1"]))
-            rows[at] = (r["shingles"], r["keys"], r["probe"] or bool(old and old[2]), (r["l_doc"], r["l_fp1"]))
+            rows[at] = (r["shingles"], r["registers"], r["probe"] or bool(old and old[2]), (r["l_doc"], r["l_fp1"]))
     if (out := solved()) is not None:
         yield out
 
@@ -226,21 +218,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     features = materialize(
-        source.mapInArrow(lambda b: _features(b, shingle_words), "doc bigint, n bigint, fp1 bigint, fp2 bigint, keys array<bigint>"), "features")
+        source.mapInArrow(lambda b: _features(b, shingle_words), "doc bigint, n bigint, fp1 bigint, fp2 bigint, registers binary"), "features")
     classes = materialize(
-        features.where("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
+        features.where("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("registers").alias("registers")), "classes")
     cid = F.struct("doc", "fp1")
-    bands = classes.select(cid.alias("id"), "n", F.explode("keys").alias("key"))
+    band = lambda k: F.xxhash64(k, F.substring("registers", k * BAND_ROWS + 1, F.lit(BAND_ROWS)))
+    bands = classes.select(cid.alias("id"), "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
     pairs = materialize(
         bands.join(buckets, "key").where("id <> centre").select("centre", "id", F.greatest("n", F.lit(LIGHTEST)).alias("w")).distinct(), "pairs")
     weights = pairs.groupBy("centre").agg(F.sum("w").alias("w")).select("centre", F.ceil(F.col("w") / BLOCK_WEIGHT).cast("int").alias("blocks"))
     weights = materialize(weights, "weights")
     needed = materialize(pairs.select(F.explode(F.array("centre", "id")).alias("id")).distinct().select("id.*"), "needed")
+    wanted = needed.select("doc").distinct()
+    if needed.count() * 64 <= BROADCAST_BYTES:  # a long in a hash table; beyond that the texts are shuffled
+        wanted = F.broadcast(wanted)
     sets = materialize(
-        source.join(needed.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
-        .mapInArrow(lambda b: _sets(b, shingle_words), "doc bigint, fp1 bigint, shingles binary").dropDuplicates(["doc", "fp1"])
-        .join(classes.select("doc", "fp1", "keys"), ["doc", "fp1"]), "sets")
+        source.join(wanted, "doc", "left_semi").select("doc", "text")
+        .mapInArrow(lambda b: _sets(b, shingle_words), "doc bigint, fp1 bigint, shingles binary")
+        .join(needed, ["doc", "fp1"], "left_semi").dropDuplicates(["doc", "fp1"])
+        .join(classes.select("doc", "fp1", "registers"), ["doc", "fp1"]), "sets")
 
     def links(rows: DataFrame) -> DataFrame:
         """rows: centre, block_a, block_b, id, probe, label."""
