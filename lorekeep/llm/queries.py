@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import linededup, neardup, packing, quality, tokens
+from lorekeep.llm import licenses, linededup, neardup, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _op9_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    notices = ", ".join(f"({k}, {quoted(a)}, {quoted(b)})" for k, (a, b) in enumerate(licenses.NOTICES))
+    words = lambda c: (
+        f"list_filter(string_split_regex(translate(coalesce({c}, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.NOT_WORD}'), lambda x: x <> '')")
+    phrases = ", ".join(f"({quoted(p)}, {quoted(x)}, {len(p.split())})" for p, x in licenses.PHRASES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+n AS (SELECT t, label, {words('wording')} AS tw FROM (VALUES {notices}) v(t, label, wording)),
+ng AS (SELECT t, len(tw) AS size, unnest(range(0, len(tw) - 3)) AS p, tw FROM n),
+tg AS (SELECT t, size, p, array_to_string(tw[p + 1:p + 4], ' ') AS g FROM ng),
+dg AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS i FROM d WHERE len(w) >= 4)),
+votes AS (SELECT doc_id, t, size, i - p AS diagonal, count(DISTINCT i) AS votes FROM dg JOIN tg USING (g) GROUP BY ALL),
+stepped AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {licenses.MERGE_WITHIN} THEN 0 ELSE 1 END AS new FROM votes),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM stepped),
+islands AS (
+  SELECT doc_id, t, island, min(diagonal) AS low, max(diagonal) AS high FROM numbered GROUP BY doc_id, t, island, size
+  HAVING sum(votes) >= greatest(1, size // 10)),
+met AS (
+  SELECT doc_id, label, len(list_filter(range(0, len(tw)), lambda p: len(list_filter(range(low, high + 1), lambda e: p + e >= 0 AND w[p + e + 1] = tw[p + 1])) > 0))
+    / len(tw) AS coverage
+  FROM islands JOIN d USING (doc_id) JOIN n USING (t)),
+found AS (SELECT doc_id, list(DISTINCT label) AS more, max(coverage) AS best FROM met WHERE coverage >= {licenses.MIN_COVERAGE} GROUP BY doc_id),
+ph AS (SELECT * FROM (VALUES {phrases}) v(phrase, label, size)),
+pl AS (
+  SELECT doc_id, label, i FROM (SELECT doc_id, w, label, phrase, size, unnest(range(0, len(w) - size + 1)) AS i FROM d, ph WHERE len(w) >= size)
+  WHERE array_to_string(w[i + 1:i + size], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS marks FROM pl GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(marks), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(marks, []), coalesce(more, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -102,6 +142,6 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
-    "op6_quality_rules": op6_quality_rules, "op10_minhash_neardup": op10_minhash_neardup,
+    "op6_quality_rules": op6_quality_rules, "op9_license_scan": op9_license_scan, "op10_minhash_neardup": op10_minhash_neardup,
 }
-ORACLES = {"op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
+ORACLES = {"op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
