@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import licenses, linededup, neardup, packing, quality, tokens
+from lorekeep.llm import licenses, linededup, neardup, packing, quality, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +132,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
+FROM t"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -141,7 +154,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_line_dedup": op1_line_dedup, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
+    "op1_line_dedup": op1_line_dedup, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules, "op9_license_scan": op9_license_scan, "op10_minhash_neardup": op10_minhash_neardup,
 }
-ORACLES = {"op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
+ORACLES = {"op3_warc": _OP3_SQL, "op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
