@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import licenses, linededup, lmscore, neardup, packing, quality, tokens, warc
+from lorekeep.llm import ann, licenses, linededup, lmscore, neardup, packing, quality, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +136,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -158,7 +163,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_line_dedup": op1_line_dedup, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
+    "op1_line_dedup": op1_line_dedup, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules, "op7_lm_scoring": op7_lm_scoring, "op9_license_scan": op9_license_scan, "op10_minhash_neardup": op10_minhash_neardup,
 }
 ORACLES = {"op3_warc": _OP3_SQL, "op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
