@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, licenses, linededup, lmscore, neardup, packing, quality, tokens, warc
+from lorekeep.llm import ann, licenses, linededup, lmscore, neardup, packing, pieces, quality, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.license_scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -164,6 +168,6 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
-    "op6_quality_rules": op6_quality_rules, "op7_lm_scoring": op7_lm_scoring, "op9_license_scan": op9_license_scan, "op10_minhash_neardup": op10_minhash_neardup,
+    "op6_quality_rules": op6_quality_rules, "op7_lm_scoring": op7_lm_scoring, "op8_sentencepiece": op8_sentencepiece, "op9_license_scan": op9_license_scan, "op10_minhash_neardup": op10_minhash_neardup,
 }
 ORACLES = {"op3_warc": _OP3_SQL, "op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
