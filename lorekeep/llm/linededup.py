@@ -5,8 +5,8 @@ share a segment exactly, so each line is indexed by (segment number, own length,
 it may match, the substrings at the few offsets that can hold that segment.  Lines that share a key and whose letter
 counts allow the distance are verified by a banded bit-parallel edit distance.  Exact copies are collapsed first.
 
-Keys are hashes; a hash that meets by chance is refuted by the verification.  Lines are known by 128 bits of hash, so
-texts move only for lines that share a key.  Keys that many lines share are split into slices of bounded size, of
+Keys are hashes; a hash that meets by chance is refuted by the verification.  Lines are known by 128 bits of hash (in
+keys by 64, which pick texts of either), so texts move only for lines that share a key.  Keys that many lines share are split into slices of bounded size, of
 which each is matched alone; no pair is dropped.
 """
 
@@ -19,6 +19,8 @@ from lorekeep.plans.components import connected_components
 from lorekeep.plans.store import discard, materialize
 
 SLICE = 512
+#: The hashes of lines with candidates are broadcast up to this size, which their count is checked against.
+BROADCAST_BYTES = 64 << 20
 #: Letters whose counts the filter compares; any 32 will do.
 LETTERS = "abcdefghijklmnopqrstuvwxyz .éèäö"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -107,18 +109,19 @@ def near_line_links(occurrences: DataFrame, max_edits: int = 2, min_chars: int =
     """``(h1, h2, first, other)``: each line with a near line; first: its first occurrence; other: that of the near line."""
     line_id = F.struct("h1", "h2").alias("id")
     long_lines = occurrences.withColumn("len", F.char_length("line")).where(F.col("len") >= max(min_chars, 2 * (max_edits + 1)))
-    keys = long_lines.select("h1", "h2", F.inline(segment_keys(F.col("line"), F.col("len"), max_edits)))
+    keys = long_lines.select("h1", F.inline(segment_keys(F.col("line"), F.col("len"), max_edits)))
     keys = keys.repartition("key")  # once, for the counts and for the rows that they pick
     shared = keys.groupBy("key").agg(
-        F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high"), F.min("probe").alias("p"), F.count("*").alias("n")
+        F.min("h1").alias("low"), F.max("h1").alias("high"), F.bool_and("probe").alias("p"), F.count("*").alias("n")
     ).where("low <> high and not p").select("key", "n")
-    met = materialize(keys.join(shared, "key").select("key", "n", "h1", "h2", "probe").distinct(), "met")
-    wanted = materialize(met.select("h1", "h2").distinct(), "wanted")
+    met = materialize(keys.join(shared.hint("shuffle_hash"), "key").select("key", "n", "h1", "probe").distinct(), "met")
+    wanted = materialize(met.select("h1").distinct(), "wanted")
+    fits = wanted.count() * 64 <= BROADCAST_BYTES  # a long in a hash table; beyond that the lines are shuffled
     texts = materialize(
-        long_lines.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2")
+        long_lines.join(F.broadcast(wanted) if fits else wanted, "h1", "left_semi").groupBy("h1", "h2")
         .agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.first("line").alias("line"), F.first("len").alias("len"))
         .withColumn("sig", letter_signature(F.col("line"))), "texts")
-    sides = met.join(texts.select("h1", "h2", "len", "sig"), ["h1", "h2"]).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+    sides = met.join(texts.select("h1", "h2", "len", "sig"), "h1").withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
     own = sides.where("not probe").select(
         "key", line_id.alias("a"), F.col("len").alias("len_a"), F.col("sig").alias("sig_a"), F.pmod(F.xxhash64("h1"), F.col("slices")).cast("int").alias("slice"))
     probes = sides.select(
