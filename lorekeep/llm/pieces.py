@@ -30,7 +30,7 @@ from lorekeep.llm.tokens import tokenizer_file
 SPACE = "▁"
 CHUNK = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Characters of text that are sampled at once; a longer text is sampled alone.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 6_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -188,7 +188,7 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
     chunk = np.array([number.setdefault(c, len(number)) for p in parts for c in p], np.int64)
     sizes = np.array([len(p) for p in parts])
     if not len(chunk):
-        return [[{"pieces": [], "logp": 0.0, "gumbel": 0.0, "inclusion": 1.0}] for _ in texts]
+        return [[{"pieces": np.empty(0, np.int64), "logp": 0.0, "gumbel": 0.0, "inclusion": 1.0}] for _ in texts]
     lat = Lattice(list(number), v)
     begin = np.cumsum(sizes) - sizes
     place = np.arange(len(chunk)) - np.repeat(begin, sizes)
@@ -241,8 +241,9 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
         for r in results[t]:
             r["inclusion"] = float(-np.expm1(-np.exp(min(700.0, r["logp"] - threshold)))) if threshold > -np.inf else 1.0
             ids = lat.piece[r.pop("edges")]
-            found = ids.tolist()
-            r["pieces"] = found if not (ids < 0).any() else [x for p in found for x in ([p] if p >= 0 else v.spell(p))]
+            if (ids < 0).any():
+                ids = np.array([x for p in ids.tolist() for x in ([p] if p >= 0 else v.spell(p))], np.int64)
+            r["pieces"] = ids
     return results
 
 
@@ -252,7 +253,13 @@ def _enter(lat: Lattice, results: list, paths: list, rests: list, path: np.ndarr
     banned: edges of the step before that are taken, where more are left.
     """
     cond = lat.cond[path]
-    prefix = np.cumsum(cond) - cond
+    # noise of 53-bit draws stays below 37: a set placed far below all that can still be chosen never is, so the head suffices
+    size = max(256, 2 * fresh)
+    while True:
+        prefix = np.cumsum(cond[:size]) - cond[:size]
+        if size >= len(path) or prefix[-1] < prefix[min(fresh, len(prefix) - 1)] - 150.0:
+            break
+        size *= 4
     results.append({"edges": path, "logp": float(cond.sum()), "gumbel": value})
     paths.append((path, prefix))
     if banned:
@@ -260,21 +267,20 @@ def _enter(lat: Lattice, results: list, paths: list, rests: list, path: np.ndarr
         left = [lat.cond[e] for e in range(lat.first[node], lat.first[node + 1]) if e not in banned]
         where = prefix[fresh - 1] + np.logaddexp.reduce(left)
         rests.append((float(_below(np.array([where]), value, uniform(key, 50 * sample + 7, np.array([fresh - 1])))[0]), len(paths) - 1, fresh - 1, banned))
-    # noise of 53-bit draws stays below 37: a set placed lower than that below all that can still be chosen never is
-    steps = np.arange(fresh, len(path))
+    steps = np.arange(fresh, len(prefix))
+    node = lat.start[path[steps]]
+    steps = steps[lat.first[node + 1] - lat.first[node] > 1]
     place = prefix[steps] + np.log(-np.expm1(np.minimum(cond[steps], -1e-300)))
-    several = lat.first[lat.start[path[steps]] + 1] - lat.first[lat.start[path[steps]]] > 1
-    near = several & (place > (place[several].max() if several.any() else 0.0) - 90.0)
-    steps, place = steps[near], place[near]
     if len(steps):
         drawn = _below(place, value, uniform(key, 50 * sample + 8, steps))
         keep = np.argsort(-drawn)[:most]  # no path gives more than that
         rests.extend((float(drawn[i]), len(paths) - 1, int(steps[i]), {int(path[steps[i]])}) for i in keep)
 
 
-def decode(pieces: list[int], v: Vocabulary) -> str:
+def decode(pieces, v: Vocabulary) -> str:
     """The text of piece ids: bytes in a row are joined, the mark in front is dropped, other marks become spaces."""
-    text = "".join(v.text[i] for i in pieces)
+    pieces = np.asarray(pieces).tolist()
+    text = "".join(map(v.text.__getitem__, pieces))
     if "<0x" in text:
         byte_of = {i: b for b, i in v.byte.items()}
         raw = b"".join(bytes([byte_of[i]]) if i in byte_of else v.text[i].encode("utf-8", "surrogatepass") for i in pieces)
@@ -294,7 +300,7 @@ def _sample(batches: Iterator[pa.RecordBatch], file: str, k: int, sharpness: flo
         rows = []
         for i, text, found in zip(ids, texts, sample_texts(texts, keys, k, v), strict=True):
             for n, r in enumerate(found, 1):
-                crc = zlib.crc32(np.array(r["pieces"], "<u4").tobytes())
+                crc = zlib.crc32(r["pieces"].astype("<u4").tobytes())
                 row = (i, n, len(r["pieces"]), r["logp"], r["gumbel"], r["inclusion"], crc, decode(r["pieces"], v) == text.replace(SPACE, " "))
                 rows.append((*row, r["pieces"]) if with_pieces else row)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

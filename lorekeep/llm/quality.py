@@ -128,4 +128,6 @@ def quality_rules(
         lambda x: ((F.col("n_chars") < min_chars) | (x["js_chars"] <= max_char_distance)) & ((F.col("n_letter_words") < min_letter_words) | (x["js_words"] <= max_word_distance)))
     no_words = (F.col("n_letter_words") == 0) & (F.col("n_chars") >= min_chars) & (F.array_min("js_chars") > max_char_distance)
     verdict = F.when(F.col("n_letter_words") == 0, ~no_words).otherwise(F.coalesce(fits, F.lit(True)))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & verdict})
+    # a filter on the verdict must not sink below the projections: it would carry a copy of all expressions per use
+    here = F.monotonically_increasing_id() >= 0
+    return out.withColumns({"base_failed": failed, "kept": here & ~failed & verdict})
