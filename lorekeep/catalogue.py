@@ -98,9 +98,9 @@ def bm25_batch(spark, sf_dir):
     return search.top_k(search.scores(search.postings(docs), search.lengths(docs), terms), 5)
 
 
-@query(f"""WITH {D}, at AS (SELECT page, body, strpos(regexp_replace(lower(body), '[^a-z0-9]', ' ', 'g'), ' with ') AS p, lower(body) AS low FROM docs)
+@query(f"""WITH {D}, place AS (SELECT page, body, strpos(regexp_replace(lower(body), '[^a-z0-9]', ' ', 'g'), ' with ') AS p, lower(body) AS low FROM docs)
 SELECT page, trim(regexp_replace(substr(body, CASE WHEN regexp_matches(low, '^with([^a-z0-9]|$)') THEN 1 WHEN p > 0 THEN p + 1 WHEN regexp_matches(low, '[^a-z0-9]with$') THEN length(body) - 3 ELSE 1 END, 140), '\\s+', ' ', 'g'), ' ') AS snippet
-FROM at""".replace("\\\\", "\\"))
+FROM place""".replace("\\\\", "\\"))
 def snippet(spark, sf_dir):
     return adapters.docs_kb(spark, sf_dir).select("page", T.snippet("body", F.array(F.lit("with"))).alias("snippet"))
 

@@ -74,7 +74,7 @@ def aliases_as_stems(pages: DataFrame) -> DataFrame:
 
 def repeated_aliases(pages: DataFrame) -> DataFrame:
     """One row for each owner of an alias that is declared more than once."""
-    rows = pages.where("not is_config").select("path", T.link_stem(F.explode("aliases")).alias("key")).where("key <> ''")
+    rows = pages.where("not is_config").select("path", F.explode("aliases").alias("alias")).select("path", T.link_stem("alias").alias("key")).where("key <> ''")
     many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = rows.distinct().join(many, "key")
     return _rows(found, F.col("path"), "aliases.duplicate", F.concat_ws(" x", "key", F.col("n").cast("string")), 9)
