@@ -553,7 +553,7 @@ MSGS = "m AS (SELECT event_id AS msg_id, user_id AS session, ts, CASE WHEN event
 def _msgs(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     text = F.concat(F.when(F.col("event_type") == "purchase", "/search ").otherwise(""), "event_type")
-    return e.select(F.col("event_id").alias("msg_id"), F.col("user_id").alias("session"), "ts", text.alias("text"))
+    return e.select(F.col("event_id").alias("msg_id"), F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'search' ELSE 'prose' END AS kind, event_type AS argument FROM events")
@@ -577,16 +577,16 @@ def debounce_merge(spark, sf_dir):
     return out.join(ids, ["session", "first_ts"]).select("session", "n", "text", "first_id")
 
 
-@query("""WITH m AS (SELECT event_id, ts, user_id || event_type AS msg_id FROM events), RECURSIVE_ AS (SELECT 1)
+@query("""WITH m AS (SELECT event_id, ts, user_id || event_type AS msg_id FROM events)
 SELECT count(*) AS kept FROM (SELECT msg_id, ts FROM m QUALIFY lag(ts) OVER (PARTITION BY msg_id ORDER BY ts) IS NULL)""")
 def msg_first_seen(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"))
     return sessions.dedup_messages(e, seconds=10**9).agg(F.count("*").alias("kept"))
 
 
 @query()
 def msg_dedup(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"))
     return sessions.dedup_messages(e, seconds=86_400)
 
 

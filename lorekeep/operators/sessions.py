@@ -14,7 +14,8 @@ def dedup_messages(msgs: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
     An id's accepted messages are found by folding over its times in order: bounded by how often one id is sent.
     """
     times = msgs.groupBy("msg_id").agg(F.array_sort(F.collect_set("ts")).alias("all"))
-    step = lambda kept, t: F.when(F.size(kept) == 0, F.array(t)).when(F.unix_micros(t) - F.unix_micros(F.element_at(kept, -1)) >= seconds * 1_000_000, F.concat(kept, F.array(t))).otherwise(kept)
+    late = lambda kept, t: F.unix_micros(t) - F.unix_micros(F.try_element_at(kept, F.lit(-1))) >= seconds * 1_000_000
+    step = lambda kept, t: F.when((F.size(kept) == 0) | F.coalesce(late(kept, t), F.lit(True)), F.concat(kept, F.array(t))).otherwise(kept).cast("array<timestamp>")
     kept = times.select("msg_id", F.explode(F.aggregate("all", F.array().cast("array<timestamp>"), step)).alias("ts"))
     n = F.row_number().over(Window.partitionBy("msg_id", "ts").orderBy(*[F.col(c).cast("string") for c in msgs.columns if c not in ("msg_id", "ts")] or [F.lit(0)]))
     return msgs.withColumn("_n", n).where("_n = 1").drop("_n").join(kept, ["msg_id", "ts"], "left_semi").select(*msgs.columns)

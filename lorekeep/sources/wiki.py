@@ -75,7 +75,7 @@ def parse_pages(files: DataFrame) -> DataFrame:
     """
     keep = [c for c in ("path", "is_config", "text", "utf8", "mtime_ns", "size") if c in files.columns]
     rows = files.select(*keep, FM.parse_page("text").alias("m"))
-    error = F.col("m.error") if "utf8" not in keep else F.when(~F.col("utf8"), "not_utf8").otherwise(F.col("m.error"))
+    error = F.col("error") if "utf8" not in keep else F.when(~F.col("utf8"), "not_utf8").otherwise(F.col("error"))
     return rows.select(*keep, "m.*").withColumns({"stem": T.link_stem("path"), "strict_error": error}).drop("error")
 
 
