@@ -1,11 +1,12 @@
 """Approximate nearest neighbours: NN-descent builds a graph with Spark joins, greedy graph search answers queries.
 
-Equal vectors form one node.  Nodes get one more component that gives all the same norm, which turns the largest inner
-product into the nearest neighbour, and are kept as signed bytes; only the final ranking reads the original vectors.
+Equal vectors form one node.  The graph is one of largest inner products, not of distances: with vectors of different
+length, a graph of distances (of vectors made equally long) finds too little.  Nodes are kept as 16-bit numbers; only
+the final ranking reads the original vectors.
 
 Start: in each of several rounds random hyperplanes deal the nodes into leaves of bounded size, inside which all pairs
 are scored.  Descent: a node's neighbours and those it is a neighbour of are joined with their vectors and introduced
-to each other; pairs that beat the worst neighbour of an end are kept.  Search: from the query's own node, the best
+to each other; pairs that beat the worst neighbour of an end are kept.  Search: from the query's own node and the longest vectors, the best
 nodes not yet visited are joined with the graph, the new ones among their neighbours with the vectors, in a few hops.
 
 Every step groups by node or query and holds one group of bounded size at a time.  The hyperplanes' medians and leaf
@@ -26,7 +27,7 @@ from lorekeep.plans.store import discard, materialize
 
 NEIGHBOURS, WIDTH, ROUNDS, LEAF, DESCENTS = 48, 32, 12, 2_048, 3
 SAMPLE = 20_000
-BEAM, EXPAND, HOPS, RERANK = 96, 16, 3, 40
+BEAM, EXPAND, HOPS, RERANK, ENTRIES = 96, 16, 4, 40, 8
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -110,7 +111,7 @@ def _planes(nodes: DataFrame, rounds: int, leaf: int, seed: int):
     """Hyperplanes by round, their medians, and how many parts each dense code is dealt into."""
     total = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
-    sample = _matrix(nodes.orderBy(F.xxhash64("cid", F.lit(seed))).limit(SAMPLE).select("q").toArrow().column("q").combine_chunks(), np.int8).astype(np.float32)
+    sample = _matrix(nodes.orderBy(F.xxhash64("cid", F.lit(seed))).limit(SAMPLE).select("q").toArrow().column("q").combine_chunks(), np.int16).astype(np.float32)
     rng = np.random.default_rng(seed)
     normals = rng.standard_normal((rounds, bits, sample.shape[1])).astype(np.float32)
     cuts = np.median(np.einsum("nd,rbd->nrb", sample, normals), axis=0) if bits else np.zeros((rounds, 0))
@@ -122,7 +123,7 @@ def _planes(nodes: DataFrame, rounds: int, leaf: int, seed: int):
 
 def _deal(batches: Iterator[pa.RecordBatch], normals, cuts, power, parts) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, q = batch.column(0), _matrix(batch.column(1), np.int8).astype(np.float32)
+        ids, q = batch.column(0), _matrix(batch.column(1), np.int16).astype(np.float32)
         mixed = ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
         for r in range(len(normals)):
             code = ((q @ normals[r].T) > cuts[r]) @ power if len(power) else np.zeros(len(q), np.int64)
@@ -133,7 +134,7 @@ def _deal(batches: Iterator[pa.RecordBatch], normals, cuts, power, parts) -> Ite
 
 
 def _leaf(group: pa.RecordBatch, k: int, leaf: int) -> dict[str, np.ndarray] | None:
-    ids, q = group.column("cid").to_numpy(), _matrix(group.column("q"), np.int8).astype(np.float32)
+    ids, q = group.column("cid").to_numpy(), _matrix(group.column("q"), np.int16).astype(np.float32)
     out = {"cid": [], "other": [], "score": []}
     pieces = int(np.ceil(len(ids) / (4 * leaf)))  # a leaf denser than the sample told
     for part in np.array_split(np.arange(len(ids)), pieces):
@@ -168,7 +169,7 @@ def _circle(group: pa.RecordBatch, width: int) -> dict[str, np.ndarray] | None:
 
 
 def _introduce(group: pa.RecordBatch) -> dict[str, np.ndarray] | None:
-    ids, q = group.column("cid").to_numpy(), _matrix(group.column("q"), np.int8).astype(np.float32)
+    ids, q = group.column("cid").to_numpy(), _matrix(group.column("q"), np.int16).astype(np.float32)
     fresh, worst = group.column("fresh").to_numpy() > 0, group.column("worst").to_numpy()
     s = q @ q.T
     s[~(fresh[:, None] | fresh)] = -np.inf
@@ -204,13 +205,6 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, lea
     return graph
 
 
-def _start(group: pa.RecordBatch) -> dict[str, np.ndarray]:
-    own = group.column("cid")[0].as_py()
-    ids, scores = group.column("other").to_numpy(), group.column("score").to_numpy()
-    ids, scores = np.append(ids, own), np.append(scores, np.float32(np.inf)).astype(np.float32)  # the own node comes first, and is never left out
-    return {"cid": np.full(len(ids), own), "node": ids, "score": scores, "visited": (ids == own).astype(np.int32)}
-
-
 def _frontier(group: pa.RecordBatch, beam: int, expand: int) -> dict[str, np.ndarray] | None:
     nodes, scores, visited = group.column("node").to_numpy(), group.column("score").to_numpy(), group.column("visited").to_numpy()
     top = np.lexsort((nodes, -scores))[:beam]
@@ -218,12 +212,12 @@ def _frontier(group: pa.RecordBatch, beam: int, expand: int) -> dict[str, np.nda
     return {"cid": np.full(len(todo), group.column("cid")[0].as_py()), "node": nodes[todo]} if len(todo) else None
 
 
-def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
+def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries: list[int] = (), beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
     """``(cid, node, score)``: what greedy search meets for each query node of ``queries`` (cid), the query itself included."""
-    state_schema = "cid bigint, node bigint, score float, visited int"
-    own = graph.join(queries, "cid", "left_semi").select("cid", "other", "score")
-    alone = queries.join(graph.select("cid").distinct(), "cid", "left_anti").select("cid", F.col("cid").alias("node"), F.lit(float("inf")).cast("float").alias("score"), F.lit(1).alias("visited"))
-    state = materialize(_grouped(own, ["cid"], _start, state_schema).unionByName(alone), "beam")
+    # the query's own node and a few entry nodes are visited first and never left out; the final ranking scores them anew
+    start = F.array_distinct(F.array("cid", *[F.lit(e).cast("long") for e in entries]))
+    state = queries.select("cid", F.explode(start).alias("node")).select("cid", "node", F.lit(1e30).cast("float").alias("score"), F.lit(0).alias("visited"))
+    state = materialize(state, "beam")
     asked = queries.join(nodes.select("cid", "q"), "cid")
     for _ in range(hops):
         chosen = materialize(_grouped(state, ["cid"], lambda g: _frontier(g, beam, expand), "cid bigint, node bigint"), "frontier")
@@ -240,15 +234,14 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
 
 def _dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        s = np.einsum("nd,nd->n", _matrix(b.column("q"), np.int8).astype(np.float32), _matrix(b.column("v"), np.int8).astype(np.float32)) if len(b) else np.empty(0, np.float32)
+        s = np.einsum("nd,nd->n", _matrix(b.column("q"), np.int16).astype(np.float32), _matrix(b.column("v"), np.int16).astype(np.float32)) if len(b) else np.empty(0, np.float32)
         yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("node"), pa.array(s)], names=["cid", "node", "score"])
 
 
-def _quantize(batches: Iterator[pa.RecordBatch], norm: float, largest: float) -> Iterator[pa.RecordBatch]:
+def _quantize(batches: Iterator[pa.RecordBatch], largest: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = np.array(b.column("v").to_pylist(), float).reshape(len(b), -1)
-        extra = np.sqrt(np.maximum(0, norm - (x * x).sum(axis=1)))[:, None]
-        q = np.clip(np.rint(np.hstack([x, extra]) / largest * 127), -127, 127).astype(np.int8)
+        q = np.clip(np.rint(x / largest * 32_767), -32_767, 32_767).astype(np.int16)
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([r.tobytes() for r in q], pa.binary())], names=["cid", "q"])
 
 
@@ -263,17 +256,17 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     rows = materialize(valid_vectors(vectors, id_col, vector, dim), "vectors")
     nodes = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "nodes")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    size = nodes.agg(F.max(square).alias("norm"), F.max(F.sqrt(square)).alias("r"), F.max(F.array_max(F.transform("v", F.abs))).alias("c"), F.min(square).alias("low")).first()
-    norm, largest = size["norm"] or 1.0, max(size["c"] or 1.0, ((size["norm"] or 0.0) - (size["low"] or 0.0)) ** 0.5)
-    coded = materialize(nodes.select("cid", "v").mapInArrow(lambda b: _quantize(b, norm, largest), "cid bigint, q binary"), "coded")
+    largest = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    coded = materialize(nodes.select("cid", "v").mapInArrow(lambda b: _quantize(b, largest), "cid bigint, q binary"), "coded")
+    entries = [r["cid"] for r in nodes.orderBy(F.desc(square), "cid").limit(ENTRIES).select("cid").collect()]  # the longest vectors
     graph_options = {k: v for k, v in tuning.items() if k in ("k", "rounds", "leaf", "descents", "width", "seed")}
     search_options = {k: v for k, v in tuning.items() if k in ("beam", "expand", "hops")}
     graph = build_graph(coded, **graph_options) if not coded.isEmpty() else coded.select("cid", F.col("cid").alias("other"), F.lit(0).cast("float").alias("score")).limit(0)
     asked = rows if queries is None else rows.join(queries.select(F.col(queries.columns[0]).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     placed = asked.join(nodes.select("v", "cid"), "v").select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("qv"))
-    met = search_graph(coded, graph, placed.select("cid").distinct(), **search_options)
+    met = search_graph(coded, graph, placed.select("cid").distinct(), entries, **search_options)
     order = Window.partitionBy("cid").orderBy(F.desc("score"), "node")
-    best = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(RERANK, 2 * top) + 1).select("cid", "node")
+    best = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(RERANK, 2 * top) + 1 + ENTRIES).select("cid", "node")
     # of equal vectors the least ids suffice: as many as are asked for, and one more for the query's own
     single = nodes.where("copies = 1").select(F.col("cid").alias("node"), F.col("least").alias("vec_id"), "v")
     several = rows.join(nodes.where("copies > 1").select("v", "cid"), "v").select(F.col("cid").alias("node"), "vec_id", "v")
