@@ -18,7 +18,7 @@ from lorekeep.sources import wiki
 
 
 def _session() -> SparkSession:
-    spark = SparkSession.builder.appName("lorekeep").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.appName("lorekeep").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", os.environ.get("LOREKEEP_PARTITIONS", "8")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -150,7 +150,7 @@ def unique_names(names: DataFrame, path: str = "path") -> DataFrame:
     return exact.unionByName(lower.join(exact.select("key"), "key", "left_anti").withColumn("exact", F.lit(False)))
 
 
-TEMPLATES = {"SCHEMA.md": "# Schema\n", "AGENTAO.md": "# Agent notes\n", "wiki/index.md": "# Index\n", "wiki/log.md": "# Log\n", "wiki/overview.md": "# Overview\n"}
+TEMPLATES = {"SCHEMA.md": "# Schema\n", "AGENTS.md": "# Agent notes\n", "wiki/index.md": "# Index\n", "wiki/log.md": "# Log\n", "wiki/overview.md": "# Overview\n"}
 
 
 def init_base(root: str, templates: dict[str, str] | None = None) -> list[str]:
