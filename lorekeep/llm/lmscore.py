@@ -1,9 +1,11 @@
-"""Masked pseudo-likelihood of texts under a bidirectional window network.
+"""Masked pseudo-likelihood of texts under a bidirectional window network and the corpus's word counts.
 
 Words become classes: the most frequent words of the corpus, hash classes of word endings for all others, and a border.
 Counts of (left, word, right) over all documents train a small network in numpy that predicts a class from both its
 neighbours; as there are ``classes ** 3`` windows at most, the counts that reach the driver have a fixed bound however
-large the corpus.  A text's score sums the log-probability of each of its words given both sides.
+large the corpus.  P(word | class) comes from a table of all words of the corpus, which grows with it, stays in shared
+storage and meets the texts' words in a join.  A text's score sums log P(class | both sides) + log P(word | class) over
+its words.
 """
 
 from __future__ import annotations
@@ -12,17 +14,40 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.plans.store import materialize
+
 WORD = re.compile(r"[^\W_]+")
 FREQUENT, ENDINGS = 88, 39
 BORDER = FREQUENT + ENDINGS
 CLASSES = BORDER + 1
 HIDDEN, EPOCHS = 32, 150
+#: Log-probabilities of words are summed as whole multiples of 1 / UNIT, so that the order of a sum doesn't matter.
+UNIT = 1 << 30
+
+
+class Model(NamedTuple):
+    """words: (word, ending, logp) of all words but the frequent ones; unknown: log-probability by ending of a word not among them."""
+
+    frequent: list[str]
+    weights: dict[str, np.ndarray]
+    words: DataFrame
+    unknown: list[float]
+
+
+def ending(word: str) -> int:
+    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % ENDINGS
+
+
+def _ending_of(word: str) -> Column:
+    """:func:`ending` of a column."""
+    return (F.crc32(F.encode(F.right(word, F.lit(2)), "utf-8")) % ENDINGS).cast("int")
 
 
 class _Classes(dict):
@@ -34,13 +59,16 @@ class _Classes(dict):
         if len(self) > 1_000_000:
             self.clear()
             self.update(self.frequent)
-        value = self[word] = FREQUENT + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % ENDINGS
+        value = self[word] = FREQUENT + ending(word)
         return value
 
 
-def word_classes(text: str | None, known: _Classes) -> np.ndarray:
-    """Classes of the lower-cased words, with a border at both ends; empty without words."""
-    words = WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def word_classes(words: list[str], known: _Classes) -> np.ndarray:
+    """Classes of lower-cased words, with a border at both ends; empty without words."""
     if not words:
         return np.empty(0, np.int64)
     out = np.full(len(words) + 2, BORDER, np.int64)
@@ -56,7 +84,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0):
-            counts.update(WORD.findall((text.as_py() or "").lower()))
+            counts.update(words_of(text.as_py()))
             if len(counts) > 200_000:
                 yield out()
                 counts.clear()
@@ -73,7 +101,7 @@ def _windows(batches: Iterator[pa.RecordBatch], frequent: list[str]) -> Iterator
 
     for batch in batches:
         for text in batch.column(0):
-            c = word_classes(text.as_py(), known)
+            c = word_classes(words_of(text.as_py()), known)
             if len(c):
                 pending.append((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
                 size += len(c)
@@ -129,21 +157,61 @@ def log_probabilities(weights: dict[str, np.ndarray]) -> np.ndarray:
     return (z - np.log(np.exp(z).sum(axis=2, keepdims=True))).astype(np.float32)
 
 
-def _score(batches: Iterator[pa.RecordBatch], frequent: list[str], weights: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], frequent: list[str], weights: dict[str, np.ndarray], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of a text that isn't frequent; the text's first row has its id, length and sum over classes.
+
+    A text without such words has one row with a word that no text holds.
+    """
     known, table = _Classes(frequent), log_probabilities(weights)
+    head = pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64()), ("base", pa.float64())])
+    keys, sizes, words, times, heads = [], [], [], [], []
+
+    def out():
+        size = np.array(sizes)
+        first = np.zeros(len(words), bool)
+        first[np.cumsum(size) - size] = True
+        at = pa.array(np.where(first, np.cumsum(first) - 1, 0), mask=~first)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(keys), size)), pa.array(words, pa.string()), pa.array(times, pa.int64()), pa.array(heads, head).take(at)],
+            names=["key", "word", "n", "head"])
+        for held in (keys, sizes, words, times, heads):
+            held.clear()
+        return batch
+
     for batch in batches:
-        n, total = [], []
-        for text in batch.column(1):
-            c = word_classes(text.as_py(), known)
-            n.append(max(0, len(c) - 2))
-            total.append(float(table[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64)) if len(c) else 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "sum_logp"])
+        for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            found = words_of(text.as_py())
+            c = word_classes(found, known)
+            rare = Counter(w for w in found if w not in known.frequent) or {f" {key % 100_003}": 0}
+            keys.append(key)
+            sizes.append(len(rare))
+            words.extend(rare)
+            times.extend(rare.values())
+            heads.append({"doc_id": doc, "n_words": len(found), "base": float(table[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64)) if len(c) else 0.0})
+            if len(words) >= rows:
+                yield out()
+    if keys:
+        yield out()
+
+
+def word_table(counted: DataFrame, frequent: list[str]) -> tuple[DataFrame, list[float]]:
+    """``(word, ending, logp)`` of the words of ``counted`` (word, n) that aren't frequent, and the same for an unknown word by ending.
+
+    P(word | ending) is (n + 1) / (N + V + 1) where N words, V of them distinct, have the ending: the last place is for
+    all words not met.
+    """
+    rest = counted.where(~F.col("word").isin(frequent)) if frequent else counted
+    rest = rest.select("word", "n", _ending_of("word").alias("ending"))
+    size = {r["ending"]: r["size"] for r in rest.groupBy("ending").agg((F.sum("n") + F.count("*") + 1).alias("size")).collect()}
+    unknown = [-float(np.log(size.get(e, 1))) for e in range(ENDINGS)]
+    logp = F.log(F.col("n") + 1.0) + F.get(F.array(*[F.lit(x) for x in unknown]), F.col("ending"))
+    return rest.select("word", "ending", logp.alias("logp")), unknown
 
 
-def fit(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[list[str], dict[str, np.ndarray]]:
-    """The frequent words of ``docs`` and the network's weights.  Without any word: no words, and weights as drawn."""
+def fit(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> Model:
+    """The frequent words of ``docs``, the network's weights and the table of all other words.  Without any word: no words, and weights as drawn."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    counted = texts.mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = materialize(texts.mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     frequent = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     windows = texts.mapInArrow(lambda b: _windows(b, frequent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     found = windows.toArrow()  # at most CLASSES ** 3 rows of 16 bytes
@@ -151,16 +219,21 @@ def fit(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[list
     order = np.argsort(codes)
     if not len(codes):
         codes, counts, order = np.array([0]), np.array([1]), np.array([0])
-    return frequent, train(codes[order], counts[order], epochs)
+    return Model(frequent, train(codes[order], counts[order], epochs), *word_table(counted, frequent))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: tuple | None = None, epochs: int = EPOCHS) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Model | None = None, epochs: int = EPOCHS) -> DataFrame:
     """``(id, n_words, sum_logp, mean_logp)`` per row of ``docs``, under ``model`` or one fitted to all of ``docs``.
 
     A text without words (null, empty) has a sum of 0 and a null mean; a null id stays null; repeated rows get equal
     scores; other columns are ignored.
     """
-    frequent, weights = model or fit(docs, text, epochs)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = source.mapInArrow(lambda b: _score(b, frequent, weights), "doc_id bigint, n_words bigint, sum_logp double").withColumnRenamed("doc_id", id_col)
-    return out.withColumn("mean_logp", F.when(F.col("n_words") > 0, F.col("sum_logp") / F.col("n_words")))
+    frequent, weights, words, unknown = model or fit(docs, text, epochs)
+    source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = "key bigint, word string, n bigint, head struct<doc_id: bigint, n_words: bigint, base: double>"
+    bags = source.mapInArrow(lambda b: _score(b, frequent, weights), schema)
+    logp = F.coalesce("logp", F.get(F.array(*[F.lit(x) for x in unknown]), _ending_of("word")))
+    part = F.col("n") * F.round(logp * UNIT).cast("long")
+    met = bags.join(words.select("word", "logp").hint("shuffle_hash"), "word", "left").select("key", "head.*", part.alias("part"))
+    out = met.groupBy("key").agg(F.max("doc_id").alias(id_col), F.max("n_words").alias("n_words"), (F.max("base") + F.sum("part") / UNIT).alias("sum_logp"))
+    return out.drop("key").withColumn("mean_logp", F.when(F.col("n_words") > 0, F.col("sum_logp") / F.col("n_words")))

@@ -224,6 +224,31 @@ def test_lm_prefers_learnt_order(spark, messy, empty):
     assert lmscore.pseudo_likelihood(empty, epochs=5).count() == 0
 
 
+def test_lm_counts_rare_words(spark):
+    """Words outside the frequent ones count with P(word | class): garbled ones of equal ending score below real ones."""
+    rng = random.Random(4)
+    common = [f"w{chr(97 + k // 10)}{k % 10}" for k in range(lmscore.FREQUENT)]
+    real = [f"{a}{b}éling" for a in "bdfg" for b in "aeiou"] + ["z"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.95 else rng.choice(real) for _ in range(200)) for _ in range(150)]
+    garbled = [re.sub("éling", "xqéling", t) for t in texts[:10]]
+    docs = docs_of(spark, texts)
+    model = lmscore.fit(docs, epochs=20)
+    assert set(model.frequent) == set(common)
+    counts = Counter(w for t in texts for w in t.split() if w not in common)
+    size = Counter()
+    for w, n in counts.items():
+        size[lmscore.ending(w)] += n + 1
+    rows = lmscore.pseudo_likelihood(docs_of(spark, [*texts[:10], *garbled, texts[0], None]), model=model).collect()
+    got = {r.doc_id: r for r in rows}
+    known, table = lmscore._Classes(model.frequent), lmscore.log_probabilities(model.weights)
+    for d, t in enumerate([*texts[:10], *garbled]):
+        c = lmscore.word_classes(t.split(), known)
+        want = float(table[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64))
+        want += sum(math.log((counts[w] + 1) / (size[lmscore.ending(w)] + 1)) for w in t.split() if w not in common)
+        assert abs(got[d].sum_logp - want) < 1e-5 and got[d].n_words == 200
+    assert all(got[10 + d].mean_logp < got[d].mean_logp for d in range(10)) and got[20].sum_logp == got[0].sum_logp and got[21].n_words == 0
+
+
 def test_sampled_segmentations(messy, empty):
     v = pieces.vocabulary("piece_bpe_32k.model", 1.0)
 
