@@ -1,7 +1,8 @@
 """Quality rules: base counts plus distribution divergence, in built-in expressions only.
 
 A document's character-class histogram and its common-word histogram are compared with references of several
-languages by Jensen-Shannon distance (base 2, so 0 to 1).  A document passes if some language fits both.
+languages by Jensen-Shannon distance (base 2, so 0 to 1).  A document passes if some language fits both and its common
+words make up a least part of the share they have in the reference: without any of them the distance stays below its limit.
 Histograms of few characters or words say little, so each has a minimum length under which it isn't judged.
 
 The references are parameters of fixed size, not corpus statistics: one pass, no shuffle, no state that grows.
@@ -30,6 +31,8 @@ WORD_REFERENCE = {
 }
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.45
+#: Least share of a language's common words, as a part of their share in its reference.
+MIN_COMMON = 0.3
 
 
 def words_of(text: Column) -> Column:
@@ -72,7 +75,8 @@ def js_distance(counts: Column, reference: tuple[float, ...]) -> Column:
 
 def quality_signals(docs: DataFrame, text: str = "text", char_reference=None, word_reference=None) -> DataFrame:
     """``docs`` and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, n_letter_words,
-    js_chars and js_words (arrays by language, in order of the references).
+    js_chars, js_words and common (arrays by language, in order of the references; common: the share of the language's
+    common words as a part of their share in its reference).
 
     A null text counts as no text: all counts 0 and distances null.  Columns of ``docs`` with these names are replaced.
     """
@@ -96,14 +100,20 @@ def quality_signals(docs: DataFrame, text: str = "text", char_reference=None, wo
     out = out.withColumn("_times", F.array(*[times(w) for w in vocabulary]))
     classes_of = F.concat("_known", F.array(F.col("n_chars") - F.aggregate("_known", F.lit(0.0), lambda a, x: a + x)))
 
+    def own(known: dict[str, float]) -> Column:
+        return F.array(*[F.col("_times")[vocabulary.index(w)] for w in known])
+
     def word_counts(known: dict[str, float]) -> Column:
-        own = F.array(*[F.col("_times")[vocabulary.index(w)] for w in known])
-        return F.concat(own, F.array(F.col("n_letter_words") - F.aggregate(own, F.lit(0.0), lambda a, x: a + x)))
+        return F.concat(own(known), F.array(F.col("n_letter_words") - F.aggregate(own(known), F.lit(0.0), lambda a, x: a + x)))
+
+    def common(known: dict[str, float]) -> Column:
+        return F.aggregate(own(known), F.lit(0.0), lambda a, x: a + x) / F.col("n_letter_words") / (sum(known.values()) / 100.0)
 
     out = out.withColumns({"_classes": classes_of, "word_chars": (F.col("n_chars") - F.col("_known")[CHAR_CLASSES.index("space")]).cast("long")})
     out = out.withColumns({
         "js_chars": F.when(F.col("n_chars") > 0, F.array(*[js_distance(F.col("_classes"), r) for r in char_reference.values()])),
         "js_words": F.when(F.col("n_letter_words") > 0, F.array(*[js_distance(word_counts(k), (*k.values(), 100.0 - sum(k.values()))) for k in word_reference.values()])),
+        "common": F.when(F.col("n_letter_words") > 0, F.array(*[common(k) for k in word_reference.values()])),
     })
     return out.drop("_w", "_l", "_lw", "_known", "_common", "_times", "_classes")
 
@@ -111,11 +121,13 @@ def quality_signals(docs: DataFrame, text: str = "text", char_reference=None, wo
 def quality_rules(
     docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_chars: int = MIN_CHARS, min_letter_words: int = MIN_WORDS,
     max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, char_reference=None, word_reference=None,
+    min_common: float = MIN_COMMON,
 ) -> DataFrame:
     """:func:`quality_signals` and the columns base_failed and kept.
 
     base_failed: under ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated 3-word windows.
-    kept: not base_failed, and some language's distances are both small enough; a histogram of under ``min_chars``
+    kept: not base_failed, and some language's distances are both small enough and its common words no fewer than
+    ``min_common`` of their share in the reference; a histogram of under ``min_chars``
     characters or ``min_letter_words`` words is not judged.  Both references must name the same languages in order.
     """
     char_reference, word_reference = char_reference or CHAR_REFERENCE, word_reference or WORD_REFERENCE
@@ -124,8 +136,8 @@ def quality_rules(
     out = quality_signals(docs, text, char_reference, word_reference)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     fits = F.exists(
-        F.arrays_zip("js_chars", "js_words"),
-        lambda x: ((F.col("n_chars") < min_chars) | (x["js_chars"] <= max_char_distance)) & ((F.col("n_letter_words") < min_letter_words) | (x["js_words"] <= max_word_distance)))
+        F.arrays_zip("js_chars", "js_words", "common"),
+        lambda x: ((F.col("n_chars") < min_chars) | (x["js_chars"] <= max_char_distance)) & ((F.col("n_letter_words") < min_letter_words) | ((x["js_words"] <= max_word_distance) & (x["common"] >= min_common))))
     no_words = (F.col("n_letter_words") == 0) & (F.col("n_chars") >= min_chars) & (F.array_min("js_chars") > max_char_distance)
     verdict = F.when(F.col("n_letter_words") == 0, ~no_words).otherwise(F.coalesce(fits, F.lit(True)))
     # a filter on the verdict must not sink below the projections: it would carry a copy of all expressions per use

@@ -155,6 +155,18 @@ def test_quality(spark, messy, empty):
     assert abs(got - want) < 1e-12
 
 
+def test_quality_needs_common_words(spark):
+    """Word salad with the characters of prose goes; prose of each language, and salad under the guard, stays."""
+    rng = random.Random(6)
+    noun = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    salad = lambda n: " ".join(f"{noun().capitalize()} {noun()} {noun()}, {noun()} {noun()} {noun()}." for _ in range(n))
+    prose = [" ".join(rng.choices(list(k), list(k.values()))[0] if rng.random() < sum(k.values()) / 100 else noun() + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+             for k in quality.WORD_REFERENCE.values() for n in (110, 400, 2000)]
+    texts = [salad(30), salad(300), salad(15), *prose]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs_of(spark, texts)).collect()}
+    assert [kept[k] for k in range(3)] == [False, False, True] and all(kept[k] for k in range(3, len(texts)))
+
+
 def library():
     from tokenizers import Tokenizer
 
