@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: NN-descent builds a graph with Spark joins, greedy graph search answers queries.
 
 Equal vectors form one node.  The graph is one of largest inner products, not of distances: with vectors of different
-length, a graph of distances (of vectors made equally long) finds too little.  Nodes are kept as 16-bit numbers; only
-the final ranking reads the original vectors.
+length, a graph of distances (of vectors made equally long) finds too little.  Nodes are kept as 32-bit numbers, each
+scaled by its own largest component; only the final ranking reads the original vectors.
 
 Start: in each of several rounds random hyperplanes deal the nodes into leaves of bounded size, inside which all pairs
 are scored.  Descent: a node's neighbours and those it is a neighbour of are joined with their vectors and introduced
@@ -36,6 +36,12 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Vectors of :func:`_encode`: 32-bit components, and a 64-bit factor at the end."""
+    raw = _matrix(column, np.uint8)
+    return np.ascontiguousarray(raw[:, :-8]).view(np.float32) * np.ascontiguousarray(raw[:, -8:]).view(np.float64)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Each run of equal keys as one batch; the input is sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -111,7 +117,7 @@ def _planes(nodes: DataFrame, rounds: int, leaf: int, seed: int):
     """Hyperplanes by round, their medians, and how many parts each dense code is dealt into."""
     total = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
-    sample = _matrix(nodes.orderBy(F.xxhash64("cid", F.lit(seed))).limit(SAMPLE).select("q").toArrow().column("q").combine_chunks(), np.int16).astype(np.float32)
+    sample = _vectors(nodes.orderBy(F.xxhash64("cid", F.lit(seed))).limit(SAMPLE).select("q").toArrow().column("q").combine_chunks())
     rng = np.random.default_rng(seed)
     normals = rng.standard_normal((rounds, bits, sample.shape[1])).astype(np.float32)
     cuts = np.median(np.einsum("nd,rbd->nrb", sample, normals), axis=0) if bits else np.zeros((rounds, 0))
@@ -123,7 +129,7 @@ def _planes(nodes: DataFrame, rounds: int, leaf: int, seed: int):
 
 def _deal(batches: Iterator[pa.RecordBatch], normals, cuts, power, parts) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, q = batch.column(0), _matrix(batch.column(1), np.int16).astype(np.float32)
+        ids, q = batch.column(0), _vectors(batch.column(1))
         mixed = ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
         for r in range(len(normals)):
             code = ((q @ normals[r].T) > cuts[r]) @ power if len(power) else np.zeros(len(q), np.int64)
@@ -134,7 +140,7 @@ def _deal(batches: Iterator[pa.RecordBatch], normals, cuts, power, parts) -> Ite
 
 
 def _leaf(group: pa.RecordBatch, k: int, leaf: int) -> dict[str, np.ndarray] | None:
-    ids, q = group.column("cid").to_numpy(), _matrix(group.column("q"), np.int16).astype(np.float32)
+    ids, q = group.column("cid").to_numpy(), _vectors(group.column("q"))
     out = {"cid": [], "other": [], "score": []}
     pieces = int(np.ceil(len(ids) / (4 * leaf)))  # a leaf denser than the sample told
     for part in np.array_split(np.arange(len(ids)), pieces):
@@ -169,21 +175,21 @@ def _circle(group: pa.RecordBatch, width: int) -> dict[str, np.ndarray] | None:
 
 
 def _introduce(group: pa.RecordBatch) -> dict[str, np.ndarray] | None:
-    ids, q = group.column("cid").to_numpy(), _matrix(group.column("q"), np.int16).astype(np.float32)
+    ids, q = group.column("cid").to_numpy(), _vectors(group.column("q"))
     fresh, worst = group.column("fresh").to_numpy() > 0, group.column("worst").to_numpy()
     s = q @ q.T
     s[~(fresh[:, None] | fresh)] = -np.inf
     np.fill_diagonal(s, -np.inf)
     a, b = np.nonzero(s > worst[:, None])
-    return {"cid": ids[a], "other": ids[b], "score": s[a, b].astype(np.float32), "fresh": np.ones(len(a), np.int32)} if len(a) else None
+    return {"cid": ids[a], "other": ids[b], "score": s[a, b], "fresh": np.ones(len(a), np.int32)} if len(a) else None
 
 
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, leaf: int = LEAF, descents: int = DESCENTS, width: int = WIDTH, seed: int = 3) -> DataFrame:
     """``(cid, other, score, fresh, rank)``: the ``k`` best neighbours found for each of ``nodes`` (cid, q)."""
     normals, cuts, power, parts = _planes(nodes, rounds, leaf, seed)
     dealt = nodes.select("cid", "q").mapInArrow(lambda b: _deal(b, normals, cuts, power, parts), "round bigint, code bigint, part bigint, cid bigint, q binary")
-    pairs = _grouped(dealt, ["round", "code", "part"], lambda g: _leaf(g, k, leaf), "cid bigint, other bigint, score float")
-    edge = "cid bigint, other bigint, score float, fresh int"
+    pairs = _grouped(dealt, ["round", "code", "part"], lambda g: _leaf(g, k, leaf), "cid bigint, other bigint, score double")
+    edge = "cid bigint, other bigint, score double, fresh int"
     graph = materialize(_grouped(pairs.withColumn("fresh", F.lit(1)), ["cid"], lambda g: _merge(g, k), edge), "graph")
     for _ in range(descents):
         ranked = graph.withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("score"), "other")))
@@ -193,7 +199,7 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, lea
         chance = Window.partitionBy("centre").orderBy(F.desc("fresh"), F.xxhash64("centre", "other"))
         named = named.withColumn("n", F.row_number().over(chance)).where(F.col("n") <= width).drop("n")
         circles = _grouped(mine.unionByName(named), ["centre"], lambda g: _circle(g, width), "centre bigint, cid bigint, fresh int")
-        worst = graph.groupBy("cid").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("cid", F.when(F.col("n") < k, F.lit(-1e30)).otherwise(F.col("low")).cast("float").alias("worst"))
+        worst = graph.groupBy("cid").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("cid", F.when(F.col("n") < k, F.lit(-1e30)).otherwise(F.col("low")).cast("double").alias("worst"))
         info = nodes.select("cid", "q").join(worst, "cid", "left").fillna(-1e30, ["worst"])
         found = _grouped(circles.join(info, "cid"), ["centre"], _introduce, edge)
         first = Window.partitionBy("cid").orderBy(F.desc("score"), "other")
@@ -216,7 +222,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries
     """``(cid, node, score)``: what greedy search meets for each query node of ``queries`` (cid), the query itself included."""
     # the query's own node and a few entry nodes are visited first and never left out; the final ranking scores them anew
     start = F.array_distinct(F.array("cid", *[F.lit(e).cast("long") for e in entries]))
-    state = queries.select("cid", F.explode(start).alias("node")).select("cid", "node", F.lit(1e30).cast("float").alias("score"), F.lit(0).alias("visited"))
+    state = queries.select("cid", F.explode(start).alias("node")).select("cid", "node", F.lit(1e30).cast("double").alias("score"), F.lit(0).alias("visited"))
     state = materialize(state, "beam")
     asked = queries.join(nodes.select("cid", "q"), "cid")
     for _ in range(hops):
@@ -224,7 +230,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries
         reached = chosen.join(graph.select(F.col("cid").alias("node"), "other"), "node").select("cid", F.col("other").alias("node")).distinct()
         new = reached.join(state.select("cid", "node"), ["cid", "node"], "left_anti")
         seen = new.join(nodes.select(F.col("cid").alias("node"), F.col("q").alias("v")), "node").join(asked, "cid")
-        scored = seen.select("cid", "node", "q", "v").mapInArrow(_dot, "cid bigint, node bigint, score float").withColumn("visited", F.lit(0))
+        scored = seen.select("cid", "node", "q", "v").mapInArrow(_dot, "cid bigint, node bigint, score double").withColumn("visited", F.lit(0))
         marked = state.join(chosen.withColumn("now", F.lit(1)), ["cid", "node"], "left").select("cid", "node", "score", F.greatest("visited", F.coalesce("now", F.lit(0))).alias("visited"))
         merged = materialize(marked.unionByName(scored), "beam")
         discard(state, chosen)
@@ -234,15 +240,22 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries
 
 def _dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        s = np.einsum("nd,nd->n", _matrix(b.column("q"), np.int16).astype(np.float32), _matrix(b.column("v"), np.int16).astype(np.float32)) if len(b) else np.empty(0, np.float32)
+        s = np.einsum("nd,nd->n", _vectors(b.column("q")), _vectors(b.column("v"))) if len(b) else np.empty(0)
         yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("node"), pa.array(s)], names=["cid", "node", "score"])
 
 
-def _quantize(batches: Iterator[pa.RecordBatch], largest: float) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], largest: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = np.array(b.column("v").to_pylist(), float).reshape(len(b), -1)
-        q = np.clip(np.rint(x / largest * 32_767), -32_767, 32_767).astype(np.int16)
-        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([r.tobytes() for r in q], pa.binary())], names=["cid", "q"])
+        own = np.abs(x).max(axis=1, initial=0.0)
+        q, factor = (x / own[:, None]).astype(np.float32), own / largest
+        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([r.tobytes() + f.tobytes() for r, f in zip(q, factor, strict=True)], pa.binary())], names=["cid", "q"])
+
+
+def coded_vectors(nodes: DataFrame) -> DataFrame:
+    """``(cid, q)`` of ``nodes`` (cid, v), as the graph keeps them."""
+    largest = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    return materialize(nodes.select("cid", "v").mapInArrow(lambda b: _encode(b, largest), "cid bigint, q binary"), "coded")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None, **tuning) -> DataFrame:
@@ -256,12 +269,11 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     rows = materialize(valid_vectors(vectors, id_col, vector, dim), "vectors")
     nodes = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "nodes")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    largest = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
-    coded = materialize(nodes.select("cid", "v").mapInArrow(lambda b: _quantize(b, largest), "cid bigint, q binary"), "coded")
+    coded = coded_vectors(nodes)
     entries = [r["cid"] for r in nodes.orderBy(F.desc(square), "cid").limit(ENTRIES).select("cid").collect()]  # the longest vectors
     graph_options = {k: v for k, v in tuning.items() if k in ("k", "rounds", "leaf", "descents", "width", "seed")}
     search_options = {k: v for k, v in tuning.items() if k in ("beam", "expand", "hops")}
-    graph = build_graph(coded, **graph_options) if not coded.isEmpty() else coded.select("cid", F.col("cid").alias("other"), F.lit(0).cast("float").alias("score")).limit(0)
+    graph = build_graph(coded, **graph_options) if not coded.isEmpty() else coded.select("cid", F.col("cid").alias("other"), F.lit(0).cast("double").alias("score")).limit(0)
     asked = rows if queries is None else rows.join(queries.select(F.col(queries.columns[0]).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     placed = asked.join(nodes.select("v", "cid"), "v").select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("qv"))
     met = search_graph(coded, graph, placed.select("cid").distinct(), entries, **search_options)

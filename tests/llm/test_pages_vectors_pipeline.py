@@ -67,6 +67,18 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert few.count() == 20 and ann.nearest(table.where("vec_id > 9000")).count() == 0 and ann.nearest(table.limit(0)).count() == 0
 
 
+def test_one_huge_vector_leaves_the_others_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((800, 16))
+    x[0] *= 1e7
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(table, table.where("vec_id % 20 = 1").select("vec_id"), leaf=256, rounds=4, k=24).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & set([i for i in np.argsort(-(x @ x[q])).tolist() if i != q][:20])) for q in range(1, 800, 20)]
+    assert sum(hits) / 20 / len(hits) >= 0.95
+
+
 def test_pipeline(spark, messy, tmp_path):
     import corpus_pipeline
 
