@@ -7,7 +7,7 @@ scaled by its own largest component; only the final ranking reads the original v
 Start: in each of several rounds random hyperplanes deal the nodes into leaves of bounded size, inside which all pairs
 are scored.  Descent: a node's neighbours and those it is a neighbour of are joined with their vectors and introduced
 to each other; pairs that beat the worst neighbour of an end are kept.  Search: from the query's own node and the longest vectors, the best
-nodes not yet visited are joined with the graph, the new ones among their neighbours with the vectors, in a few hops.
+nodes not yet visited are joined with the graph, the new ones among their neighbours with the vectors, until none is left.
 
 Every step groups by node or query and holds one group of bounded size at a time.  The hyperplanes' medians and leaf
 frequencies come from a sample of at most ``SAMPLE`` nodes; all nodes are indexed.
@@ -15,6 +15,7 @@ frequencies come from a sample of at most ``SAMPLE`` nodes; all nodes are indexe
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ from lorekeep.plans.store import discard, materialize
 
 NEIGHBOURS, WIDTH, ROUNDS, LEAF, DESCENTS = 48, 32, 12, 2_048, 3
 SAMPLE = 20_000
-BEAM, EXPAND, HOPS, RERANK, ENTRIES = 96, 16, 4, 40, 8
+BEAM, EXPAND, RERANK, ENTRIES = 96, 16, 40, 8
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -202,6 +203,10 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, lea
         worst = graph.groupBy("cid").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("cid", F.when(F.col("n") < k, F.lit(-1e30)).otherwise(F.col("low")).cast("double").alias("worst"))
         info = nodes.select("cid", "q").join(worst, "cid", "left").fillna(-1e30, ["worst"])
         found = _grouped(circles.join(info, "cid"), ["centre"], _introduce, edge)
+        # every centre that has both ends introduces a pair again; the limit is one of distinct pairs not yet in the graph.
+        # A pair's score varies in its last bits with the centre, so pairs are told apart by their ends alone
+        found = found.groupBy("cid", "other").agg(F.max("score").alias("score"), F.max("fresh").alias("fresh"))
+        found = found.join(graph.select("cid", "other"), ["cid", "other"], "left_anti")
         first = Window.partitionBy("cid").orderBy(F.desc("score"), "other")
         found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 8 * k).drop("n")  # as many introduce a hub
         merged = materialize(_grouped(graph.withColumn("fresh", F.lit(0)).unionByName(found), ["cid"], lambda g: _merge(g, k), edge), "graph")
@@ -218,15 +223,18 @@ def _frontier(group: pa.RecordBatch, beam: int, expand: int) -> dict[str, np.nda
     return {"cid": np.full(len(todo), group.column("cid")[0].as_py()), "node": nodes[todo]} if len(todo) else None
 
 
-def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries: list[int] = (), beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """``(cid, node, score)``: what greedy search meets for each query node of ``queries`` (cid), the query itself included."""
+def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries: list[int] = (), beam: int = BEAM, expand: int = EXPAND, hops: int | None = None) -> DataFrame:
+    """``(cid, node, score)``: what greedy search meets for each query node of ``queries`` (cid), the query itself included.  hops: the most rounds, None: until the beam holds no unvisited node."""
     # the query's own node and a few entry nodes are visited first and never left out; the final ranking scores them anew
     start = F.array_distinct(F.array("cid", *[F.lit(e).cast("long") for e in entries]))
     state = queries.select("cid", F.explode(start).alias("node")).select("cid", "node", F.lit(1e30).cast("double").alias("score"), F.lit(0).alias("visited"))
     state = materialize(state, "beam")
     asked = queries.join(nodes.select("cid", "q"), "cid")
-    for _ in range(hops):
+    for _ in itertools.count() if hops is None else range(hops):
         chosen = materialize(_grouped(state, ["cid"], lambda g: _frontier(g, beam, expand), "cid bigint, node bigint"), "frontier")
+        if chosen.isEmpty():
+            discard(chosen)
+            break
         reached = chosen.join(graph.select(F.col("cid").alias("node"), "other"), "node").select("cid", F.col("other").alias("node")).distinct()
         new = reached.join(state.select("cid", "node"), ["cid", "node"], "left_anti")
         seen = new.join(nodes.select(F.col("cid").alias("node"), F.col("q").alias("v")), "node").join(asked, "cid")

@@ -67,6 +67,21 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert few.count() == 20 and ann.nearest(table.where("vec_id > 9000")).count() == 0 and ann.nearest(table.limit(0)).count() == 0
 
 
+def test_descent_keeps_distinct_introductions(spark):
+    """Nodes that many centres introduce to the same few others still meet all the others."""
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((900, 12)) * rng.pareto(2.0, (900, 1))).astype(np.float32)
+    nodes = ann.coded_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cid long, v array<double>"))
+    found: dict = {}
+    for r in ann.build_graph(nodes, k=12, rounds=2, leaf=64, descents=4, width=12).collect():
+        found.setdefault(r.cid, set()).add(r.other)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hits = [len(found[i] & set(np.argsort(-s[i])[:12].tolist())) / 12 for i in range(900)]
+    named = np.bincount(np.argsort(-s, axis=1)[:, :12].ravel(), minlength=900)
+    assert np.mean([hits[i] for i in np.argsort(-named)[:50]]) >= 0.99, np.mean(hits)
+
+
 def test_one_huge_vector_leaves_the_others_their_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((800, 16))
