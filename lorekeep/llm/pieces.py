@@ -13,8 +13,8 @@ Draws come from a hash of (row key, sample, step), so a row gets the same segmen
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +29,8 @@ from lorekeep.llm.tokens import tokenizer_file
 
 SPACE = "▁"
 CHUNK = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Characters of text that are sampled at once; a longer text is sampled alone.
-SLICE_CHARS = 6_000_000
+#: Characters of text that are sampled at once; a longer text is sampled alone, in about 100 bytes a character.
+SLICE_CHARS = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -49,57 +49,96 @@ def normalized(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def chunks_of(text: str) -> list[str]:
+    """The normalized text cut before each run of marks."""
+    if not text or "  " in text or text[0] == " " or SPACE in text:
+        return CHUNK.findall(normalized(text))
+    return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
+
+
+class Trie:
+    """All starts of pieces; one hash table (node, character) -> node, which arrays of both are looked up in at once."""
+
+    def __init__(self, ids: dict[str, int]):
+        node_of, step = {"": 0}, {}
+        for piece in ids:
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in node_of:
+                    node_of[piece[:n]] = len(node_of)
+                    step[node_of[piece[: n - 1]] << 21 | ord(piece[n - 1])] = node_of[piece[:n]]
+        self.piece = np.full(len(node_of), -1, np.int64)
+        for piece, i in ids.items():
+            self.piece[node_of[piece]] = i
+        keys = np.fromiter(step, np.int64, len(step))
+        self.goes_on = np.zeros(len(node_of), bool)
+        self.goes_on[keys >> 21] = True
+        bits = int(4 * len(keys)).bit_length()
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.next = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        for slot, key, node in zip(self._slots(keys).tolist(), keys.tolist(), step.values(), strict=True):
+            while self.keys[slot] != -1:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.next[slot] = key, node
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _A >> self.shift).view(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node after each character; -1: none."""
+        keys = node << 21 | char
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        todo = np.flatnonzero((found != keys) & (found != -1))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            found[todo] = self.keys[slot[todo]]
+            todo = todo[(found[todo] != keys[todo]) & (found[todo] != -1)]
+        return np.where(found == keys, self.next[slot], -1)
+
+
 class Vocabulary:
     def __init__(self, file: str, sharpness: float):
         sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(file))
         if sp.normalize("a  b") != normalized("a  b"):
             raise ValueError("only models that keep texts as they are can be sampled")
-        self.text = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(len(self.text))]
-        self.ids = {t: i for i, t in enumerate(self.text) if not special[i]}
-        self.byte = {int(t[3:5], 16): i for i, t in enumerate(self.text) if sp.is_byte(i)}
-        self.weight = np.array([-sharpness * np.log(2 + max(0.0, -sp.get_score(i))) for i in range(len(self.text))])
+        text = self.text = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(len(text))]
+        self.ids = {t: i for i, t in enumerate(text) if not special[i]}
+        self.byte = {int(t[3:5], 16): i for i, t in enumerate(text) if sp.is_byte(i)}
+        self.weight = np.array([-sharpness * np.log(2 + max(0.0, -sp.get_score(i))) for i in range(len(text))])
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             raise ValueError("pieces across words can't be sampled word by word")
-
-        # every start of a piece, so that a walk ends where no piece goes on
-        self.prefix = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
-        self.edges_of = _Edges(self)
+        self.trie = Trie(self.ids)
+        value = {i: bytes([b]) for b, i in self.byte.items()}
+        spelled = [value.get(i, t.replace(SPACE, " ").encode("utf-8", "surrogatepass")) for i, t in enumerate(text)]
+        self.size = np.array([len(x) for x in spelled])
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
 
     def spell(self, piece: int) -> list[int]:
         """The byte pieces of a character that has no piece; ``piece``: below zero, its code point."""
         return [self.byte[b] for b in chr(-piece - 1).encode("utf-8", "surrogatepass")]
 
-    def edges(self, chunk: str) -> bytes:
-        """(start, end, piece) of a chunk's edges in order, as 32-bit numbers."""
-        out: list[int] = []
-        known = self.prefix.get
-        for i, char in enumerate(chunk):
-            p = known(char)
-            out += (i, i + 1, p) if p is not None and p >= 0 else (i, i + 1, -ord(char) - 1)
-            if p is None:
-                continue
-            for j in range(i + 2, len(chunk) + 1):
-                p = known(chunk[i:j])
-                if p is None:
-                    break
-                if p >= 0:
-                    out += (i, j, p)
-        return array("i", out).tobytes()
-
-
-class _Edges(dict):
-    """Edges of chunks as seen; emptied when large."""
-
-    def __init__(self, v: Vocabulary):
-        super().__init__()
-        self.v = v
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[chunk] = self.v.edges(chunk)
-        return value
+    def spelled(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``pieces`` with byte pieces for characters that have none, and how many each gave."""
+        count, at = np.ones(len(pieces), np.int64), np.flatnonzero(pieces < 0)
+        if not len(at):
+            return pieces, count
+        chars, which = np.unique(pieces[at], return_inverse=True)
+        table = [self.spell(int(c)) for c in chars]
+        count[at] = np.array([len(x) for x in table])[which]
+        place = np.cumsum(count) - count
+        out = np.empty(count.sum(), np.int64)
+        out[place[pieces >= 0]] = pieces[pieces >= 0]
+        for n in range(max(map(len, table))):
+            has = count[at] > n
+            out[place[at[has]] + n] = np.array([x[n] if n < len(x) else -1 for x in table])[which[has]]
+        return out, count
+
+    def raw(self, pieces: np.ndarray) -> np.ndarray:
+        """The bytes of piece ids, marks as spaces."""
+        size = self.size[pieces]
+        return self.bytes[np.arange(size.sum()) + np.repeat(self.begin[pieces] - (np.cumsum(size) - size), size)]
 
 
 @functools.lru_cache(4)
@@ -110,65 +149,96 @@ def vocabulary(file: str, sharpness: float) -> Vocabulary:
 class Lattice:
     """Lattices of distinct chunks, side by side: node n of a chunk is the place before its n-th character.
 
-    Edges are ordered by their node.  cond: an edge's log-probability at its node; total: a chunk's log of summed path weights.
-    An edge's piece is an id, or, below zero, a character that is spelled in bytes.
+    Edges are ordered by their node, the longest first.  cond: an edge's log-probability at its node; beta: log of summed
+    path weights from a node to its chunk's end.  An edge's piece is an id, or, below zero, a character that is spelled in bytes.
     """
 
     def __init__(self, chunks: list[str], v: Vocabulary):
-        raw = [v.edges_of[c] for c in chunks]
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         self.root = np.cumsum(lengths + 1) - lengths - 1
-        base = int(lengths.sum()) + len(chunks)
-        flat = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 3).astype(np.int64)
-        shift = np.repeat(self.root, np.fromiter(map(len, raw), np.int64, len(raw)) // 12)
-        self.start, self.end, self.piece = flat[:, 0] + shift, flat[:, 1] + shift, flat[:, 2]
+        n = int(lengths.sum()) + len(chunks)
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        node_of = np.arange(len(chars)) + np.repeat(np.arange(len(chunks)), lengths)  # of a character
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
+        self.final = np.ones(n, bool)
+        self.final[node_of] = False
+
+        # all places walk down the trie together, one character a turn, until no piece goes on
+        found, at, node = [], np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        size = 0
+        while len(at):
+            node = v.trie.step(node, chars[at + size])
+            size += 1
+            piece = np.where(node >= 0, v.trie.piece[node], -1)
+            if size == 1:
+                found.append((at, np.where(piece >= 0, piece, -chars - 1)))
+            else:
+                found.append((at[piece >= 0], piece[piece >= 0]))
+            on = (node >= 0) & v.trie.goes_on[node] & (left[at] > size)
+            at, node = at[on], node[on]
+        count = np.zeros(n + 1, np.int64)
+        for places, _ in found:
+            count[node_of[places]] += 1
+        self.first = np.cumsum(count) - count
+        free = self.first.copy()
+        self.start, self.end, self.piece = (np.empty(self.first[-1], np.int64) for _ in range(3))
+        for size, (places, piece) in reversed(list(enumerate(found, 1))):
+            start = node_of[places]
+            slot = free[start]
+            free[start] += 1
+            self.start[slot], self.end[slot], self.piece[slot] = start, start + size, piece
+
         self.weight = np.where(self.piece >= 0, v.weight[np.maximum(self.piece, 0)], 0.0)
-        for e in np.flatnonzero(self.piece < 0):
-            self.weight[e] = sum(v.weight[i] for i in v.spell(int(self.piece[e])))
-        self.final = np.zeros(base, bool)
-        self.final[self.root[1:] - 1] = True
-        self.final[-1:] = True
-        self.first = np.searchsorted(self.start, np.arange(base + 1))
-        self._inside(base)
-
-    def _inside(self, n: int) -> None:
-        """Log of summed weights from each node to its chunk's end, for all nodes at one distance from their end at a time."""
-        ends = np.flatnonzero(self.final)
-        left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-        beta, edge_left = np.zeros(n), left[self.start]
-        by_left = np.argsort(edge_left, kind="stable")
-        cuts = np.searchsorted(edge_left[by_left], np.arange(1, (left.max() if n else 0) + 2))
+        bare = np.flatnonzero(self.piece < 0)
+        if len(bare):
+            kinds, which = np.unique(self.piece[bare], return_inverse=True)
+            self.weight[bare] = np.array([sum(v.weight[i] for i in v.spell(int(k))) for k in kinds])[which]
+        self._inside(n, left, node_of)
+
+    def _inside(self, n: int, left: np.ndarray, node_of: np.ndarray) -> None:
+        """beta of all nodes at one distance from their end at a time, then the edges' probabilities."""
+        beta, of_node = np.zeros(n), np.zeros(n, np.int64)
+        of_node[node_of] = left
+        edge_left = of_node[self.start]
+        longest = int(left.max(initial=0))
+        by_left = np.argsort(edge_left.astype(np.uint16) if longest < 65_536 else edge_left, kind="stable")
+        cuts = np.searchsorted(edge_left[by_left], np.arange(1, longest + 2))
         for a, b in zip(cuts, cuts[1:]):
             e = by_left[a:b]
             if len(e):
-                value = self.weight[e] + beta[self.end[e]]
-                heads = np.flatnonzero(np.concatenate([[True], self.start[e][1:] != self.start[e][:-1]]))
-                beta[self.start[e][heads]] = np.logaddexp.reduceat(value, heads)
+                value, start = self.weight[e] + beta[self.end[e]], self.start[e]
+                heads = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
+                top = np.maximum.reduceat(value, heads)
+                share = np.exp(value - np.repeat(top, np.diff(heads, append=len(e))))
+                beta[start[heads]] = top + np.log(np.add.reduceat(share, heads))
         self.beta = beta
         self.cond = np.minimum(0.0, self.weight + beta[self.end] - beta[self.start])
-        shares = np.exp(self.cond)
-        run = np.cumsum(shares)
-        before = np.concatenate([[0.0], run])[self.first[self.start]]
-        whole = np.concatenate([[0.0], run])[self.first[self.start + 1]] - before
-        self.line = self.start + np.minimum(1.0, (run - before) / whole)  # rises over all edges; edges of node n end in (n, n + 1]
+        run = np.cumsum(np.exp(self.cond))
+        self.upto = run - np.concatenate([[0.0], run])[self.first[self.start]]
+        self.upto[self.first[1:][~self.final] - 1] = 2.0  # a node's last edge takes what is left
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its probability."""
-        return np.minimum(np.searchsorted(self.line, node + u), self.first[node + 1] - 1)
+        edge = self.first[node]
+        todo = np.flatnonzero(u >= self.upto[edge])
+        while len(todo):
+            edge[todo] += 1
+            todo = todo[u[todo] >= self.upto[edge[todo]]]
+        return edge
 
 
 def _walk(lat: Lattice, chunk: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """A random path through each chunk: its edges in order, and how many each has.  place: the chunk's number in its text."""
+    """A random path through each chunk: its edges in order, and how many each has.  place: the chunk's first character in its text."""
     node, alive, steps = lat.root[chunk], np.arange(len(chunk)), []
     count = np.zeros(len(chunk), np.int64)
-    at = 0
+    to_text = place - node
     while len(alive):
-        edge = lat.draw(node, uniform(key[alive], salt, place[alive] * 65_536 + at))
+        edge = lat.draw(node, uniform(key[alive], salt, node + to_text[alive]))
         steps.append((alive, edge))
         count[alive] += 1
         node = lat.end[edge]
         going = ~lat.final[node]
-        node, alive, at = node[going], alive[going], at + 1
+        node, alive = node[going], alive[going]
     offset = np.cumsum(count) - count
     out = np.empty(count.sum(), np.int64)
     for step, (who, edge) in enumerate(steps):
@@ -183,27 +253,28 @@ def _below(place: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
 
 def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> list[list[dict]]:
     """For each text up to ``k`` distinct segmentations, the likeliest draws first: pieces, logp, gumbel, inclusion."""
-    parts = [CHUNK.findall(normalized(t)) for t in texts]
-    number: dict[str, int] = {}
-    chunk = np.array([number.setdefault(c, len(number)) for p in parts for c in p], np.int64)
+    parts = [chunks_of(t) for t in texts]
+    number = {c: n for n, c in enumerate(dict.fromkeys(itertools.chain.from_iterable(parts)))}
+    chunk = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(parts)), np.int64)
     sizes = np.array([len(p) for p in parts])
     if not len(chunk):
         return [[{"pieces": np.empty(0, np.int64), "logp": 0.0, "gumbel": 0.0, "inclusion": 1.0}] for _ in texts]
     lat = Lattice(list(number), v)
     begin = np.cumsum(sizes) - sizes
-    place = np.arange(len(chunk)) - np.repeat(begin, sizes)
+    length = np.fromiter(map(len, number), np.int64, len(number))[chunk]
+    place = np.cumsum(length) - length
+    place -= np.repeat(place[np.minimum(begin, len(place) - 1)], sizes)
     key = np.repeat(np.array(keys, np.uint64), sizes)
     results: list[list[dict]] = [[] for _ in texts]
-    paths: list[list] = [[] for _ in texts]  # edges, prefix log-probabilities
+    paths: list[list] = [[] for _ in texts]  # edges
     rests: list[list] = [[] for _ in texts]  # (value, path, step, banned edges)
-    top = [float(-np.log(-np.log(uniform(s, 1, np.array([0]))[0]))) for s in keys]
+    top = (-np.log(-np.log(uniform(np.array(keys, np.uint64), 1, np.zeros(1))))).tolist()
 
     edges, count = _walk(lat, chunk, key, place, 2)
-    ends = np.cumsum(count)
-    for t in range(len(texts)):
-        a, b = (begin[t], begin[t] + sizes[t])
-        own = edges[ends[a - 1] if a else 0 : ends[b - 1]] if sizes[t] else edges[:0]
-        _enter(lat, results[t], paths[t], rests[t], own, top[t], 0, keys[t], 1, k + 1)
+    cond = lat.cond[edges]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    for t, (a, b) in enumerate(zip(ends[begin].tolist(), ends[begin + sizes].tolist(), strict=True)):
+        _enter(lat, results[t], paths[t], rests[t], edges[a:b], cond[a:b], top[t], 0, keys[t], 1, k + 1)
     for sample in range(2, k + 1):
         entered, tails = [], []
         for t in range(len(texts)):
@@ -211,7 +282,7 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
                 continue
             best = max(range(len(rests[t])), key=lambda i: rests[t][i][0])
             value, path, step, banned = rests[t].pop(best)
-            head = paths[t][path][0]
+            head = paths[t][path]
             node = lat.start[head[step]]
             options = np.array([e for e in range(lat.first[node], lat.first[node + 1]) if e not in banned])
             share = np.cumsum(np.exp(lat.cond[options]))
@@ -230,62 +301,64 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
             break
         tail = np.concatenate(tails)
         edges, count = _walk(lat, chunk[tail], key[tail], place[tail], 100 * sample + 2)
+        cond = lat.cond[edges]
         ends = np.concatenate([[0], np.cumsum(count)])
         at = 0
         for (t, value, step, kept, banned, more), own in zip(entered, tails, strict=True):
-            path = np.concatenate([kept, edges[ends[at] : ends[at + len(own)]]])
+            a, b = ends[at], ends[at + len(own)]
             at += len(own)
-            _enter(lat, results[t], paths[t], rests[t], path, value, step + 1, keys[t], sample, k + 1, banned if more else None)
+            path, along = np.concatenate([kept, edges[a:b]]), np.concatenate([lat.cond[kept], cond[a:b]])
+            _enter(lat, results[t], paths[t], rests[t], path, along, value, step + 1, keys[t], sample, k + 1, banned if more else None)
     for t in range(len(texts)):
         threshold = max((r[0] for r in rests[t]), default=-np.inf)
         for r in results[t]:
             r["inclusion"] = float(-np.expm1(-np.exp(min(700.0, r["logp"] - threshold)))) if threshold > -np.inf else 1.0
-            ids = lat.piece[r.pop("edges")]
-            if (ids < 0).any():
-                ids = np.array([x for p in ids.tolist() for x in ([p] if p >= 0 else v.spell(p))], np.int64)
-            r["pieces"] = ids
+    rows = [r for found in results for r in found]
+    steps = np.array([len(r["edges"]) for r in rows])
+    ids, count = v.spelled(lat.piece[np.concatenate([r.pop("edges") for r in rows])])
+    ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(steps)].tolist()
+    for r, a, b in zip(rows, [0, *ends], ends):
+        r["pieces"] = ids[a:b]
     return results
 
 
-def _enter(lat: Lattice, results: list, paths: list, rests: list, path: np.ndarray, value: float, fresh: int, key: int, sample: int, most: int, banned: set | None = None) -> None:
-    """Note a path whose set has the highest value ``value``, and the rests that it leaves from step ``fresh`` on.
+def _enter(
+    lat: Lattice, results: list, paths: list, rests: list, path: np.ndarray, cond: np.ndarray, value: float, fresh: int, key: int, sample: int, most: int,
+    banned: set | None = None,
+) -> None:
+    """Note a path (its edges and their log-probabilities) whose set has the highest value ``value``, and the rests that it leaves from step ``fresh`` on.
 
     banned: edges of the step before that are taken, where more are left.
     """
-    cond = lat.cond[path]
-    # noise of 53-bit draws stays below 37: a set placed far below all that can still be chosen never is, so the head suffices
-    size = max(256, 2 * fresh)
-    while True:
-        prefix = np.cumsum(cond[:size]) - cond[:size]
-        if size >= len(path) or prefix[-1] < prefix[min(fresh, len(prefix) - 1)] - 150.0:
-            break
-        size *= 4
     results.append({"edges": path, "logp": float(cond.sum()), "gumbel": value})
-    paths.append((path, prefix))
+    own = []
     if banned:
         node = lat.start[path[fresh - 1]]
         left = [lat.cond[e] for e in range(lat.first[node], lat.first[node + 1]) if e not in banned]
-        where = prefix[fresh - 1] + np.logaddexp.reduce(left)
-        rests.append((float(_below(np.array([where]), value, uniform(key, 50 * sample + 7, np.array([fresh - 1])))[0]), len(paths) - 1, fresh - 1, banned))
-    steps = np.arange(fresh, len(prefix))
-    node = lat.start[path[steps]]
-    steps = steps[lat.first[node + 1] - lat.first[node] > 1]
-    place = prefix[steps] + np.log(-np.expm1(np.minimum(cond[steps], -1e-300)))
-    if len(steps):
+        where = cond[: fresh - 1].sum() + np.logaddexp.reduce(left)
+        own.append((float(_below(np.array([where]), value, uniform(key, 50 * sample + 7, np.array([fresh - 1])))[0]), len(paths), fresh - 1, banned))
+    # noise of 53-bit draws stays below 37: once ``most`` rests stand that far above all sets further down, the head suffices
+    size = max(160, 2 * fresh)
+    while True:
+        prefix = np.cumsum(cond[:size]) - cond[:size]
+        steps = np.arange(fresh, len(prefix))
+        steps = steps[cond[fresh : len(prefix)] < 0.0]  # a node's only edge leaves no rest
+        place = prefix[steps] + np.log(-np.expm1(np.minimum(cond[steps], -1e-300)))
         drawn = _below(place, value, uniform(key, 50 * sample + 8, steps))
         keep = np.argsort(-drawn)[:most]  # no path gives more than that
-        rests.extend((float(drawn[i]), len(paths) - 1, int(steps[i]), {int(path[steps[i]])}) for i in keep)
+        if size >= len(path) or (len(keep) == most and prefix[-1] + 37.0 < drawn[keep[-1]]):
+            break
+        size *= 4
+    own.extend((float(drawn[i]), len(paths), int(steps[i]), {int(path[steps[i]])}) for i in keep)
+    rests.extend(own)
+    paths.append(path)
 
 
 def decode(pieces, v: Vocabulary) -> str:
     """The text of piece ids: bytes in a row are joined, the mark in front is dropped, other marks become spaces."""
-    pieces = np.asarray(pieces).tolist()
-    text = "".join(map(v.text.__getitem__, pieces))
-    if "<0x" in text:
-        byte_of = {i: b for b, i in v.byte.items()}
-        raw = b"".join(bytes([byte_of[i]]) if i in byte_of else v.text[i].encode("utf-8", "surrogatepass") for i in pieces)
-        text = raw.decode("utf-8", "replace")
-    return text[1:].replace(SPACE, " ") if text.startswith(SPACE) else text.replace(SPACE, " ")
+    pieces = np.asarray(pieces, np.int64)
+    text = v.raw(pieces).tobytes().decode("utf-8", "replace")
+    return text[1:] if len(pieces) and v.text[pieces[0]].startswith(SPACE) else text
 
 
 _FIELDS = {"doc_id": pa.int64(), "sample": pa.int32(), "n_pieces": pa.int64(), "logp": pa.float64(), "gumbel": pa.float64(), "inclusion": pa.float64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
@@ -297,13 +370,18 @@ def _sample(batches: Iterator[pa.RecordBatch], file: str, k: int, sharpness: flo
 
     def solved(ids, texts):
         keys = [xxhash.xxh64_intdigest(repr(i).encode(), seed) for i in ids]
-        rows = []
-        for i, text, found in zip(ids, texts, sample_texts(texts, keys, k, v), strict=True):
-            for n, r in enumerate(found, 1):
+        rows, found = [], sample_texts(texts, keys, k, v)
+        for i, text, drawn in zip(ids, texts, found, strict=True):
+            want = text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            for n, r in enumerate(drawn, 1):
                 crc = zlib.crc32(r["pieces"].astype("<u4").tobytes())
-                row = (i, n, len(r["pieces"]), r["logp"], r["gumbel"], r["inclusion"], crc, decode(r["pieces"], v) == text.replace(SPACE, " "))
-                rows.append((*row, r["pieces"]) if with_pieces else row)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                rows.append((i, n, len(r["pieces"]), r["logp"], r["gumbel"], r["inclusion"], crc, v.raw(r["pieces"]).tobytes()[1:] == want))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)]
+        if with_pieces:
+            flat = [r["pieces"] for drawn in found for r in drawn]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, np.concatenate(flat).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for batch in batches:
         ids, texts, size = [], [], 0

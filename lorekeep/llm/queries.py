@@ -70,7 +70,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.sample_segmentations(table(spark, sf_dir, "documents"))
+    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), with_pieces=True)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
