@@ -137,7 +137,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN top USING (doc_id)"""
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept")
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept", "kept_text")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

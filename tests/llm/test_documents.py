@@ -105,8 +105,8 @@ def test_banded_distance(spark, most):
 def test_line_dedup_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linededup, "SLICE", 3)
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 70))) for _ in range(25)]
-    texts = ["\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) if rng.random() < 0.9 else rng.choice(["", " ", "x"]) for _ in range(rng.randint(0, 6))) for _ in range(80)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([rng.randint(9, 26), rng.randint(20, 70)]))) for _ in range(40)]
+    texts = ["\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) if rng.random() < 0.9 else rng.choice(["", " ", "x"]) for _ in range(rng.randint(0, 6))) for _ in range(130)]
     first: dict = {}
     for d, t in enumerate(texts):
         for p, line in enumerate(t.split("\n")):
@@ -120,7 +120,8 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
         return x
 
     for a, b in itertools.combinations(first, 2):
-        if min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2:
+        limit = 2 if min(len(a), len(b)) >= 24 else 1
+        if min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= limit and levenshtein(a, b) <= limit:
             p, q = sorted((top(a), top(b)), key=first.get)
             up[q] = p
     want = ["\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip() or first[top(x)] == (d, p)) for d, t in enumerate(texts)]
@@ -128,6 +129,26 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
     assert [got[d].kept_text for d in range(len(texts))] == want and sum(r.n_near for r in got.values()) > 10
 
 
+def test_line_dedup_collapses_frequent_lines(spark, monkeypatch):
+    """A line of every document is compared once; its near line is still found; a long text of copies loses all but one."""
+    monkeypatch.setattr(linededup, "LEAST_COPIES", 3)
+    common, near = "This notice stands at the foot of every single page", "This notice stands at the foot of every single page!"
+    texts = [f"Own words of page {k * 7919} {chr(97 + k % 26) * 9}\n{common}" for k in range(40)] + [near, "\n".join(["the same line over and over"] * 5000)]
+    occurrences = linededup.line_occurrences(docs_of(spark, texts), "doc_id", "text")
+    repeated = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"))
+    assert linededup.without_frequent_copies(occurrences, repeated).where(F.col("line") == common).count() == 1
+    got = {r.doc_id: r for r in linededup.line_dedup(docs_of(spark, texts)).collect()}
+    assert got[0].n_kept == 2 and all((got[d].n_exact, got[d].kept_text) == (1, texts[d].split("\n")[0]) for d in range(1, 40))
+    assert (got[40].n_near, got[40].kept_text) == (1, "") and (got[41].n_exact, got[41].kept_text) == (4999, "the same line over and over")
+
+
+def test_line_dedup_keeps_other_columns(spark):
+    names = ["_key", "_gone", "_hash", "_doc", "key", "hash", "doc", "th", "gone", "row", "n", "first", "pos", "line", "h1"]
+    docs = docs_of(spark, ["a line of text\nother", "a line of text"]).withColumns({c: F.lit(c) for c in names}).withColumn("n_kept", F.lit("old"))
+    rows = sorted(linededup.line_dedup(docs).collect())
+    assert [r.kept_text for r in rows] == ["a line of text\nother", ""] and all(r[c] == c for c in names for r in rows) and rows[1].n_kept == 0
+
+
 def test_line_dedup_edges(messy, empty):
     got = linededup.line_dedup(messy).collect()
     assert len(got) == 11 and all(r.kept_text is None for r in got if r.doc_id == 0) and {r.n_kept for r in got if r.doc_id == 6} == {0}
@@ -275,15 +296,26 @@ def test_sampled_segmentations(messy, empty):
     weight = {p: math.exp(sum(v.weight[i] for i in p)) for p in weight}
     share = {p: w / sum(weight.values()) for p, w in weight.items()}
     n = 4000
-    drawn = pieces.sample_texts(["the ab"] * n, list(range(n)), 2, v)
-    first, second = (Counter(tuple(r[k]["pieces"].tolist()) for r in drawn) for k in (0, 1))
-    for b in sorted(share, key=share.get)[-2:]:
+    drawn = pieces.sample_texts(["the ab"] * n, list(range(n)), 4, v)
+    first, second, third = (Counter(tuple(r[k]["pieces"].tolist()) for r in drawn) for k in (0, 1, 2))
+    for b in sorted(share, key=share.get)[-3:]:
         want = sum(share[a] * share[b] / (1 - share[a]) for a in share if a != b)
-        assert abs(first[b] / n - share[b]) < 0.04 and abs(second[b] / n - want) < 0.04
+        last = sum(share[a] / 1 * share[c] / (1 - share[a]) * share[b] / (1 - share[a] - share[c]) for a in share for c in share if len({a, b, c}) == 3)
+        assert abs(first[b] / n - share[b]) < 0.04 and abs(second[b] / n - want) < 0.04 and abs(third[b] / n - last) < 0.04
+    for r in drawn:
+        assert len({tuple(x["pieces"]) for x in r}) == len(r) == min(4, len(share)) and [x["gumbel"] for x in r] == sorted((x["gumbel"] for x in r), reverse=True)
+    # without-replacement estimate of the mean number of pieces: each draw but the last, weighted by its inclusion
+    mean = sum(len(p) * s for p, s in share.items())
+    estimate = [sum(math.exp(x["logp"]) * len(x["pieces"]) / x["inclusion"] for x in r) for r in drawn]
+    assert abs(np.mean(estimate) - mean) < 0.05
+    drawn = [r[:2] for r in drawn]
     assert all(tuple(a["pieces"]) != tuple(b["pieces"]) and a["gumbel"] >= b["gumbel"] and 0 <= a["inclusion"] <= 1 for a, b in drawn)
     rows = pieces.sample_segmentations(messy).collect()
     assert all(r.round_trip for r in rows) and {r.n_pieces for r in rows if r.doc_id in (0, 1)} == {0} and pieces.sample_segmentations(empty).count() == 0
     again = pieces.sample_segmentations(messy.repartition(7)).collect()
     assert sorted((str(r.doc_id), r.sample, r.ids_crc32) for r in rows) == sorted((str(r.doc_id), r.sample, r.ids_crc32) for r in again)
+    for text in ("a b\nc", "  two  marks ", "x▁y", "日本😀\n\x00", "word" * 70_000):  # lattices of any shape are walked to the end
+        for r in pieces.sample_texts([text], [5], 3, v)[0]:
+            assert pieces.decode(r["pieces"], v) == text.replace("▁", " ")
     back = pieces.decode_ids(pieces.encode_texts(messy)).where("text is not null").collect()
     assert all(r.decoded == r.text for r in back)
