@@ -37,7 +37,8 @@ def _op6_sql() -> str:
         shares = (*known.values(), 100.0 - sum(known.values()))
         fits.append(
             f"((n_chars < {quality.MIN_CHARS} OR {_js_sql(classes, chars, 'n_chars')} <= {quality.MAX_CHAR_DISTANCE}) AND "
-            f"(len(lw) < {quality.MIN_WORDS} OR {_js_sql(counts, shares, 'len(lw)')} <= {quality.MAX_WORD_DISTANCE}))")
+            f"(len(lw) < {quality.MIN_WORDS} OR ({_js_sql(counts, shares, 'len(lw)')} <= {quality.MAX_WORD_DISTANCE} AND "
+            f"({' + '.join(own)})::DOUBLE / len(lw) / {sum(known.values()) / 100.0!r} >= {quality.MIN_COMMON})))")
     chars_only = " OR ".join(f"{_js_sql(classes, r, 'n_chars')} <= {quality.MAX_CHAR_DISTANCE}" for r in quality.CHAR_REFERENCE.values())
     space = r"[ \t\n\x0B\f\r]"
     return rf"""
@@ -61,7 +62,8 @@ s AS (
   FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND CASE WHEN len(lw) = 0 THEN n_chars < {quality.MIN_CHARS} OR {chars_only} ELSE {' OR '.join(fits)} END AS kept
+  NOT base_failed AND CASE WHEN len(lw) = 0 THEN n_chars < {quality.MIN_CHARS} OR {chars_only} ELSE {' OR '.join(fits)} END
+    OR NOT base_failed AND 2 * length(regexp_replace(t, '[^\p{{Latin}}]+', '', 'g')) < length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS kept
 FROM b"""
 
 
@@ -159,7 +161,7 @@ FROM t"""
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"))
+    return tokens.token_counts(table(spark, sf_dir, "documents"), prefixes=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import functools
 import json
+import operator
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how this kind of tokenizer cuts a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MEMORY = 700_000
+_MEMORY = 400_000
+#: Two white-space characters in a row: there a prefix may end inside a run that the whole text cuts elsewhere.
+_RUN = re.compile(r"\s\s")
 
 
 def tokenizer_file(name_or_path: str) -> str:
@@ -75,6 +80,7 @@ class PrefixTokens:
         self.words = regex.compile(WORD_PATTERN)
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.total_of = _Counts(lambda w: self.word_counts(w)[-1])
+        self.steps_of = _Counts(self._steps_of_word)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding by its definition: merge the pair of least rank until none is left."""
@@ -130,6 +136,13 @@ class PrefixTokens:
             return counts
         return [counts[i] for i in range(len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
 
+    def _steps_of_word(self, word: str) -> bytes:
+        """Differences of the token counts of a word's prefixes, as 16-bit numbers."""
+        counts = self.word_counts(word)
+        if word in ("'re", "'ve", "'ll"):  # one character less is no word of its own
+            counts[2] = 2
+        return array("h", map(operator.sub, counts[1:], counts)).tobytes()
+
     def _parts(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at special tokens: (part, special)."""
         if self.special_pattern is None or not any(s in text for s in self.special):
@@ -156,9 +169,9 @@ class PrefixTokens:
                 continue
             run_start, run_base = 0, base  # of the white-space run that ends here
             for m in self.words.finditer(part):
-                word, own = m[0], np.array(self.word_counts(m[0])[1:], np.int64)
-                if word in ("'re", "'ve", "'ll"):
-                    own[1] = 2
+                word = m[0]
+                own = np.cumsum(np.frombuffer(self.steps_of[word], np.int16), dtype=np.int64)
+                whole = int(own[-1])
                 own += base
                 lead = 1 if word[0].isspace() and not word.isspace() else len(word) if word.isspace() else 0
                 if lead:  # inside a run of white space, a prefix ends with all of the run so far as one word
@@ -168,13 +181,23 @@ class PrefixTokens:
                         run = np.array(self.word_counts(part[run_start : m.start() + lead])[1:], np.int64)
                         own[:lead] = run_base + run[m.start() - run_start :]
                 out.append(own)
-                base += self.total_of[word]
+                base += whole
             before = part
         return np.concatenate(out)
 
+    def steps(self, text: str) -> np.ndarray:
+        """Differences of :meth:`counts`; where no two white-space characters meet, those of its words in a row."""
+        if _RUN.search(text) or len(self._parts(text)) > 1:
+            return np.diff(self.counts(text)).astype(np.int16)
+        if text in self.special:
+            return np.diff(self.counts(text)).astype(np.int16)
+        return np.frombuffer(b"".join(map(self.steps_of.__getitem__, self.words.findall(text))), np.int16)
+
 
 def longest_prefix(counts: np.ndarray, budget: int) -> int:
     """Most characters whose tokens fit a budget, from prefix counts (which need not rise steadily)."""
+    if counts.max() <= budget:
+        return len(counts) - 1
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
@@ -183,22 +206,23 @@ def counter(file: str) -> PrefixTokens:
     return PrefixTokens(file)
 
 
-def _count(batches: Iterator[pa.RecordBatch], file: str, steps: bool, budget: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], file: str, prefixes: bool, budget: int) -> Iterator[pa.RecordBatch]:
     c = counter(file)
     for batch in batches:
         n_bytes, n_tokens, kept, deltas = [], [], [], []
         for value in batch.column(1):
             text = value.as_py() or ""
             n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
-            if steps:
-                counts = c.counts(text)
-                n_tokens.append(int(counts[-1]))
-                kept.append(longest_prefix(counts, budget))
-                deltas.append(np.diff(counts).astype(np.int16).tobytes())
+            if prefixes:
+                steps = c.steps(text)
+                total = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+                n_tokens.append(int(total[-1]))
+                kept.append(longest_prefix(total, budget))
+                deltas.append(steps.tobytes())
             else:
                 n_tokens.append(c.total(text))
         columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
-        if steps:
+        if prefixes:
             columns += [pa.array(kept, pa.int64()), pa.array(deltas, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "budget_chars", "steps"][: len(columns)])
 
@@ -209,7 +233,7 @@ def token_counts(
     """``(id, n_bytes, n_tokens, over_limit)`` for each row; with ``prefixes`` also budget_chars and steps.
 
     n_tokens: as the library encodes the whole text without added special tokens; over_limit: more than ``limit``.
-    steps: little-endian 16-bit differences of the token counts of successive prefixes, by character; their running sum
+    steps: 16-bit differences (in the machine's order of bytes) of the token counts of successive prefixes, by character; their running sum
     answers any truncation or budget question without encoding again.  budget_chars: most characters within ``limit``.
     A null text counts as empty; a null id stays null; repeated rows stay; other columns are ignored.  No shuffle.
     """
