@@ -3,7 +3,8 @@
 A document's character-class histogram and its common-word histogram are compared with references of several
 languages by Jensen-Shannon distance (base 2, so 0 to 1).  A document passes if some language fits both and its common
 words make up a least part of the share they have in the reference: without any of them the distance stays below its limit.
-Histograms of few characters or words say little, so each has a minimum length under which it isn't judged.
+Histograms of few characters or words say little, so each has a minimum length under which it isn't judged.  The references
+are of languages in Latin letters; texts in other scripts are not judged by them, only by the base rules.
 
 The references are parameters of fixed size, not corpus statistics: one pass, no shuffle, no state that grows.
 """
@@ -47,7 +48,6 @@ def repeated_words(words: Column) -> Column:
     adds the words up to the next repeated window, three at most.
     """
     n = F.size(words)
-    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  evaluates value once
     none = F.lit(0).cast("long")
 
     def covered(hashes: Column) -> Column:
@@ -55,12 +55,12 @@ def repeated_words(words: Column) -> Column:
         starts = lambda o: F.sort_array(F.transform(F.filter(o, lambda x, k: (
             (x["h"] == F.get(o, k - 1)["h"]) | (x["h"] == F.get(o, k + 1)["h"]))), lambda x: x["i"]))
         total = F.aggregate(
-            once(ordered, starts), F.struct(none.alias("sum"), F.lit(-3).alias("last")),
+            _once(ordered, starts), F.struct(none.alias("sum"), F.lit(-3).alias("last")),
             lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(3), i - acc["last"])).cast("long").alias("sum"), i.alias("last")))["sum"]
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(total)
 
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
-    return F.when(n < 4, none).otherwise(once(hashes, covered))
+    return F.when(n < 4, none).otherwise(_once(hashes, covered))
 
 
 def js_distance(counts: Column, reference: tuple[float, ...]) -> Column:
@@ -73,73 +73,100 @@ def js_distance(counts: Column, reference: tuple[float, ...]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _signals(text: Column, char_reference: dict, word_reference: dict) -> Column:
+    """All signals of a text as one struct, each part of which is computed once wherever its fields are used or filtered."""
+    vocabulary = sorted({w for words in word_reference.values() for w in words})
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def parts(t: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        letter_words = F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != "")
+        classes = F.array(*[F.char_length(F.regexp_replace(t, p, "")).cast("double") for p in CHAR_PATTERN])
+        return F.struct(t.alias("t"), words_of(t).alias("w"), lines.alias("l"), letter_words.alias("lw"), classes.alias("known"))
+
+    def counts(x: Column) -> Column:
+        common = F.concat(F.lit(" "), F.array_join(F.filter(x["lw"], lambda w: w.isin(vocabulary)), "  "), F.lit(" "))
+        times = lambda j: F.array(*[(F.octet_length(j) - F.octet_length(F.replace(j, F.lit(f" {w} "), F.lit("")))) / float(len(f" {w} ".encode())) for w in vocabulary])
+        n = F.char_length(x["t"])
+        return F.struct(
+            x["t"].alias("t"), F.size(x["w"]).cast("long").alias("n_words"), (n - x["known"][CHAR_CLASSES.index("space")]).cast("long").alias("word_chars"),
+            F.char_length(F.regexp_replace(x["t"], r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"), repeated_words(x["w"]).alias("n_repeat_words"),
+            n.cast("long").alias("n_chars"), F.size(x["lw"]).cast("long").alias("n_letter_words"),
+            F.concat(x["known"], F.array(n - total(x["known"]))).alias("classes"), _once(common, times).alias("times"))
+
+    def distances(x: Column) -> Column:
+        own = lambda known: F.array(*[x["times"][vocabulary.index(w)] for w in known])
+        words = lambda known: F.concat(own(known), F.array(x["n_letter_words"] - total(own(known))))
+        shares = lambda known: (*known.values(), 100.0 - sum(known.values()))
+        common = lambda known: total(own(known)) / x["n_letter_words"] / (sum(known.values()) / 100.0)
+        return F.struct(
+            *[x[c].alias(c) for c in ("t", *COUNTS)],
+            F.when(x["n_chars"] > 0, F.array(*[js_distance(x["classes"], r) for r in char_reference.values()])).alias("js_chars"),
+            F.when(x["n_letter_words"] > 0, F.array(*[js_distance(words(k), shares(k)) for k in word_reference.values()])).alias("js_words"),
+            F.when(x["n_letter_words"] > 0, F.array(*[common(k) for k in word_reference.values()])).alias("common"))
+
+    return _once(_once(_once(F.coalesce(text, F.lit("")), parts), counts), distances)
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_letter_words")
+SIGNALS = (*COUNTS, "js_chars", "js_words", "common")
+
+
+def _with(docs: DataFrame, found: Column, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` and fields of a struct; its own columns travel in another, so that no name can clash."""
+    own = [c for c in docs.columns if c not in names]
+    return docs.select(F.struct(*own).alias("row"), found.alias("found")).select(*[F.col("row")[c].alias(c) for c in own], *[F.col("found")[c].alias(c) for c in names])
+
+
 def quality_signals(docs: DataFrame, text: str = "text", char_reference=None, word_reference=None) -> DataFrame:
     """``docs`` and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, n_letter_words,
     js_chars, js_words and common (arrays by language, in order of the references; common: the share of the language's
     common words as a part of their share in its reference).
 
-    A null text counts as no text: all counts 0 and distances null.  Columns of ``docs`` with these names are replaced.
+    A null text counts as no text: all counts 0 and distances null.  Columns of ``docs`` with these names are replaced,
+    all others stay whatever they are called.
     """
-    char_reference, word_reference = char_reference or CHAR_REFERENCE, word_reference or WORD_REFERENCE
-    t = F.coalesce(F.col(text), F.lit(""))
-    vocabulary = sorted({w for words in word_reference.values() for w in words})
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    classes = [F.char_length(F.regexp_replace(t, p, "")) for p in CHAR_PATTERN]
-    out = docs.withColumns({"_w": words_of(F.col(text)), "_l": lines, "_lw": F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != "")})
-    out = out.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "n_symbols": F.char_length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_w")),
-        "n_chars": F.char_length(t).cast("long"),
-        "n_letter_words": F.size("_lw").cast("long"),
-        "_known": F.array(*[c.cast("double") for c in classes]),
-        "_common": F.concat(F.lit(" "), F.array_join(F.filter("_lw", lambda w: w.isin(vocabulary)), "  "), F.lit(" ")),
-    })
-    times = lambda w: (F.octet_length("_common") - F.octet_length(F.replace("_common", F.lit(f" {w} "), F.lit("")))) / float(len(f" {w} ".encode()))
-    out = out.withColumn("_times", F.array(*[times(w) for w in vocabulary]))
-    classes_of = F.concat("_known", F.array(F.col("n_chars") - F.aggregate("_known", F.lit(0.0), lambda a, x: a + x)))
-
-    def own(known: dict[str, float]) -> Column:
-        return F.array(*[F.col("_times")[vocabulary.index(w)] for w in known])
-
-    def word_counts(known: dict[str, float]) -> Column:
-        return F.concat(own(known), F.array(F.col("n_letter_words") - F.aggregate(own(known), F.lit(0.0), lambda a, x: a + x)))
-
-    def common(known: dict[str, float]) -> Column:
-        return F.aggregate(own(known), F.lit(0.0), lambda a, x: a + x) / F.col("n_letter_words") / (sum(known.values()) / 100.0)
-
-    out = out.withColumns({"_classes": classes_of, "word_chars": (F.col("n_chars") - F.col("_known")[CHAR_CLASSES.index("space")]).cast("long")})
-    out = out.withColumns({
-        "js_chars": F.when(F.col("n_chars") > 0, F.array(*[js_distance(F.col("_classes"), r) for r in char_reference.values()])),
-        "js_words": F.when(F.col("n_letter_words") > 0, F.array(*[js_distance(word_counts(k), (*k.values(), 100.0 - sum(k.values()))) for k in word_reference.values()])),
-        "common": F.when(F.col("n_letter_words") > 0, F.array(*[common(k) for k in word_reference.values()])),
-    })
-    return out.drop("_w", "_l", "_lw", "_known", "_common", "_times", "_classes")
+    return _with(docs, _signals(F.col(text).cast("string"), char_reference or CHAR_REFERENCE, word_reference or WORD_REFERENCE), SIGNALS)
 
 
 def quality_rules(
     docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_chars: int = MIN_CHARS, min_letter_words: int = MIN_WORDS,
     max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, char_reference=None, word_reference=None,
-    min_common: float = MIN_COMMON,
+    min_common: float = MIN_COMMON, script: str = "Latin",
 ) -> DataFrame:
     """:func:`quality_signals` and the columns base_failed and kept.
 
     base_failed: under ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated 3-word windows.
     kept: not base_failed, and some language's distances are both small enough and its common words no fewer than
     ``min_common`` of their share in the reference; a histogram of under ``min_chars``
-    characters or ``min_letter_words`` words is not judged.  Both references must name the same languages in order.
+    characters or ``min_letter_words`` words is not judged, nor is a text most of whose letters are of another script than
+    ``script``, that of the references.  Both references must name the same languages in order.
+
+    Null, empty and blank texts have no words and fail the base rules; repeated rows get equal results, an empty table an
+    empty one.  A very long text is one row's work: lists of its words are held, of windows a hash each.
     """
     char_reference, word_reference = char_reference or CHAR_REFERENCE, word_reference or WORD_REFERENCE
     if list(char_reference) != list(word_reference):
         raise ValueError("the references name different languages")
-    out = quality_signals(docs, text, char_reference, word_reference)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    fits = F.exists(
-        F.arrays_zip("js_chars", "js_words", "common"),
-        lambda x: ((F.col("n_chars") < min_chars) | (x["js_chars"] <= max_char_distance)) & ((F.col("n_letter_words") < min_letter_words) | ((x["js_words"] <= max_word_distance) & (x["common"] >= min_common))))
-    no_words = (F.col("n_letter_words") == 0) & (F.col("n_chars") >= min_chars) & (F.array_min("js_chars") > max_char_distance)
-    verdict = F.when(F.col("n_letter_words") == 0, ~no_words).otherwise(F.coalesce(fits, F.lit(True)))
-    # a filter on the verdict must not sink below the projections: it would carry a copy of all expressions per use
-    here = F.monotonically_increasing_id() >= 0
-    return out.withColumns({"base_failed": failed, "kept": here & ~failed & verdict})
+
+    def judged(x: Column) -> Column:
+        failed = (x["n_words"] < min_words) | (100 * x["n_repeat_words"] > max_repeat_percent * x["n_words"])
+        fits = F.exists(
+            F.arrays_zip(x["js_chars"].alias("c"), x["js_words"].alias("w"), x["common"].alias("o")),
+            lambda y: ((x["n_chars"] < min_chars) | (y["c"] <= max_char_distance))
+            & ((x["n_letter_words"] < min_letter_words) | ((y["w"] <= max_word_distance) & (y["o"] >= min_common))))
+        no_words = (x["n_chars"] < min_chars) | (F.array_min(x["js_chars"]) <= max_char_distance)
+        verdict = F.when(x["n_letter_words"] == 0, no_words).otherwise(fits)
+        letters = lambda p: F.char_length(F.regexp_replace(x["t"], p, ""))
+        foreign = 2 * letters(rf"[^\p{{Is{script}}}]+") < letters(r"[^\p{L}]+")  # asked of rejected texts alone
+        kept = F.when(failed, False).when(F.coalesce(verdict, F.lit(True)), True).otherwise(foreign)
+        return F.struct(*[x[c].alias(c) for c in SIGNALS], failed.alias("base_failed"), kept.alias("kept"))
+
+    found = _once(_signals(F.col(text).cast("string"), char_reference, word_reference), judged)
+    return _with(docs, found, (*SIGNALS, "base_failed", "kept"))

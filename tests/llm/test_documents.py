@@ -188,6 +188,21 @@ def test_quality_needs_common_words(spark):
     assert [kept[k] for k in range(3)] == [False, False, True] and all(kept[k] for k in range(3, len(texts)))
 
 
+def test_quality_leaves_other_scripts_to_the_base_rules(spark):
+    rng = random.Random(8)
+    russian = " ".join("".join(rng.choice("аеиоунтрслквдмп") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    chinese = " ".join("".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(rng.randint(5, 20))) + "。" for _ in range(80))
+    symbols = " ".join("#$%"[rng.randrange(3)] * rng.randint(2, 9) + str(rng.randrange(10**6)) for _ in range(300))
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in quality.quality_rules(docs_of(spark, [russian, chinese, symbols, "да нет " * 60])).collect()}
+    assert kept == {0: (True, False), 1: (True, False), 2: (False, False), 3: (False, True)}
+
+
+def test_quality_keeps_other_columns(spark):
+    names = ["_w", "_l", "_lw", "_known", "_common", "_times", "_classes", "row", "found", "t", "w", "c"]
+    rows = quality.quality_rules(docs_of(spark, ["a", None]).withColumns({c: F.lit(c) for c in names}).withColumn("kept", F.lit("old")))
+    assert all(r[c] == c for r in rows.collect() for c in names) and rows.where("kept").count() == 0 and rows.columns.count("kept") == 1
+
+
 def library():
     from tokenizers import Tokenizer
 
