@@ -4,10 +4,11 @@ Equal vectors form one node.  The graph is one of largest inner products, not of
 length, a graph of distances (of vectors made equally long) finds too little.  Nodes are kept as 32-bit numbers, each
 scaled by its own largest component; only the final ranking reads the original vectors.
 
-Start: in each of several rounds random hyperplanes deal the nodes into leaves of bounded size, inside which all pairs
-are scored.  Descent: a node's neighbours and those it is a neighbour of are joined with their vectors and introduced
-to each other; pairs that beat the worst neighbour of an end are kept.  Search: from the query's own node and the longest vectors, the best
-nodes not yet visited are joined with the graph, the new ones among their neighbours with the vectors, until none is left.
+Start: in each of several rounds random hyperplanes deal the nodes into leaves of bounded size, inside which all pairs are
+scored; this gives the first lists.  Descent: a node's neighbours and those it is a neighbour of are joined with their vectors and
+introduced to each other; pairs that beat the worst neighbour of an end are kept.  Search: from the query's own node and the
+longest vectors, the best nodes not yet visited are joined with the graph, the new ones among their neighbours with the
+vectors, until a query's beam holds none; a query's state is its beam alone.
 
 Every step groups by node or query and holds one group of bounded size at a time.  The hyperplanes' medians and leaf
 frequencies come from a sample of at most ``SAMPLE`` nodes; all nodes are indexed.
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.plans.store import discard, materialize
 
-NEIGHBOURS, WIDTH, ROUNDS, LEAF, DESCENTS = 48, 32, 12, 2_048, 3
+NEIGHBOURS, WIDTH, ROUNDS, LEAF, DESCENTS = 48, 20, 12, 1_024, 2
 SAMPLE = 20_000
-BEAM, EXPAND, RERANK, ENTRIES = 96, 16, 40, 8
+BEAM, EXPAND, RERANK, ENTRIES = 128, 64, 40, 8
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -212,44 +213,54 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, lea
         merged = materialize(_grouped(graph.withColumn("fresh", F.lit(0)).unionByName(found), ["cid"], lambda g: _merge(g, k), edge), "graph")
         discard(graph)
         graph = merged
-        nodes.sparkSession._jvm.System.gc()  # lets Spark drop the finished descent's shuffle files
     return graph
 
 
-def _frontier(group: pa.RecordBatch, beam: int, expand: int) -> dict[str, np.ndarray] | None:
-    nodes, scores, visited = group.column("node").to_numpy(), group.column("score").to_numpy(), group.column("visited").to_numpy()
-    top = np.lexsort((nodes, -scores))[:beam]
-    todo = top[visited[top] == 0][:expand]
-    return {"cid": np.full(len(todo), group.column("cid")[0].as_py()), "node": nodes[todo]} if len(todo) else None
+_STATE = "cid bigint, node bigint, score double, visited int, todo int"
+
+
+def _advance(group: pa.RecordBatch, beam: int, expand: int) -> dict[str, np.ndarray] | None:
+    """A query's next beam: its last one and the nodes newly reached, which are scored; todo: the nodes to visit next.
+
+    The query's own vector stands in the row of node -1.
+    """
+    cid, node = group.column("cid")[0].as_py(), group.column("node").to_numpy()
+    score = group.column("score").to_numpy(zero_copy_only=False).copy()
+    visited = group.column("visited").to_numpy()
+    v = group.column("v")
+    fresh = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False) & (node >= 0))
+    if len(fresh):
+        score[fresh] = _vectors(v.take(pa.array(fresh))) @ _vectors(v.take(pa.array(np.flatnonzero(node == -1)[:1])))[0]
+    rows = np.flatnonzero(node >= 0)
+    rows = rows[np.lexsort((node[rows], -score[rows]))][:beam]
+    todo = np.zeros(len(rows), np.int32)
+    todo[np.flatnonzero(visited[rows] == 0)[:expand]] = 1
+    return {"cid": np.full(len(rows), cid), "node": node[rows], "score": score[rows], "visited": np.maximum(visited[rows], todo), "todo": todo}
 
 
 def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries: list[int] = (), beam: int = BEAM, expand: int = EXPAND, hops: int | None = None) -> DataFrame:
-    """``(cid, node, score)``: what greedy search meets for each query node of ``queries`` (cid), the query itself included.  hops: the most rounds, None: until the beam holds no unvisited node."""
-    # the query's own node and a few entry nodes are visited first and never left out; the final ranking scores them anew
+    """``(cid, node, score)``: the last beam of a greedy search for each query node of ``queries`` (cid).  hops: the most rounds, None: until no beam holds an unvisited node."""
+    of_node = nodes.select(F.col("cid").alias("node"), F.col("q").alias("v"))
+    near = graph.select(F.col("cid").alias("node"), "other")
+    asked = queries.join(nodes.select("cid", F.col("q").alias("v")), "cid").select("cid", F.lit(-1).cast("long").alias("node"), "v")
     start = F.array_distinct(F.array("cid", *[F.lit(e).cast("long") for e in entries]))
-    state = queries.select("cid", F.explode(start).alias("node")).select("cid", "node", F.lit(1e30).cast("double").alias("score"), F.lit(0).alias("visited"))
-    state = materialize(state, "beam")
-    asked = queries.join(nodes.select("cid", "q"), "cid")
+    state = queries.select("cid", F.explode(start).alias("node"))
+    first = state.join(near, "node").select("cid", F.col("other").alias("node")).distinct().join(state, ["cid", "node"], "left_anti")
+    reached = state.withColumn("visited", F.lit(1)).unionByName(first.withColumn("visited", F.lit(0)))
+    old = None
     for _ in itertools.count() if hops is None else range(hops):
-        chosen = materialize(_grouped(state, ["cid"], lambda g: _frontier(g, beam, expand), "cid bigint, node bigint"), "frontier")
-        if chosen.isEmpty():
-            discard(chosen)
+        rows = reached.join(of_node, "node").unionByName(asked.withColumn("visited", F.lit(0))).withColumn("score", F.lit(0.0))
+        if old is not None:
+            rows = rows.unionByName(old.select("cid", "node", "visited", "score", F.lit(None).cast("binary").alias("v")))
+        new = materialize(_grouped(rows.select("cid", "node", "score", "visited", "v"), ["cid"], lambda g: _advance(g, beam, expand), _STATE), "beam")
+        discard(old)
+        old = new
+        todo = new.where("todo = 1").select("cid", "node")
+        if todo.isEmpty():
             break
-        reached = chosen.join(graph.select(F.col("cid").alias("node"), "other"), "node").select("cid", F.col("other").alias("node")).distinct()
-        new = reached.join(state.select("cid", "node"), ["cid", "node"], "left_anti")
-        seen = new.join(nodes.select(F.col("cid").alias("node"), F.col("q").alias("v")), "node").join(asked, "cid")
-        scored = seen.select("cid", "node", "q", "v").mapInArrow(_dot, "cid bigint, node bigint, score double").withColumn("visited", F.lit(0))
-        marked = state.join(chosen.withColumn("now", F.lit(1)), ["cid", "node"], "left").select("cid", "node", "score", F.greatest("visited", F.coalesce("now", F.lit(0))).alias("visited"))
-        merged = materialize(marked.unionByName(scored), "beam")
-        discard(state, chosen)
-        state = merged
-    return state.select("cid", "node", "score")
-
-
-def _dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        s = np.einsum("nd,nd->n", _vectors(b.column("q")), _vectors(b.column("v"))) if len(b) else np.empty(0)
-        yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("node"), pa.array(s)], names=["cid", "node", "score"])
+        met = todo.join(near, "node").select("cid", F.col("other").alias("node")).distinct()
+        reached = met.join(new.select("cid", "node"), ["cid", "node"], "left_anti").withColumn("visited", F.lit(0))
+    return old.select("cid", "node", "score")
 
 
 def _encode(batches: Iterator[pa.RecordBatch], largest: float) -> Iterator[pa.RecordBatch]:

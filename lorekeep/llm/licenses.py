@@ -2,7 +2,10 @@
 
 All rolling word k-gram hashes of a text are joined to their positions in license notices.  A text that holds a
 notice gives hits with one offset (text position minus notice position), so hits are counted by offset; neighbouring
-offsets, which insertions and deletions cause, are merged; and each merged span is verified word by word.
+offsets, which insertions and deletions cause, are merged; and each merged span is verified word by word.  A merged span
+is at most twice as wide as ``merge_within`` (or a tenth of the notice), whatever the text: offsets are merged by cells of
+two grids, one shifted by half a cell, so any two offsets that close share a cell.  Of notices whose verified spans start
+within ``RIVAL_WORDS`` of each other, as the wordings of related licenses do, the best covered one gives the label.
 
 The notices are a parameter of bounded size, so their side of the join is broadcast and no text moves: only hits and
 one narrow row per document are shuffled.
@@ -33,7 +36,8 @@ NOTICES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
 )
-GRAM, MERGE_WITHIN, MIN_COVERAGE = 4, 2, 0.8
+GRAM, MERGE_WITHIN, MIN_COVERAGE = 4, 4, 0.8
+RIVAL_WORDS = 8
 #: Words that all notices hold at most.
 MAX_NOTICE_WORDS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -67,9 +71,10 @@ def license_scan(
 
     n_base counts the places of all phrases, first_word and last_word are the least and greatest of their starts (null
     without any).  labels adds to the phrases' labels those of notices of which ``min_coverage`` of the words stand along
-    one merged span.  score: 1 with a phrase, else the best coverage found, 0 without a label.  spans: (label, start, end,
-    coverage) of the verified spans.  Null and empty texts have no words and no labels; repeated rows get equal results;
-    a null id stays null; other columns are ignored.
+    one merged span, each beside a neighbour of the notice, and that no related notice covers better.  score: 1 with a
+    phrase, else the best coverage found, 0 without a label.  spans: (label, start, end, coverage) of the verified spans.
+    Null and empty texts have no words and no labels; repeated rows get equal results; an empty table gives an empty one; a
+    null id stays null; other columns are ignored.  Very long texts: their words are held once, hits are grouped by offset.
     """
     phrases = PHRASES if phrases is None else phrases
     spark = docs.sparkSession
@@ -83,22 +88,28 @@ def license_scan(
     grams = known.select("t", F.size("tw").alias("size"), F.inline(gram_hashes(F.col("tw"), gram))).select("t", "size", F.col("i").alias("p"), "h")
     hits = worded.select("key", F.inline(gram_hashes(F.col("w"), gram))).join(F.broadcast(grams), "h")
     votes = hits.groupBy("key", "t", "size", (F.col("i") - F.col("p")).alias("diagonal")).agg(F.countDistinct("i").alias("votes"))
-    order = Window.partitionBy("key", "t").orderBy("diagonal")
-    stepped = votes.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= merge_within, 0).otherwise(1))
-    islands = stepped.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = islands.groupBy("key", "t", "island").agg(
+    near = F.greatest(F.lit(merge_within), F.floor(F.col("size") / 10)).cast("int")
+    celled = votes.withColumn("near", near).withColumn("grid", F.explode(F.array(F.lit(0), F.lit(1))))
+    celled = celled.withColumn("cell", F.floor((F.col("diagonal") + F.col("grid") * F.col("near")) / (2 * F.col("near"))))
+    islands = celled.groupBy("key", "t", "grid", "cell").agg(
         F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"), F.first("size").alias("size"))
-    islands = materialize(islands.where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.col("size") / 10))).select("key", "t", "low", "high"), "spans")
+    islands = islands.where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.col("size") / 10))).select("key", "t", "low", "high").distinct()
+    islands = materialize(islands, "spans")
 
     wanted = islands.select("key").distinct()
     if islands.count() * 128 <= BROADCAST_BYTES:  # beyond that the texts are shuffled
         wanted = F.broadcast(wanted)
     texts = docs.select(key, F.col(text).alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", scan_words(F.col("text")).alias("w"))
-    fits = lambda p: F.exists(F.sequence("low", "high"), lambda d: F.when(p + d >= 0, F.get("w", p + d)) == F.get("tw", p))
+    same = lambda p, d: (p >= 0) & (p + d >= 0) & (F.get("w", p + d) == F.get("tw", p))
+    along = lambda p: lambda d: same(p, d) & (same(p - 1, d) | same(p + 1, d))  # noqa: E731  a word alone may meet by chance
+    fits = lambda p: F.exists(F.sequence("low", "high"), along(p))
     met = islands.join(texts, "key").join(F.broadcast(known), "t").withColumn("met", F.filter(F.sequence(F.lit(0), F.size("tw") - 1), fits))
     met = met.withColumn("coverage", F.size("met") / F.size("tw")).where(F.col("coverage") >= min_coverage)
-    span = F.struct("label", F.greatest(F.lit(0), F.col("low") + F.array_min("met")).alias("start"), (F.col("high") + F.array_max("met") + 1).alias("end"), "coverage")
-    found = met.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"), F.sort_array(F.collect_list(span)).alias("spans"))
+    met = met.withColumns({"start": F.greatest(F.lit(0), F.col("low") + F.array_min("met")), "end": F.col("high") + F.array_max("met") + 1})
+    rivals = Window.partitionBy("key").orderBy("start").rangeBetween(-RIVAL_WORDS, RIVAL_WORDS)
+    met = met.withColumn("best", F.max("coverage").over(rivals)).where(F.col("coverage") == F.col("best"))
+    found = met.groupBy("key").agg(
+        F.collect_set("label").alias("more"), F.max("coverage").alias("best"), F.sort_array(F.collect_set(F.struct("label", "start", "end", "coverage"))).alias("spans"))
 
     base = worded.withColumn("j", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
     base = base.select("key", F.size("w").cast("long").alias("n_words"), *[_places(F.col("w"), F.col("j"), p).alias(f"p{k}") for k, p in enumerate(phrases)])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.tokens import WORD_PATTERN, tokenizer_file
 
 GROUP_TOKENS = 1_000_000
-SPECIAL = {"<|endoftext|>": 50256}
+#: The library's file of the vocabulary that is also read as ranks; it names the special tokens.
+SPECIAL_FROM = "byte_bpe_50k.json"
 
 
 @functools.lru_cache(4)
@@ -39,7 +41,9 @@ def encoder(file: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    with open(tokenizer_file(SPECIAL_FROM), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    enc = tiktoken.Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: np.array(enc.encode(text, allowed_special="all"), np.uint32)
 
 

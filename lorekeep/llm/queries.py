@@ -93,17 +93,22 @@ ng AS (SELECT t, len(tw) AS size, unnest(range(0, len(tw) - 3)) AS p, tw FROM n)
 tg AS (SELECT t, size, p, array_to_string(tw[p + 1:p + 4], ' ') AS g FROM ng),
 dg AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS i FROM d WHERE len(w) >= 4)),
 votes AS (SELECT doc_id, t, size, i - p AS diagonal, count(DISTINCT i) AS votes FROM dg JOIN tg USING (g) GROUP BY ALL),
-stepped AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {licenses.MERGE_WITHIN} THEN 0 ELSE 1 END AS new FROM votes),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM stepped),
+celled AS (
+  SELECT doc_id, t, size, diagonal, votes, grid, floor((diagonal + grid * near) / (2.0 * near)) AS cell
+  FROM (SELECT *, greatest({licenses.MERGE_WITHIN}, size // 10) AS near, unnest([0, 1]) AS grid FROM votes)),
 islands AS (
-  SELECT doc_id, t, island, min(diagonal) AS low, max(diagonal) AS high FROM numbered GROUP BY doc_id, t, island, size
-  HAVING sum(votes) >= greatest(1, size // 10)),
-met AS (
-  SELECT doc_id, label, len(list_filter(range(0, len(tw)), lambda p: len(list_filter(range(low, high + 1), lambda e: p + e >= 0 AND w[p + e + 1] = tw[p + 1])) > 0))
-    / len(tw) AS coverage
+  SELECT DISTINCT doc_id, t, low, high FROM (
+    SELECT doc_id, t, min(diagonal) AS low, max(diagonal) AS high FROM celled GROUP BY doc_id, t, grid, cell, size HAVING sum(votes) >= greatest(1, size // 10))),
+held AS (
+  SELECT doc_id, label, low, len(tw) AS size, list_filter(range(0, len(tw)), lambda p: len(list_filter(range(low, high + 1), lambda e: p + e >= 0 AND w[p + e + 1] = tw[p + 1]
+      AND ((p >= 1 AND p + e >= 1 AND w[p + e] = tw[p]) OR coalesce(w[p + e + 2] = tw[p + 2], false)))) > 0) AS met
   FROM islands JOIN d USING (doc_id) JOIN n USING (t)),
-found AS (SELECT doc_id, list(DISTINCT label) AS more, max(coverage) AS best FROM met WHERE coverage >= {licenses.MIN_COVERAGE} GROUP BY doc_id),
+spanned AS (SELECT doc_id, label, len(met) / size AS coverage, greatest(0, low + list_min(met)) AS start FROM held WHERE len(met) / size >= {licenses.MIN_COVERAGE}),
+met AS (
+  SELECT doc_id, label, coverage FROM (
+    SELECT *, max(coverage) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {licenses.RIVAL_WORDS} PRECEDING AND {licenses.RIVAL_WORDS} FOLLOWING) AS best FROM spanned)
+  WHERE coverage = best),
+found AS (SELECT doc_id, list(DISTINCT label) AS more, max(coverage) AS best FROM met GROUP BY doc_id),
 ph AS (SELECT * FROM (VALUES {phrases}) v(phrase, label, size)),
 pl AS (
   SELECT doc_id, label, i FROM (SELECT doc_id, w, label, phrase, size, unnest(range(0, len(w) - size + 1)) AS i FROM d, ph WHERE len(w) >= size)

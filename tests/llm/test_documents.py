@@ -259,6 +259,17 @@ def test_license_scan(spark, messy, empty):
     assert licenses.license_scan(messy).count() == 11 and licenses.license_scan(empty).count() == 0
 
 
+def test_license_scan_tells_related_notices_apart(spark):
+    by = dict(licenses.NOTICES)
+    gpl, lgpl = by["gpl"].split(), "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.".split()
+    texts = [
+        " ".join(gpl), " ".join(lgpl), by["cc-by-nc"], by["cc-by-sa"], " ".join(gpl[:20] + ["page", "3", "header"] + gpl[20:]), " ".join(random.Random(1).sample(gpl, len(gpl))),
+        " ".join(["permission"] * 3000 + ["or substantial portions of"] * 2000), " ".join(["x"] * 7 + by["mit"].split()[:45] + ["inserted"] * 8 + by["mit"].split()[45:]),
+        f"{by['cc-by-nc']} and elsewhere, a long way further down in this text: {by['cc-by-sa']}"]
+    got = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, texts), phrases={}).collect()}
+    assert [got[k].labels for k in range(9)] == ["gpl", "lgpl", "cc-by-nc", "cc-by-sa", "gpl", "", "", "mit", "cc-by-nc,cc-by-sa"]
+
+
 def test_lm_prefers_learnt_order(spark, messy, empty):
     rng = random.Random(3)
     sentence = lambda: " ".join(f"{a} {b}" for a, b in (rng.choice([("red", "apple"), ("blue", "sky"), ("green", "tree"), ("old", "stone")]) for _ in range(30)))

@@ -1,15 +1,27 @@
 """Archives, nearest neighbours and the pipeline."""
 
 import gzip
-import zlib
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lorekeep.llm import ann, warc
+from lorekeep.llm import ann, neardup, tokens, warc
 from lorekeep.plans.store import fresh_path
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_archives_round_trip(spark):
     big, tricky = "é" * 60_001, "WARC/1.1\r\n\r\n" * 200
     rows = [(1, "u", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", tricky), (8, "u", tricky), (9, "a b\r\nX: y", tricky + "1"), (9, "z", tricky + "1"), (None, "q", big)]
@@ -94,20 +106,97 @@ def test_one_huge_vector_leaves_the_others_their_neighbours(spark):
     assert sum(hits) / 20 / len(hits) >= 0.95
 
 
-def test_pipeline(spark, messy, tmp_path):
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _prose(rng, words):
+    """Sentences with the common words of English and no 3-word window twice."""
+    common = ["the", "of", "and", "to", "in", "is", "that", "was", "for", "with"]
+    noun = lambda: "".join(rng.choice("aeioulnrstdm") for _ in range(rng.randint(4, 8)))
+    return " ".join(f"{noun()} {rng.choice(common)} {noun()}{rng.choice(['', '', ',', '.'])}" for _ in range(words // 3))
+
+
+def _brute_lines(docs):
+    """Texts by id without lines that an earlier one equals or is near to; ids of documents left with no word are gone."""
+    first, up = {}, {}
+    for d in sorted(docs):
+        for k, line in enumerate(docs[d].split("\n")):
+            if line.strip():
+                first.setdefault(line, (d, k))
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    names = sorted(first, key=first.get)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            limit = 2 if min(len(a), len(b)) >= 24 else 1 if min(len(a), len(b)) >= 12 else 0
+            if limit and abs(len(a) - len(b)) <= limit and levenshtein(a, b) <= limit:
+                p, q = sorted((top(a), top(b)), key=first.get)
+                up[q] = p
+    out = {}
+    for d, t in docs.items():
+        kept = [x for k, x in enumerate(t.split("\n")) if not x.strip() or first[top(x)] == (d, k)]
+        if len(kept) == len(t.split("\n")) or any(x.strip() for x in kept):
+            out[d] = "\n".join(kept)
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    line = lambda k: " ".join(f"the {c}{k} of it and in that for is was" for c in "abcdefghijklm") + "."
-    text = lambda k: "\n".join(f"Here is part {k} {j} {line(f'{k}x{j}')}" for j in range(4))
-    rows = [(i, text(i), "en", "s", 1) for i in range(6)] + [(10, text(0), "en", "s", 1), (11, text(1) + " tail", "en", "s", 1), (12, "junk ### $$$ %%%", "en", "s", 1), (13, None, None, None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(12)
+    texts = {i: "\n".join(_prose(rng, 60) for _ in range(3)) for i in range(8)}
+    texts[10] = texts[0]  # loses all its lines
+    words = texts[1].split(" ")
+    texts[11] = " ".join(w if k % 40 else f"changed{k}" for k, w in enumerate(words))  # a near copy
+    texts[12] = texts[2][: len(texts[2]) // 2] + "\n" + _prose(rng, 90) + "\n" + texts[3].split("\n")[1] + "!"  # one line of it is near to another
+    texts[13] = " ".join(f"{'#$%'[k % 3] * 4}{k}" for k in range(120))
+    texts[14], texts[15] = "the same few words " * 30, "short"
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(16, None, None, None, None), (17, "", "en", "s", 0)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    seen = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        seen.append({r.doc_id for r in docs.collect()})
-    assert 12 not in seen[0] and 13 not in seen[0] and set(range(6)) <= seen[0]
-    assert 10 not in seen[1] and set(range(6)) <= seen[2]
+    stages = dict(corpus_pipeline.STAGES)
+
+    one = stages["quality_rules"](spark, docs, "")
+    kept = {r.doc_id: r.text for r in one.collect()}
+    assert set(kept) == {*range(8), 10, 11, 12} and one.columns == docs.columns
+    two = stages["line_dedup"](spark, one, "")
+    lines = {r.doc_id: (r.text, r.n_chars) for r in two.collect()}
+    want = _brute_lines(kept)
+    assert lines == {d: (t, len(t)) for d, t in want.items()} and 10 not in lines and two.columns == docs.columns
+    assert any(want[d] != kept[d] for d in want)
+    three = stages["near_duplicates"](spark, two, "")
+    left = {r.doc_id for r in three.collect()}
+    sets = {d: set(zip(t.lower().split(), t.lower().split()[1:])) for d, t in want.items()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links and left == set(want) - {b for _, b in links} and three.columns == docs.columns
+    marked = {r.doc_id for r in neardup.near_duplicates(two, shingle_words=2, percent=80).where("not kept").collect()}
+    assert left == set(want) - marked
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} == seen[2] and zlib.crc32(b"") == 0
+    whole: dict = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == whole.get(r.doc_id, 0)
+        whole[r.doc_id] = r.start + r.length
+    lib = Tokenizer.from_file(tokens.tokenizer_file("byte_bpe_50k.json"))
+    assert whole == {d: len(lib.encode(want[d], add_special_tokens=False).ids) + 1 for d in left}
+
+
+def test_pipeline_edges(spark, messy, empty):
+    """Nulls, repeated rows, a very long text and clashing columns pass through all stages; an empty table stays empty."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    long_text = _prose(rng, 30_000)
+    names = ["_key", "_gone", "_w", "row", "kept", "hash", "key", "component_id"]
+    rows = [(1, None), (2, ""), (3, long_text), (3, long_text), (None, _prose(rng, 200)), (4, _prose(rng, 200)), (5, "é" * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long")).withColumns({c: F.lit(c) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "n_chars", *names] and all(r[c] == c for r in docs.collect() for c in names)
+    assert sorted(r.doc_id for r in docs.where("doc_id is not null").collect()) == [3, 3, 4]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty.withColumn("n_chars", F.lit(0)), "").count() == 0
+        assert stage(spark, messy.withColumn("n_chars", F.lit(0)), "").count() >= 0
