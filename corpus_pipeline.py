@@ -32,8 +32,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least id; of repeated rows, all that bear it."""
-    found = neardup.near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct()
+    """One document of each near-duplicate group: that with the least id; of repeated rows, all that bear it.
+
+    Sets are of two-word shingles, as in the operator's query: sets of five words lose copies with a few scattered edits.
+    """
+    found = neardup.near_duplicates(docs, shingle_words=2, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -42,7 +45,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_dedup_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("packing", packing_stage),
+]
 #: The packing of byte-pair tokens has no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
