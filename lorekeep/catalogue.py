@@ -247,33 +247,12 @@ def thin_links(spark, sf_dir):
     return graph.thin_links(edges, graph.communities(nodes, edges))
 
 
-@query()
-def isolated_groups(spark, sf_dir):
-    nodes, edges = _edges(spark, sf_dir)
-    return graph.isolated_communities(edges, graph.communities(nodes, edges))
-
-
-@query()
-def bridges(spark, sf_dir):
-    return graph.fragile_places(_edges(spark, sf_dir)[1]).where("kind = 'bridge'")
-
-
-@query()
-def cut_vertices(spark, sf_dir):
-    return graph.fragile_places(_edges(spark, sf_dir)[1]).where("kind = 'cut_vertex'")
-
-
 @query()
 def graph_stats(spark, sf_dir):
     nodes, edges = _edges(spark, sf_dir)
     return graph.graph_stats(nodes, edges, graph.communities(nodes, edges), graph.fragile_places(edges))
 
 
-@query()
-def graph_json(spark, sf_dir):
-    return graph.graph_json(*_edges(spark, sf_dir))
-
-
 # --- reports ---------------------------------------------------------------------------------------------------------------
 INDEX = """
 ix AS (SELECT string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY path) || chr(10) || '- [gone](entities/gone.md)' || chr(10) || '- [out](../out.md) [web](https://x.example/a.md)' AS text
@@ -375,17 +354,6 @@ def nearest_page(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
-def check_report(spark, sf_dir):
-    return checks.check(adapters.star_kb(spark, sf_dir), T.fold_ascii)
-
-
-@query()
-def health_report(spark, sf_dir):
-    pages = adapters.star_kb(spark, sf_dir)
-    return checks.health(pages, _index(pages))
-
-
 @query()
 def lint_report(spark, sf_dir):
     pages = adapters.star_kb(spark, sf_dir)

@@ -100,23 +100,26 @@ def scan_block(text: str | None) -> dict:
     """Title, type and aliases by lines alone; what YAML would refuse still gives what its lines say."""
     block, _ = split_block(text or "")
     out: dict = {"title": None, "type": None, "aliases": []}
-    listing = False
+    seen, listing = set(), False
     for line in (block or "").splitlines():
-        if listing and (m := re.match(r"\s*-\s+(.*)", line)):
-            if item := _bare(m[1]):
+        if listing and (m := re.match(r"\s*-(?:\s+(.*))?$", line)):  # a bare dash is an empty item
+            if item := _bare(m[1] or ""):
                 out["aliases"].append(item)
             continue
         listing = False
-        if m := re.match(r"(title|type|aliases):(.*)", line):
-            value = _bare(m[2])
-            if m[1] != "aliases":
-                out[m[1]] = value or None
-            elif value.startswith("["):
-                out["aliases"] = [b for x in value.strip("[]").split(",") if (b := _bare(x))]
-            elif value:
-                out["aliases"] = [value]
-            else:
-                listing = True
+        m = re.match(r"(title|type|aliases):(.*)", line)
+        if not m or m[1] in seen:  # the first line of a key counts
+            continue
+        seen.add(m[1])
+        value = _bare(m[2])
+        if m[1] != "aliases":
+            out[m[1]] = value or None
+        elif value.startswith("[") and value.endswith("]"):
+            out["aliases"] = [b for x in value[1:-1].split(",") if (b := _bare(x))]
+        elif value:
+            out["aliases"] = [value]
+        else:
+            listing = True
     return out
 
 
