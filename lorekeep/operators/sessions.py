@@ -44,10 +44,11 @@ def session_states(msgs: DataFrame, seconds: int = SESSION_SECONDS, key: str = "
 
 def idle_reclaim(sessions: DataFrame, now, seconds: int = SESSION_SECONDS, most: int = 100) -> DataFrame:
     """``(session, reason)`` of sessions to close: idle too long, or the least recent beyond ``most``."""
-    rank = F.row_number().over(Window.orderBy(F.desc("last_ts"), "session"))
     rows = sessions.withColumns({"idle": F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_ts") > seconds * 1_000_000})
-    live = rows.where("not idle").withColumn("rank", rank).where(F.col("rank") > most).select("session", F.lit("cap").alias("reason"))
-    return rows.where("idle").select("session", F.lit("idle").alias("reason")).unionByName(live)
+    live = rows.where("not idle").select("session", "last_ts")
+    kept = live.orderBy(F.desc("last_ts"), "session").limit(most).select("session")  # a top-k of bounded size, no task that sees all sessions
+    over = live.join(F.broadcast(kept), "session", "left_anti").select("session", F.lit("cap").alias("reason"))
+    return rows.where("idle").select("session", F.lit("idle").alias("reason")).unionByName(over)
 
 
 def busy_rejections(turns: DataFrame, key: str = "session") -> DataFrame:
@@ -76,6 +77,11 @@ def stale_snapshots(stored: DataFrame, session_id: str) -> DataFrame:
     return stored.where(F.col("id") == session_id).select("file")
 
 
+def last_snapshots(stored: DataFrame) -> DataFrame:
+    """``(id, saved_at, file)``: the last stored snapshot of each session; of equal times the last file name."""
+    return stored.groupBy("id").agg(F.max(F.struct("saved_at", "file")).alias("s")).select("id", "s.saved_at", "s.file")
+
+
 def filtered_pages(pages: DataFrame, needle: str) -> DataFrame:
     """Pages whose title or path holds ``needle`` in any case, by type."""
     hit = F.contains(F.lower("title"), F.lit(needle.lower())) | F.contains(F.lower("path"), F.lit(needle.lower()))
