@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.catalogue import query, star, table
+from lorekeep.catalogue import IDF, SCORED, TOP, D, query, star, table
 from lorekeep.catalogue_pages import given
 from lorekeep.functions import text as T
-from lorekeep.operators import maintain, resolve, sessions
+from lorekeep.operators import maintain, resolve, search, sessions
 from lorekeep.plans import adapters
 from lorekeep.sources import wiki
 
@@ -206,3 +206,13 @@ def workspace_listing(spark, sf_dir):
 @query("SELECT count(*) AS n FROM documents WHERE doc_id * 1000 >= 250000")
 def modified_since(spark, sf_dir):
     return wiki.modified_since(_listed(spark, sf_dir), 250_000)
+
+
+@query(f"""WITH {D}, {IDF}, q AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(qid), '[a-z0-9]+')) AS term FROM (SELECT item_id || ' ' || text AS qid FROM benchmark WHERE text IS NOT NULL)), {SCORED}
+SELECT qid AS name, rank, page FROM ({TOP.format('s', 3)}) UNION ALL SELECT 'doc-' || doc_id, 0, 'sources/doc-' || doc_id || '.md' FROM documents WHERE doc_id % 50 = 0""")
+def page_miss_fallback(spark, sf_dir):
+    docs = adapters.docs_kb(spark, sf_dir)
+    keys = docs.select(T.link_stem("page").alias("key"), F.col("page").alias("owner"))
+    asked = table(spark, sf_dir, "benchmark").where("text is not null").select(_text(F.col("item_id"), " ", F.col("text")).alias("name"))
+    asked = asked.unionByName(docs.where("doc_id % 50 = 0").select(_text("doc-", F.col("doc_id")).alias("name")))
+    return search.page_or_best(asked, keys, docs, fold=T.fold_ascii)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators.resolve import page_links, resolution_table, resolve
 from lorekeep.plans.components import connected_components
+from lorekeep.plans.store import materialize
 
 HUB_SIGMA, HUB_MIN_DEGREE, MIN_COMMUNITY, MIN_SIDE, MIN_PIECE, MIN_GAIN = 2.0, 5, 2, 2, 2, 1e-7
 
@@ -159,8 +160,11 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label = solved.select("id", last(level, F.col("labels")).alias("least")) if depth else solved.select("id", F.col("id").alias("least"))
     out = nodes.select("id").distinct().join(label, "id", "left").withColumn("least", F.coalesce("least", "id"))
     # numbers of the communities without one task that sees them all: rank inside range partitions plus what lies before
-    firsts = out.select("least").distinct().rdd.map(lambda r: r["least"]).sortBy(lambda x: x).zipWithIndex()
-    numbers = out.sparkSession.createDataFrame(firsts, "least string, community long")
+    placed = materialize(out.select("least").distinct().repartitionByRange("least").withColumn("part", F.spark_partition_id()), "firsts")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    offsets = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("least")) - 1
+    numbers = placed.withColumn("place", place).join(F.broadcast(offsets), "part").select("least", (F.col("before") + F.col("place")).alias("community"))
     return out.join(numbers, "least").select("id", "community")
 
 
