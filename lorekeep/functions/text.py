@@ -27,16 +27,22 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Every character that Unicode calls white space, and the four separators that Python strips as well.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def tokenize(text: Column | str) -> Column:
     """Tokens in order, repeats kept: words of [a-z0-9] after lower-casing, CJK runs as overlapping bigrams (alone: one character)."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(f"[{CJK}]+|[a-z0-9]+"), F.lit(0))
+    low = F.lower(F.coalesce(col(text), F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+|[a-z0-9]+"), F.lit(0))
     bigrams = lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
     cut = lambda s: F.when(s.rlike(f"^[{CJK}]") & (F.char_length(s) > 1), bigrams(s)).otherwise(F.array(s))
-    return F.flatten(F.transform(runs, cut))
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))  # most texts hold no CJK: no test of each word
+    return F.when(low.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, cut))).otherwise(words)
 
 
 def wikilinks(text: Column | str) -> Column:
@@ -46,9 +52,9 @@ def wikilinks(text: Column | str) -> Column:
 
 def link_stem(raw: Column | str) -> Column:
     """Key of a link: before the first ``|`` and ``#``, last path part, without ``.md``, lower-case."""
-    target = strip(F.split_part(F.split_part(col(raw), F.lit("|"), F.lit(1)), F.lit("#"), F.lit(1)))
-    name = F.element_at(F.split(F.replace(target, F.lit("\\"), F.lit("/")), "/"), -1)
-    return F.lower(F.regexp_replace(name, r"(?i)\.md$", ""))
+    target = strip(F.substring_index(F.substring_index(col(raw), "|", 1), "#", 1))
+    name = F.lower(F.substring_index(F.replace(target, F.lit("\\"), F.lit("/")), "/", -1))
+    return F.regexp_replace(name, r"\.md$", "")  # one occurrence of the name: plans copy what a filter tests
 
 
 @F.pandas_udf(X.StringType())

@@ -25,17 +25,18 @@ def graph_nodes(pages: DataFrame) -> DataFrame:
 
 
 def resolved_links(pages: DataFrame, fold=T.fold_stem) -> DataFrame:
-    """``(path, pos, raw, stem, owner, to_config)`` of every link."""
-    config = pages.where("is_config").select(F.col("path").alias("owner"), F.lit(True).alias("to_config"))
-    links = resolve(page_links(pages), resolution_table(pages, fold), fold=fold)
-    return links.join(config, "owner", "left").select("path", "pos", "raw", "stem", "owner", F.coalesce("to_config", F.lit(False)).alias("to_config"))
+    """``(path, source, pos, raw, stem, owner, to_config, target)`` of every link; source and target are keys, of an unknown target that of the link."""
+    met = materialize(page_links(pages), "links")  # read for the distinct keys and for the rows
+    links = resolve(met, materialize(resolution_table(pages, fold), "keys"), fold=fold)  # probed twice
+    owners = pages.select(F.col("path").alias("owner"), F.col("is_config").alias("to_config"), T.link_stem("path").alias("owner_stem")).distinct()
+    links = links.join(owners, "owner", "left")
+    return links.select("path", "source", "pos", "raw", "stem", "owner", F.coalesce("to_config", F.lit(False)).alias("to_config"), F.coalesce("owner_stem", "stem").alias("target"))
 
 
 def graph_edges(pages: DataFrame, links: DataFrame | None = None, fold=T.fold_stem) -> DataFrame:
     """Distinct ``(source, target, resolved)``: links to settings pages are dropped, self loops stay, unknown targets are their key."""
     links = resolved_links(pages, fold) if links is None else links
-    target = F.when(F.col("owner").isNull(), F.col("stem")).otherwise(T.link_stem("owner"))
-    return links.where("not to_config").select(T.link_stem("path").alias("source"), target.alias("target"), F.col("owner").isNotNull().alias("resolved")).distinct()
+    return links.where("not to_config").select("source", "target", F.col("owner").isNotNull().alias("resolved")).distinct()
 
 
 def inlink_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -23,12 +23,13 @@ def alias_index(pages: DataFrame) -> DataFrame:
 def resolution_table(pages: DataFrame, fold=T.fold_stem) -> DataFrame:
     """``(key, owner, tier)``: stems (0), aliases that are no stem (1), and folded keys with a single owner that are no key yet (2)."""
     stems = stem_index(pages)
-    by_stem = stems.select(F.col("stem").alias("key"), F.col("path").alias("owner"), F.lit(0).alias("tier"))
     aliases = alias_index(pages).join(stems, "stem").select("key", F.col("path").alias("owner"), F.lit(1).alias("tier"))
-    base = by_stem.unionByName(aliases.join(by_stem.select("key"), "key", "left_anti"))
-    folded = base.withColumn("folded", fold(F.col("key"))).groupBy("folded").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"))
-    folded = folded.where("owner = last").select(F.col("folded").alias("key"), "owner", F.lit(2).alias("tier"))
-    return base.unionByName(folded.join(base.select("key"), "key", "left_anti"))
+    known = stems.select(F.col("stem").alias("key"), F.col("path").alias("owner"), F.lit(0).alias("tier")).unionByName(aliases)
+    base = known.groupBy("key").agg(F.min(F.struct("tier", "owner")).alias("b")).select("key", "b.owner", "b.tier").withColumn("folded", fold(F.col("key")))
+    own = F.struct("key", "owner", "tier")
+    loose = F.struct(F.col("folded").alias("key"), "owner", F.lit(2).alias("tier"))
+    rows = base.select(F.inline(F.array(own, loose))).groupBy("key").agg(F.min(F.struct("tier", "owner")).alias("b"), F.max("owner").alias("last"), F.min("owner").alias("first"))
+    return rows.where("b.tier < 2 or first = last").select("key", "b.owner", "b.tier")
 
 
 def resolve(links: DataFrame, keys: DataFrame, stem: str = "stem", fold=T.fold_stem) -> DataFrame:
@@ -42,8 +43,8 @@ def resolve(links: DataFrame, keys: DataFrame, stem: str = "stem", fold=T.fold_s
 
 
 def page_links(pages: DataFrame, body: str = "body") -> DataFrame:
-    """``(path, pos, raw, stem)`` of the links outside whole-line comments of content pages; empty stems are left out."""
-    rows = pages.where("not is_config").select("path", F.posexplode(T.wikilinks(T.strip_comments(body))).alias("pos", "raw"))
+    """``(path, source, pos, raw, stem)`` of the links outside whole-line comments of content pages, source being the page's own key; empty stems are left out."""
+    rows = pages.where("not is_config").select("path", T.link_stem("path").alias("source"), F.posexplode(T.wikilinks(T.strip_comments(body))).alias("pos", "raw"))
     return rows.withColumn("stem", T.link_stem("raw")).where("stem <> ''")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.plans.store import materialize, spread
 
 NAMES = {
     "spark": {"joined": "array_join(array_sort(collect_set({0})), ' ')", "set": "array_sort(collect_set({0}))", "nl": "'\\n'", "none": "cast(array() as array<string>)", "list": "array({0})"},
@@ -63,12 +64,13 @@ def as_pages(rows: DataFrame) -> DataFrame:
 
 
 def star_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_pages(with_views(spark, sf_dir, star_pages_sql("spark"), ("region", "nation", "supplier", "customer", "part", "lineitem")))
+    """The star's pages, written once: resolution, links and nodes each read the columns they need."""
+    return materialize(as_pages(with_views(spark, sf_dir, star_pages_sql("spark"), ("region", "nation", "supplier", "customer", "part", "lineitem"))).repartition("path"), "pages")
 
 
 def docs_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page, title, type, body, aliases)``: documents as source pages, their first six words as title."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     words = F.slice(F.split(F.coalesce("text", F.lit("")), r"[\s]+"), 1, 6)
     return docs.select(
         F.concat(F.lit("sources/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("page"), F.array_join(words, " ").alias("title"), F.lit("source").alias("type"),

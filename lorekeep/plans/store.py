@@ -46,3 +46,12 @@ def discard(*tables: DataFrame | None) -> None:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as read, or dealt over the cores where the table has fewer files than there are cores.
+
+    A file of one row group is one task, whatever its splits.  Tables of at least as many files stay put.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
