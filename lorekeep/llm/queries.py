@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import ann, licenses, linededup, lmscore, neardup, packing, pieces, quality, tokens, warc
+from lorekeep.plans.store import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over the cores where they come in fewer files: without a shuffle each file would be one task."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -72,11 +78,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), with_pieces=True)
+    return pieces.sample_segmentations(documents(spark, sf_dir), with_pieces=True)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licenses.license_scan(table(spark, sf_dir, "documents"))
+    out = licenses.license_scan(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -121,7 +127,7 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return neardup.near_duplicates(documents(spark, sf_dir), shingle_words=2, percent=80)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -166,7 +172,7 @@ FROM t"""
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), prefixes=True)
+    return tokens.token_counts(documents(spark, sf_dir), prefixes=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
