@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, licenses, linededup, lmscore, neardup, packing, pieces, quality, tokens, warc
+from lorekeep.llm import ann, audit, licenses, linededup, lmscore, neardup, packing, pieces, quality, tokens, warc
 from lorekeep.plans.store import spread
 
 
@@ -179,8 +179,40 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir).select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id) GROUP BY ALL),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c3.x || d4.x || e.x AS filter_order FROM c a, c b, c c3, c d4, c e
+  WHERE a.x <> b.x AND c3.x NOT IN (a.x, b.x) AND d4.x NOT IN (a.x, b.x, c3.x) AND e.x NOT IN (a.x, b.x, c3.x, d4.x)),
+s AS (SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS filter FROM o, (SELECT unnest(range(1, 6)) AS step)),
+met AS (
+  SELECT s.*, m.*, CASE WHEN fails = '' THEN 9 ELSE 1 + length(regexp_extract(filter_order, '^[^' || fails || ']*')) END AS gone FROM s, m),
+t AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone < step AND contains(fails, filter)), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = filter), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (gone = step AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (gone = step AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM t"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules, "op7_lm_scoring": op7_lm_scoring, "op8_sentencepiece": op8_sentencepiece, "op9_license_scan": op9_license_scan, "op10_minhash_neardup": op10_minhash_neardup,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op3_warc": _OP3_SQL, "op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\")}
+ORACLES = {"op3_warc": _OP3_SQL, "op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\"),
+    "op13_filter_audit": _OP13_SQL,
+}
