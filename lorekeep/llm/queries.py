@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, audit, licenses, linededup, lmscore, neardup, packing, pieces, quality, tokens, warc
+from lorekeep.llm import ann, audit, lexical, licenses, linededup, lmscore, neardup, packing, pieces, quality, secrets, tokens, warc
 from lorekeep.plans.store import spread
 
 
@@ -179,6 +179,56 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
+def _op11_sql() -> str:
+    kinds, last = [], len(secrets.BASE_KINDS) - 1
+    for k, (_, pattern, group, least) in enumerate(secrets.KINDS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(
+            f"SELECT r, {k} AS kind, v[i] AS value, list_sum(list_transform(o[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, length(m[i]) AS size "
+            f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS o FROM d)) WHERE length(v[i]) >= {least}")
+    names = ", ".join(f"'{n}'" for n in secrets.NAMES)
+    listed = lambda cond: f"coalesce(string_agg(([{names}])[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER ({cond}), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS repo, split_part(coalesce(source, ''), '/', 1) AS owner, coalesce(text, '') AS t FROM documents),
+c AS (SELECT r, kind, value, start::BIGINT AS start, (start + size)::BIGINT AS stop FROM ({' UNION ALL '.join(kinds)})),
+f AS (SELECT value, count(DISTINCT (owner, repo)) <= {secrets.MOST_REPOSITORIES} AND count(DISTINCT owner) <= {secrets.MOST_OWNERS} AS live, bool_or(kind NOT IN (2, 7)) AS named FROM c JOIN d USING (r) GROUP BY value),
+j AS (
+  SELECT c.*, live, named, kind <= {last} AS base, regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
+    AND len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT} AS random FROM c JOIN f USING (value)),
+k AS (
+  SELECT * FROM j WHERE base OR (live AND (kind <> 7 OR random OR named) AND NOT EXISTS (
+    SELECT 1 FROM j b WHERE b.r = j.r AND b.start < j.stop AND j.start < b.stop AND (b.base OR (j.kind = 7 AND b.live AND b.kind <> 7))))),
+s AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {listed('base')} AS base_spans, {listed('true')} AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (base AND NOT live) AS n_example, {listed('live')} AS live_spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(live_spans, '') AS live_spans
+FROM d LEFT JOIN s USING (r)"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+_OP12_TERMS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP12_TERMS} AS ws FROM documents),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n_docs),
+i AS (SELECT item_id, text, unnest({_OP12_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_id, text, term, count(*) AS times FROM i GROUP BY ALL),
+g AS (
+  SELECT item_id, text, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term), s GROUP BY item_id, text, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM g WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(documents(spark, sf_dir).select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
 
@@ -211,8 +261,8 @@ SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FRO
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules, "op7_lm_scoring": op7_lm_scoring, "op8_sentencepiece": op8_sentencepiece, "op9_license_scan": op9_license_scan, "op10_minhash_neardup": op10_minhash_neardup,
-    "op13_filter_audit": op13_filter_audit,
+    "op11_secret_scan": op11_secret_scan, "op12_lexical_search": op12_lexical_search, "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {"op3_warc": _OP3_SQL, "op9_license_scan": _op9_sql(), "op6_quality_rules": _op6_sql(), "op10_minhash_neardup": _OP10_SQL.replace("\\\\", "\\"),
-    "op13_filter_audit": _OP13_SQL,
+    "op11_secret_scan": _op11_sql(), "op12_lexical_search": _OP12_SQL, "op13_filter_audit": _OP13_SQL,
 }
