@@ -79,7 +79,7 @@ def _one_query(spark):
 @query(f"WITH {D}, {IDF}, {Q1}, {SCORED} {TOP.format('s', 10)}")
 def bm25_topk(spark, sf_dir):
     docs = adapters.docs_kb(spark, sf_dir)
-    return search.top_k(search.scores(*search.stored_index(docs), _one_query(spark)), 10)
+    return search.best_pages(*search.stored_index(docs), _one_query(spark), 10)
 
 
 @query(f"""WITH {D}, {IDF}, {Q1}, {SCORED}, prior AS (SELECT page, doc_id % 7 AS n FROM docs),
@@ -88,14 +88,14 @@ boosted AS (SELECT qid, page, round(score * CASE WHEN n > 0 THEN 1 + 0.5 * ln(1.
 def bm25_boosted_topk(spark, sf_dir):
     docs = adapters.docs_kb(spark, sf_dir)
     prior = docs.select("page", (F.col("doc_id") % 7).alias("n"))
-    return search.top_k(search.scores(*search.stored_index(docs), _one_query(spark), prior), 10)
+    return search.best_pages(*search.stored_index(docs), _one_query(spark), 10, prior)
 
 
 @query(f"""WITH {D}, {IDF}, q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), {SCORED} {TOP.format('s', 5)}""")
 def bm25_batch(spark, sf_dir):
     docs = adapters.docs_kb(spark, sf_dir)
     terms = search.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return search.top_k(search.scores(*search.stored_index(docs), terms), 5)
+    return search.best_pages(*search.stored_index(docs), terms, 5)
 
 
 @query(f"""WITH {D}, place AS (SELECT page, body, strpos(regexp_replace(lower(body), '[^a-z0-9]', ' ', 'g'), ' with ') AS p, lower(body) AS low FROM docs)

@@ -18,7 +18,8 @@ from pyspark.sql import types as X
 #: The CJK ranges that are cut into bigrams, and the link syntaxes.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
 WIKILINK = r"\[\[([^\[\]\r\n]+?)\]\]"
-COMMENT = r"(?m)^[^\S\r\n]*<!--(?:(?!<!--|-->)[\s\S])*-->[^\S\r\n]*$"
+COMMENT = r"(?<![^\r\n])[ \t]*<!--(?:(?!<!--|-->)[\s\S])*-->[ \t]*(?![^\r\n])"
+LINE_BREAKS = r"\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}"
 INDEX_LINK = r"\[[^\[\]\r\n]*\]\(((?:[^()\r\n]|\([^()\r\n]*\))*)\)"
 DIGEST = r"(?s)^(.+)@sha256:([0-9a-f]{64})$"
 
@@ -74,8 +75,11 @@ def fold_ascii(stem: Column | str) -> Column:
 
 
 def strip_comments(text: Column | str) -> Column:
-    """Blank out HTML comments that own their lines; inline and unclosed ones stay."""
-    return F.regexp_replace(col(text), COMMENT, "")
+    """HTML comments that own their lines as blanks of the same length, line breaks kept, so places behind them hold; inline and unclosed ones stay."""
+    t = col(text)
+    blank = F.transform(F.regexp_extract_all(t, F.lit(f"({COMMENT})"), F.lit(1)), lambda c: F.regexp_replace(c, f"[^{LINE_BREAKS}]", " "))
+    woven = F.zip_with(F.split(t, COMMENT), blank, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(t, F.lit("<!--")), F.array_join(woven, "")).otherwise(t)
 
 
 def link_display(raw: Column | str) -> Column:
@@ -106,14 +110,14 @@ def snippet(body: Column | str, tokens: Column | str, width: int = 140) -> Colum
 
 
 def raw_slug(name: Column | str) -> Column:
-    s = F.regexp_replace(F.regexp_replace(col(name), r"(?U)[^\w.\-]+", "-"), r"-+", "-")
+    s = F.regexp_replace(F.regexp_replace(col(name), r"[^\p{L}\p{N}_.\-]+", "-"), r"-+", "-")
     return F.regexp_replace(s, r"^[-.]+|[-.]+$", "")
 
 
-#: Look-alikes of quotes, dashes and the ellipsis; zero-width characters are dropped.
-CONFUSABLE = "‘’‚“”„‐‑‒–—―…"
-PLAIN = "'''\"\"\"------."
-ZERO_WIDTH = "​‌‍﻿"
+#: In file names, dashes become "-", zero-width characters a space, quotes and the ellipsis go.
+NAME_DASHES = "—–―‒~"
+NAME_ZERO_WIDTH = "\u200B\uFEFF"
+NAME_DROPPED = "\"'“”‟„«»‘’‚‛‹›「」『』`…"
 
 
 @F.pandas_udf(X.StringType())
@@ -121,22 +125,35 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def basename(path: Column | str) -> Column:
+    """The last part of a path that names something; a backslash is a character like others."""
+    parts = F.filter(F.split(col(path), "/"), lambda p: ~p.isin("", "."))
+    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.when(col(path).isNotNull(), F.lit("")))
+
+
 def normalize_basename(name: Column | str) -> Column:
-    base = F.element_at(F.split(F.replace(col(name), F.lit("\\"), F.lit("/")), "/"), -1)
+    """A file name without folders, NFKC, look-alikes folded, trimmed."""
+    base = basename(name)
     folded = F.when(base.rlike(r"^[\x00-\x7F]*$"), base).otherwise(nfkc(base))
-    return strip(F.translate(folded, CONFUSABLE + ZERO_WIDTH, PLAIN))
+    dashes, spaces = "-" * len(NAME_DASHES), " " * len(NAME_ZERO_WIDTH)
+    return strip(F.translate(folded, NAME_DASHES + NAME_ZERO_WIDTH + NAME_DROPPED, dashes + spaces))
 
 
-#: Fixed value: suffixes that are converted, never taken as text.
-REJECTED_SUFFIXES = ("pdf", "docx", "pptx", "xlsx", "epub", "png", "jpg", "jpeg", "gif", "webp", "zip", "exe")
+def suffix(name: Column | str) -> Column:
+    """Lower-case ending with its dot; empty for names that only begin or end with a dot."""
+    return F.lower(F.regexp_extract(col(name), r"(?s)^.+(\.[^.]+)$", 1))
+
+
+#: Fixed value: endings that are converted, never taken as text.
+REJECTED_SUFFIXES = (".txt", ".pdf", ".docx", ".doc", ".html", ".htm", ".rtf", ".epub")
 
 
 def safe_raw_target(name: Column | str) -> Column:
-    """struct(target, error): where an uploaded text of this name goes under ``raw/``."""
+    """struct(target, error): where a text of this name or title goes under ``raw/``; error: suffix, or empty if nothing of the name is left."""
     base = normalize_basename(name)
-    bad = base.rlike(r"(?i)\.(" + "|".join(REJECTED_SUFFIXES) + ")$")
-    slug = raw_slug(F.regexp_replace(base, r"(?i)\.(md|markdown|txt)$", ""))
-    error = F.when(F.length(base) == 0, "empty").when(bad, "suffix").when(F.length(slug) == 0, "slug")
+    ending = suffix(base)
+    slug = raw_slug(F.when(ending == ".md", F.regexp_replace(base, r"(?s)\.[^.]+$", "")).otherwise(base))
+    error = F.when(ending.isin(*REJECTED_SUFFIXES), "suffix").when(F.length(slug) == 0, "empty")
     return F.struct(F.when(error.isNull(), F.concat(F.lit("raw/"), slug, F.lit(".md"))).alias("target"), error.alias("error"))
 
 
@@ -195,13 +212,24 @@ def page_argument_ok(arg: Column | str) -> Column:
     return (F.length(a) > 0) & (F.char_length(a) <= 200) & ~a.rlike(r"[\x00-\x1F\x7F]")
 
 
+#: Fixed value: what a message can ask for without a question.
+COMMANDS = ("search", "new", "help", "page")
+
+
+def strip_mention(text: Column | str) -> Column:
+    """A group message without the mentions that begin it."""
+    return F.regexp_replace(F.regexp_replace(col(text), r"(?U)^(@\S+\s*)+", ""), r"(?U)^\s+", "")
+
+
 def command(text: Column | str, attachments: Column | None = None) -> Column:
-    """struct(kind, argument): search, new, help or page for a slash command, attachment, else prose."""
-    t = strip(F.regexp_replace(col(text), r"(?U)^(\s*@\S+)+\s+", ""))
-    word = F.lower(F.regexp_extract(t, r"(?s)^/([A-Za-z]+)(\s|$)", 1))
-    known = word.isin("search", "new", "help", "page")
-    kind = F.when(attachments if attachments is not None else F.lit(False), "attachment").when(known, word).otherwise("prose")
-    return F.struct(kind.alias("kind"), F.when(kind == word, strip(F.regexp_replace(t, r"(?s)^/[A-Za-z]+", ""))).otherwise(t).alias("argument"))
+    """struct(kind, argument): search, new, help or page for a slash command, whose name ends at a blank; attachment; else prose, unknown commands included."""
+    t = strip(strip_mention(text))
+    word = F.lower(strip(F.split_part(F.substring(t, 2, 1 << 30), F.lit(" "), F.lit(1))))
+    known = F.startswith(t, F.lit("/")) & word.isin(*COMMANDS)
+    with_files = F.lit(False) if attachments is None else attachments
+    kind = F.when(with_files, "attachment").when(known, word).otherwise("prose")
+    rest = F.when(F.contains(t, F.lit(" ")), strip(F.substring(t, F.instr(t, " ") + 1, F.lit(1 << 30)))).otherwise("")
+    return F.struct(kind.alias("kind"), F.when(with_files, "").when(known, rest).otherwise(t).alias("argument"))
 
 
 def access_permitted(user: Column, chat: Column, group: Column, mentioned: Column, users: list[str] | None, chats: list[str]) -> Column:
@@ -210,16 +238,21 @@ def access_permitted(user: Column, chat: Column, group: Column, mentioned: Colum
     return who & (~group | (chat.isin(chats) & mentioned))
 
 
-#: File name endings of images and of texts.
-IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg")
-TEXT_SUFFIXES = ("md", "markdown", "txt", "csv", "json", "yaml", "yml", "html", "xml", "py", "log")
+#: Endings of files that are shown as images, of texts, and of images that pages may refer to.
+UPLOAD_IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp")
+TEXT_SUFFIXES = (
+    "", ".md", ".markdown", ".txt", ".text", ".rst", ".org", ".log", ".csv", ".tsv", ".json", ".jsonl", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf",
+    ".py", ".js", ".mjs", ".ts", ".tsx", ".jsx", ".html", ".htm", ".css", ".scss", ".sh", ".bash", ".zsh", ".c", ".h", ".cpp", ".hpp", ".cc", ".java", ".go", ".rs",
+    ".rb", ".php", ".pl", ".lua", ".sql", ".xml", ".svg", ".tex", ".bib", ".r", ".jl")
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".tif", ".tiff", ".svg")
 
 
 def upload_class(name: Column | str, content: Column | str) -> Column:
-    suffix = F.lower(F.regexp_extract(col(name), r"\.([^./]+)$", 1))
-    head = F.substring(col(content), 1, 65_536)
-    texty = F.is_valid_utf8(F.when(suffix.isin(*TEXT_SUFFIXES), col(content)).otherwise(head).cast("string")) & (F.instr(F.hex(head), "00") % 2 != 1)
-    return F.when(suffix.isin(*IMAGE_SUFFIXES), "image").when(texty, "text").otherwise("binary")
+    """image by ending; text if the first 64 KiB are UTF-8 and, unless the ending is one of texts, hold no NUL; else binary."""
+    ending, head = suffix(name), F.substring(col(content), 1, 65_536)
+    readable = F.is_valid_utf8(head.cast("string"))
+    no_nul = F.instr(F.decode(head, "ISO-8859-1"), "\x00") == 0  # one character a byte
+    return F.when(ending.isin(*UPLOAD_IMAGES), "image").when(readable & (ending.isin(*TEXT_SUFFIXES) | no_nul), "text").otherwise("binary")
 
 
 def message_text(blocks: Column | str) -> Column:
@@ -242,62 +275,126 @@ def url_is_safe(s: pd.Series) -> pd.Series:
     return s.map(ok)
 
 
+#: What of an HTML table may stay.
+TABLE_TAGS = ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "col")
+TABLE_HIDDEN = ("script", "style", "template")
+TABLE_NUMBERS = ("colspan", "rowspan")
+TABLE_CHOICES = {
+    "align": ("left", "right", "center", "justify", "char"), "valign": ("top", "middle", "bottom", "baseline"), "scope": ("row", "col", "rowgroup", "colgroup")}
+
+
 class _Table(HTMLParser):
-    allowed = {"table", "thead", "tbody", "tr", "th", "td", "br", "caption"}
+    """Rebuilds a table: allowed tags with checked attributes, all text escaped, hidden elements and comments left out with what they hold."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
+        self.hidden, self.tables = 0, 0
+
+    @staticmethod
+    def attribute(key: str, value: str | None) -> str:
+        v = (value or "").strip()
+        fine = v.isdigit() if key in TABLE_NUMBERS else v.lower() in TABLE_CHOICES.get(key, ())
+        return f' {key}="{html.escape(v)}"' if fine else ""
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.allowed:
-            spans = "".join(f' {k}="{int(v)}"' for k, v in attrs if k in ("colspan", "rowspan") and (v or "").isdigit())
-            self.out.append(f"<{tag}{spans}>")
+        if tag in TABLE_HIDDEN:
+            self.hidden += 1
+        elif not self.hidden and tag in TABLE_TAGS:
+            self.tables += tag == "table"
+            self.out.append(f"<{tag}{''.join(self.attribute(*a) for a in attrs)}>")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in TABLE_HIDDEN:
+            was = self.tables
+            self.handle_starttag(tag, attrs)
+            self.tables = was
 
     def handle_endtag(self, tag):
-        if tag in self.allowed - {"br"}:
+        if self.hidden:
+            self.hidden -= tag in TABLE_HIDDEN
+        elif tag in TABLE_TAGS and tag != "col":
             self.out.append(f"</{tag}>")
 
     def handle_data(self, data):
-        self.out.append(html.escape(data))
+        if not self.hidden:
+            self.out.append(html.escape(data))
 
 
 @F.pandas_udf(X.StringType())
 def safe_table(s: pd.Series) -> pd.Series:
-    """An HTML table rebuilt from allowed tags and span attributes; all else becomes escaped text."""
+    """A piece of HTML with a table, rebuilt; null if no table is opened in it (it is then shown as text)."""
 
     def clean(x):
         p = _Table()
         p.feed(x)
         p.close()
-        return "".join(p.out)
+        return "".join(p.out) if p.tables else None
 
     return s.map(clean, na_action="ignore")
 
 
+#: A line that opens or closes a fenced block.
+FENCE = re.compile(r"\s{0,3}(?:```|~~~)")
+
+
+def _message_blocks(lines: list[str], limit: int) -> list[str]:
+    """Runs of lines: a fenced block is one, whatever its length; others are as long as the limit lets them."""
+    out: list[list[str]] = [[]]
+    fenced = False
+    for line in lines:
+        mark = FENCE.match(line) is not None
+        if not fenced and (mark or sum(map(len, out[-1])) + len(out[-1]) + len(line) + 1 > limit):
+            out.append([])
+        out[-1].append(line)
+        fenced ^= mark
+        if mark and not fenced:
+            out.append([])
+    return ["\n".join(x).strip("\n") for x in out]
+
+
+def _message_pieces(block: str, limit: int) -> list[str]:
+    """A block cut at its last line break within the limit, or at the limit; no piece is blank."""
+    out = []
+    while len(block) > limit:
+        at = block.rfind("\n", 0, limit)
+        at = at if at > 0 else limit
+        out.append(block[:at].rstrip())
+        block = block[at:].lstrip("\n")
+    return [x for x in [*out, block] if x]
+
+
+def message_parts(text: str | None, limit: int, most: int) -> tuple[list[str], int]:
+    """Parts of at most ``limit`` characters, and how many characters are dropped.
+
+    Fenced blocks stay whole where they fit.  If there are more than ``most`` parts, one is left free for the notice that says so, and
+    what comes after is dropped; one part of text always stays.
+    """
+    text = (text or "").strip()
+    if len(text) <= limit:
+        return ([text] if text else []), 0
+    parts: list[str] = []
+    for block in _message_blocks(text.split("\n"), limit):
+        for piece in _message_pieces(block, limit):
+            if parts and len(parts[-1]) + 1 + len(piece) <= limit:
+                parts[-1] += "\n" + piece
+            else:
+                parts.append(piece)
+    if len(parts) <= most:
+        return parts, 0
+    kept = max(1, most - 1)
+    return parts[:kept], len("\n".join(parts[kept:]))
+
+
 def split_message(limit: int, most: int):
-    """A function of a text column to struct(parts, dropped): parts of at most ``limit`` characters, cut at line breaks outside fences where possible."""
+    """A function of a text column to struct(parts, dropped): see :func:`message_parts`."""
+    if limit < 1 or most < 1:
+        raise ValueError("limit and most must be 1 or more")
 
     @F.pandas_udf(X.StructType([X.StructField("parts", X.ArrayType(X.StringType())), X.StructField("dropped", X.IntegerType())]))
     def cut(s: pd.Series) -> pd.DataFrame:
-        def parts(text):
-            out, now, fenced = [], "", False
-            for line in (text or "").splitlines(keepends=True):
-                while len(line) > limit:
-                    if now:
-                        out.append(now)
-                        now = ""
-                    out.append(line[:limit])
-                    line = line[limit:]
-                if now and len(now) + len(line) > limit:
-                    out.append(now)
-                    now = ""
-                now += line
-                fenced ^= line.lstrip().startswith("```")
-            return [*out, now] if now else out
-
-        found = s.map(parts)
-        return pd.DataFrame({"parts": found.map(lambda p: p[:most]), "dropped": found.map(lambda p: max(0, len(p) - most)).astype("int32")})
+        found = [message_parts(x, limit, most) for x in s]
+        return pd.DataFrame({"parts": [p for p, _ in found], "dropped": pd.Series([d for _, d in found], dtype="int32")})
 
     return cut
 
@@ -341,18 +438,46 @@ def image_refs(text: Column | str) -> Column:
 
 def image_ref_admitted(ref: Column | str) -> Column:
     """Relative, contained after percent-decoding, and of an image ending (that the file exists is a join)."""
-    r = F.coalesce(F.try_url_decode(F.replace(col(ref), F.lit("+"), F.lit("%2B"))), col(ref))
-    return ~r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & inside(r) & F.lower(F.regexp_extract(r, r"\.([^./]+)$", 1)).isin(*IMAGE_SUFFIXES)
+    r = decoded_ref(ref)
+    return ~external_ref(ref) & inside(r) & suffix(basename(r)).isin(*IMAGE_SUFFIXES)
+
+
+def external_ref(ref: Column | str) -> Column:
+    """Whether a reference has a scheme or is absolute; it is left as it is."""
+    return col(ref).rlike(r"^([A-Za-z][A-Za-z0-9+.\-]*:|/|~)")
+
+
+def decoded_ref(ref: Column | str) -> Column:
+    """A reference with its percent escapes decoded; as it is, if some are malformed."""
+    return F.coalesce(F.try_url_decode(F.replace(col(ref), F.lit("+"), F.lit("%2B"))), col(ref))
+
+
+#: Shortest secret, shortest part of an address's path that counts as one, and signs that end a sentence, not an address.
+MIN_SECRET, MIN_SECRET_SEGMENT, CLOSING = 8, 16, ".,;:!?)]}。，）”"
+_ADDRESS = r"[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s'\"<>]+"
+
+
+def masked_address(address: Column | str) -> Column:
+    """An address without user, query and fragment, its long path parts masked; ``***`` for what is no address with a host."""
+    a = F.regexp_replace(col(address), r"(?s)[?#].*$", "")
+    whole = r"(?s)^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:[^/]*@)?(\[[^\]/]*\]|[^:/@]+)(?::([0-9]{0,5}))?(/.*)?$"
+    part = lambda k: F.regexp_extract(a, whole, k)
+    port = F.when(part(3) != "", F.concat(F.lit(":"), part(3).cast("int").cast("string"))).otherwise("")
+    path = F.array_join(F.transform(F.split(part(4), "/"), lambda p: F.when(F.char_length(p) >= MIN_SECRET_SEGMENT, "***").otherwise(p)), "/")
+    fine = a.rlike(whole) & (F.coalesce(part(3).try_cast("int"), F.lit(0)) <= 65535)
+    return F.when(fine, F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(port == ":0", "").otherwise(port), path)).otherwise("***")
 
 
 def redact(text: Column | str, secrets: list[str]) -> Column:
-    """Known secrets replaced, longest first; then addresses lose user info, query and fragment, and long path parts."""
+    """Known secrets of ``MIN_SECRET`` characters or more replaced, longest first; then every address masked, signs behind it kept."""
     out = col(text)
-    for s in sorted({s for s in secrets if s}, key=lambda s: (-len(s), s)):
+    for s in sorted({s for s in secrets if len(s) >= MIN_SECRET}, key=lambda s: (-len(s), s)):
         out = F.replace(out, F.lit(s), F.lit("***"))
-    out = F.regexp_replace(out, r"(https?://)[^/\s@]*@", "$1")
-    out = F.regexp_replace(out, r"(https?://[^\s?#]*)[?#]\S*", "$1")
-    return F.regexp_replace(out, r"(?<=[^/\s:]/)[A-Za-z0-9_\-]{24,}", "***")
+    closing = "[" + re.escape(CLOSING) + "]"
+    bare = lambda u: F.regexp_replace(u, f"{closing}+$", "")
+    masked = F.transform(F.regexp_extract_all(out, F.lit(f"({_ADDRESS})"), F.lit(1)), lambda u: F.concat(masked_address(bare(u)), F.substring(u, F.char_length(bare(u)) + 1, F.char_length(u))))
+    woven = F.zip_with(F.split(out, _ADDRESS), masked, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    return F.when(F.contains(out, F.lit("://")), F.array_join(woven, "")).otherwise(out)
 
 
 def log_entry(line: Column | str) -> Column:

@@ -6,14 +6,15 @@ the two traversals that need an order (communities, low-links), which run per co
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators import biconnect
 from lorekeep.operators.resolve import page_links, resolution_table, resolve
 from lorekeep.plans.components import connected_components
+from lorekeep.plans.ranks import ranked
 from lorekeep.plans.store import materialize
 
 HUB_SIGMA, HUB_MIN_DEGREE, MIN_COMMUNITY, MIN_SIDE, MIN_PIECE, MIN_GAIN = 2.0, 5, 2, 2, 2, 1e-7
@@ -160,13 +161,7 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             level += 1
     label = solved.select("id", last(level, F.col("labels")).alias("least")) if depth else solved.select("id", F.col("id").alias("least"))
     out = nodes.select("id").distinct().join(label, "id", "left").withColumn("least", F.coalesce("least", "id"))
-    # numbers of the communities without one task that sees them all: rank inside range partitions plus what lies before
-    placed = materialize(out.select("least").distinct().repartitionByRange("least").withColumn("part", F.spark_partition_id()), "firsts")
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
-    offsets = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("least")) - 1
-    numbers = placed.withColumn("place", place).join(F.broadcast(offsets), "part").select("least", (F.col("before") + F.col("place")).alias("community"))
-    return out.join(numbers, "least").select("id", "community")
+    return out.join(ranked(out.select("least").distinct(), "least", name="community"), "least").select("id", "community")
 
 
 def _crossing(edges: DataFrame, com: DataFrame) -> DataFrame:
@@ -188,55 +183,17 @@ def isolated_communities(edges: DataFrame, com: DataFrame, least: int = MIN_COMM
     return sizes.join(linked, "community", "left_anti").join(F.broadcast(several)).where("n > 1").drop("n").orderBy("community")
 
 
-def _fragile(edges: pd.DataFrame) -> pd.DataFrame:
-    """Bridges and cut vertices of one component, by an iterative depth-first search."""
-    ids = sorted(set(edges["u"]) | set(edges["v"]))
-    at = {x: k for k, x in enumerate(ids)}
-    n = len(ids)
-    near: list[list[int]] = [[] for _ in ids]
-    for u, v in zip(edges["u"], edges["v"], strict=True):
-        near[at[u]].append(at[v])
-        near[at[v]].append(at[u])
-    seen, low, size = np.full(n, -1), np.zeros(n, int), np.ones(n, int)
-    pieces: list[list[int]] = [[] for _ in ids]
-    rows, clock, stack = [], 0, [(0, -1, iter(near[0]))]
-    seen[0] = low[0] = 0
-    while stack:
-        v, parent, rest = stack[-1]
-        w = next(rest, None)
-        if w is not None:
-            if seen[w] < 0:
-                clock += 1
-                seen[w] = low[w] = clock
-                stack.append((w, v, iter(near[w])))
-            elif w != parent:
-                low[v] = min(low[v], seen[w])
-            continue
-        stack.pop()
-        if parent < 0:
-            continue
-        low[parent] = min(low[parent], low[v])
-        size[parent] += size[v]
-        if low[v] > seen[parent]:
-            small = int(min(size[v], n - size[v]))
-            rows.append(("bridge", *sorted((ids[v], ids[parent])), small))
-        if low[v] >= seen[parent]:
-            pieces[parent].append(int(size[v]))
-    for v in range(n):
-        left = n - 1 - sum(pieces[v])
-        parts = sorted(pieces[v] + ([left] if left else []), reverse=True)
-        if len(parts) > 1:
-            rows.append(("cut_vertex", ids[v], None, parts[1]))
-    return pd.DataFrame(rows, columns=["kind", "u", "v", "side"])
-
-
 def fragile_places(edges: DataFrame) -> DataFrame:
     """``(kind, u, v, side)``: bridges (u, v) and cut vertices (u), with the size of the smaller side or second-largest piece."""
-    pairs = undirected(edges)
-    comp = connected_components(pairs, "u", "v")
-    work = pairs.join(comp.select(F.col("id").alias("u"), "component"), "u").select("component", "u", "v")
-    found = work.groupBy("component").applyInPandas(_fragile, "kind string, u string, v string, side int")
-    return found.where(((F.col("kind") == "bridge") & (F.col("side") >= MIN_SIDE)) | ((F.col("kind") == "cut_vertex") & (F.col("side") >= MIN_PIECE)))
+    pairs = materialize(undirected(edges), "pairs")
+    ids = ranked(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", name="n")  # in the order of ids, so ends stay in order
+    ids = materialize(ids, "ids")
+    number = lambda c, n: ids.select(F.col("id").alias(c), F.col("n").alias(n))
+    tree = biconnect.tree_edges(pairs.join(number("u", "a"), "u").join(number("v", "b"), "v").select("a", "b"))
+    over = biconnect.bridges(tree).where(F.col("side") >= MIN_SIDE).join(number("u", "a"), "a").join(number("v", "b"), "b")
+    cut = biconnect.cut_vertices(tree).where(F.col("side") >= MIN_PIECE).join(number("u", "a"), "a")
+    return over.select(F.lit("bridge").alias("kind"), "u", "v", F.col("side").cast("int").alias("side")).unionByName(
+        cut.select(F.lit("cut_vertex").alias("kind"), "u", F.lit(None).cast("string").alias("v"), F.col("side").cast("int").alias("side")))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, com: DataFrame, fragile: DataFrame) -> DataFrame:

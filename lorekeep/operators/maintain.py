@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.plans.ranks import ranked
 from lorekeep.sources.wiki import page_order
 
 SHRINK_FLOOR, SHRINK_RATIO, HEAL_LIMIT = 200, 0.5, 20
@@ -18,8 +19,8 @@ SHRINK_FLOOR, SHRINK_RATIO, HEAL_LIMIT = 200, 0.5, 20
 
 def heal_worklist(missing: DataFrame, min_refs: int = 2, limit: int = HEAL_LIMIT) -> DataFrame:
     """Missing entities by falling number of references; those past ``limit`` are postponed."""
-    rank = F.row_number().over(Window.orderBy(F.desc("ref_count"), "target"))
-    return missing.where(F.col("ref_count") >= min_refs).withColumn("rank", rank).withColumn("postponed", F.col("rank") > limit)
+    placed = ranked(missing.where(F.col("ref_count") >= min_refs), F.desc("ref_count"), "target")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int")).withColumn("postponed", F.col("rank") > limit)
 
 
 def selected_targets(worklist: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -42,16 +43,26 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null").select("path", "change")
 
 
-def heal_write_set(before: DataFrame, after: DataFrame, allowed_edits: tuple = ("log.md", "index.md")) -> DataFrame:
-    """``(path, change, expected)``: deletions, edits outside the log and index that are no plain alias additions, and new pages
-    outside entities and concepts are unexpected."""
+def heal_write_set(before: DataFrame, after: DataFrame, targets: DataFrame, gate_ok: bool = True, free: tuple = ("log.md", "index.md"), folders: tuple = ("entities", "concepts")) -> DataFrame:
+    """``(path, change, expected)`` of every page whose bytes changed; sides: ``(path, fp, aliases, rest)``, targets: ``(target)``.
+
+    rest is a digest of all but the aliases and the date; aliases that are no list of strings, or a page that can't be read, are null.
+    Expected are edits of the log and the index, new pages in ``folders``, and pages there to whose aliases only the batch's
+    targets were appended, nothing else changed, if the gate passed.  Everything else isn't, deletions least of all.
+    """
     keep = ["path", "fp", "aliases", "rest"]
     both = before.select(*keep).withColumnsRenamed({"fp": "f0", "aliases": "a0", "rest": "r0"}).join(after.select(*keep).withColumnsRenamed({"fp": "f1", "aliases": "a1", "rest": "r1"}), "path", "full")
     change = F.when(F.col("f1").isNull(), "removed").when(F.col("f0").isNull(), "added").when(F.col("f0") != F.col("f1"), "modified")
-    old, new = (F.coalesce(c, F.array().cast("array<string>")) for c in (F.col("a0"), F.col("a1")))
-    appended = (F.size(new) >= F.size(old)) & (F.slice(new, 1, F.greatest(F.lit(1), F.size(old))) == F.when(F.size(old) == 0, F.slice(new, 1, 1)).otherwise(old)) & F.col("r0").eqNullSafe(F.col("r1"))
-    fine = F.when(F.col("change") == "added", F.col("path").rlike("^(entities|concepts)/")).when(F.col("change") == "modified", F.col("path").isin(*allowed_edits) | appended).otherwise(F.lit(False))
-    return both.withColumn("change", change).where("change is not null").select("path", "change", fine.alias("expected"))
+    content = F.split_part("path", F.lit("/"), F.lit(1)).isin(*folders) & F.contains("path", F.lit("/"))
+    changed = both.withColumn("change", change).where("change is not null")
+    n = F.size("a0")
+    kept = F.when(n == 0, True).otherwise(F.slice("a1", F.lit(1), F.greatest(n, F.lit(1))) == F.col("a0"))
+    grown = content & (F.col("r0") == F.col("r1")) & (F.size("a1") > n) & kept
+    new = changed.where(F.col("change") == "modified").where(F.coalesce(grown, F.lit(False))).select("path", F.explode(F.slice("a1", n + 1, F.size("a1") - n)).alias("alias"))
+    asked = targets.select(F.col("target").alias("key"), F.lit(True).alias("asked")).distinct()
+    collected = new.withColumn("key", T.link_stem("alias")).join(asked, "key", "left").groupBy("path").agg(F.bool_and((F.col("key") != "") & F.coalesce("asked", F.lit(False))).alias("collected"))
+    fine = F.when(F.col("change") == "added", content).when(F.col("change") == "modified", F.col("path").isin(*free) | (F.coalesce("collected", F.lit(False)) & F.lit(gate_ok))).otherwise(F.lit(False))
+    return changed.join(collected, "path", "left").select("path", "change", fine.alias("expected"))
 
 
 def log_only_grew(before: str, after: str) -> bool:
@@ -92,11 +103,11 @@ def drifted_sources(source_pages: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def drift_candidates(drifted: DataFrame, page_sources: DataFrame) -> DataFrame:
-    """``(page, reason, slugs)``: drifted source pages, and pages that cite one."""
-    cites = page_sources.select(F.col("path").alias("page"), F.explode("sources").alias("slug")).join(drifted.select("slug"), "slug", "left_semi")
-    cites = cites.groupBy("page").agg(F.sort_array(F.collect_set("slug")).alias("slugs")).withColumn("reason", F.lit("cites-drifted-source"))
-    own = drifted.select("page", F.lit("source-drift").alias("reason"), F.array("slug").alias("slugs"))
-    return own.unionByName(cites.join(own.select("page"), "page", "left_anti"))
+    """``(page, reason, slugs)``: drifted source pages, with the drifted sources that they cite as well, and other pages that cite one."""
+    cites = page_sources.select(F.col("path").alias("page"), F.explode("sources").alias("slug")).join(drifted.select("slug"), "slug", "left_semi").withColumn("own", F.lit(False))
+    own = drifted.select("page", "slug", F.lit(True).alias("own"))
+    by = own.unionByName(cites).groupBy("page").agg(F.sort_array(F.collect_set("slug")).alias("slugs"), F.bool_or("own").alias("own"))
+    return by.select("page", F.when(F.col("own"), "source-drift").otherwise("cites-drifted-source").alias("reason"), "slugs")
 
 
 def audit_groups(candidates: DataFrame, drifted: DataFrame, limit: int | None = None) -> DataFrame:
@@ -190,12 +201,25 @@ def image_plan(refs: DataFrame, files: DataFrame) -> DataFrame:
     return known.join(number, ["page", "path"]).select("page", "pos", "ref", "path", "number")
 
 
+def _placed_refs(refs: DataFrame) -> DataFrame:
+    """``refs(page, ref)`` that aren't external, and what they mean from the page's folder; paths are relative to one root."""
+    folder = F.regexp_extract("page", r"(?s)^(.*/)?[^/]*$", 1)
+    return refs.where(~T.external_ref("ref")).withColumn("path", T.normal_path(F.concat(folder, T.decoded_ref("ref")))).withColumn("folder", folder)
+
+
 def image_lint(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """``(page, ref, state)``: ok, recoverable (one file of that name elsewhere), misplaced (several) or dangling."""
-    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    names = files.select(name("path").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    rows = refs.withColumn("path", T.normal_path("ref")).withColumn("name", name("ref")).join(files.select("path", F.lit(True).alias("there")), "path", "left").join(names, "name", "left")
-    state = F.when(F.col("there"), "ok").when(F.col("n") == 1, "recoverable").when(F.col("n") > 1, "misplaced").otherwise("dangling")
+    """``(page, ref, state)`` of the references that aren't external: ok, misplaced or dangling.
+
+    ok: an image under ``images/<stem of the page>/`` beside it.  misplaced: an image elsewhere, or none there but just one file of
+    that name, in any case, somewhere under ``images/``; either can be mended.  dangling: neither, or several of that name.
+    """
+    rows = _placed_refs(refs).withColumn("name", F.lower(F.regexp_extract(T.decoded_ref("ref"), r"([^/]*)$", 1)))
+    own = F.concat("folder", F.lit("images/"), F.regexp_replace(T.basename("page"), r"(?s)(?<=.)\.[^.]+$", ""), F.lit("/"))
+    images = files.select("path").distinct().where(T.suffix(T.basename("path")).isin(*T.IMAGE_SUFFIXES))
+    names = images.where(F.startswith("path", F.lit("images/"))).groupBy(F.lower(T.basename("path")).alias("name")).agg(F.count("*").alias("n"))
+    rows = rows.join(images.withColumn("there", F.lit(True)), "path", "left").join(names, "name", "left")
+    here = F.col("there").isNotNull()
+    state = F.when(here & F.startswith("path", own), "ok").when(here | (F.col("n") == 1), "misplaced").otherwise("dangling")
     return rows.select("page", "ref", state.alias("state"))
 
 

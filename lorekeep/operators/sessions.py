@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as T
+
 DEDUP_SECONDS, SESSION_SECONDS = 300, 1800
 
 
 def dedup_messages(msgs: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
-    """Messages whose id wasn't accepted within ``seconds`` before; a repeat does not renew the time of the first.
+    """Messages whose id wasn't accepted ``seconds`` or less before; a repeat does not renew the time of the first.
 
-    An id's accepted messages are found by folding over its times in order: bounded by how often one id is sent.
+    Each id's messages are read in order of time with one number at hand; of equal times the first by the other columns counts.
     """
-    times = msgs.groupBy("msg_id").agg(F.array_sort(F.collect_set("ts")).alias("all"))
-    late = lambda kept, t: F.unix_micros(t) - F.unix_micros(F.try_element_at(kept, F.lit(-1))) >= seconds * 1_000_000
-    step = lambda kept, t: F.when((F.size(kept) == 0) | F.coalesce(late(kept, t), F.lit(True)), F.concat(kept, F.array(t))).otherwise(kept).cast("array<timestamp>")
-    kept = times.select("msg_id", F.explode(F.aggregate("all", F.array().cast("array<timestamp>"), step)).alias("ts"))
-    n = F.row_number().over(Window.partitionBy("msg_id", "ts").orderBy(*[F.col(c).cast("string") for c in msgs.columns if c not in ("msg_id", "ts")] or [F.lit(0)]))
-    return msgs.withColumn("_n", n).where("_n = 1").drop("_n").join(kept, ["msg_id", "ts"], "left_semi").select(*msgs.columns)
+    own = msgs.columns
+    order = ["msg_id", "ts", *[F.col(c).cast("string") for c in own if c not in ("msg_id", "ts")]]
+    rows = msgs.select(F.struct(*own).alias("row"), F.col("msg_id").cast("string").alias("id"), F.unix_micros("ts").alias("at"), *[(F.col(x) if isinstance(x, str) else x).alias(f"o{k}") for k, x in enumerate(order)])
+    rows = rows.repartition("id").sortWithinPartitions("id", "at", *[f"o{k}" for k in range(len(order))]).select("id", "at", "row")
+
+    def first(batches):
+        known, last = None, None
+        for batch in batches:
+            keep = []
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fresh = name != known or last is None or at - last > seconds * 1_000_000
+                known, last = name, at if fresh else last
+                keep.append(fresh)
+            yield batch.filter(pa.array(keep)).select(["row"])
+
+    return rows.mapInArrow(first, rows.select("row").schema).select("row.*")
 
 
 def debounce(msgs: DataFrame, quiet: float = 1.0, long_quiet: float = 3.0, most: int = 1000, key: str = "session") -> DataFrame:
-    """``(session, first_ts, last_ts, n, text)``: parts of a session merged until it is quiet; a command ends the merge before it and stands alone.
+    """``(session, first_ts, last_ts, n, text)``: parts of a session merged until it is quiet; one of the four commands ends the merge before it and stands alone.
 
-    A part's own deadline replaces the one before: ``long_quiet`` seconds after a part of 0.9 of the most characters.
+    A part's own deadline replaces the one before: ``long_quiet`` seconds after a part of 0.9 of the most characters.  Parts are trimmed and
+    empty ones left out of the text, though they count and prolong; a merge without any text is no message.
     """
     w = Window.partitionBy(key).orderBy("ts", "msg_id")
+    rows = msgs.withColumn("x", T.command("text")).withColumns({"cmd": F.col("x.kind") != "prose", "text": F.when(F.col("x.kind") == "prose", F.col("x.argument")).otherwise(F.col("text"))})
     gap = F.when(F.char_length("text") >= 0.9 * most, long_quiet).otherwise(quiet)
-    rows = msgs.withColumns({"cmd": F.col("text").startswith("/"), "due": F.unix_micros("ts") + (gap * 1_000_000).cast("long")})
+    rows = rows.withColumn("due", F.unix_micros("ts") + (gap * 1_000_000).cast("long"))
     new = F.lag("due").over(w).isNull() | (F.unix_micros("ts") >= F.lag("due").over(w)) | F.col("cmd") | F.lag("cmd").over(w)
     rows = rows.withColumn("part", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     merged = rows.groupBy(key, "part").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ts", "msg_id", "text"))).alias("p"))
-    return merged.select(key, "first_ts", "last_ts", "n", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+    texts = F.filter(F.transform("p", lambda x: x["text"]), lambda x: x != "")
+    return merged.select(key, "first_ts", "last_ts", "n", F.array_join(texts, "\n").alias("text")).where("text <> ''")
 
 
 def session_states(msgs: DataFrame, seconds: int = SESSION_SECONDS, key: str = "session") -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as T
+
 
 def dedup_stream(msgs: DataFrame, seconds: int = 300) -> DataFrame:
     """First message of each id within a watermark of ``seconds``; state is dropped as the watermark passes."""
@@ -13,7 +15,7 @@ def dedup_stream(msgs: DataFrame, seconds: int = 300) -> DataFrame:
 
 
 def debounce_stream(msgs: DataFrame, quiet: float = 1.0, long_quiet: float = 3.0, most: int = 1000, late: str = "0 seconds") -> DataFrame:
-    """``(session, first_ts, last_ts, n, text)``: parts merged until the session is quiet.  Each part replaces the deadline; a command flushes."""
+    """``(session, first_ts, last_ts, n, text)``: parts merged as :func:`lorekeep.operators.sessions.debounce` does.  Each part replaces the deadline; a command flushes."""
     schema = "session string, first_ts timestamp, last_ts timestamp, n bigint, text string"
 
     def merge(key, batches, state):
@@ -21,18 +23,18 @@ def debounce_stream(msgs: DataFrame, quiet: float = 1.0, long_quiet: float = 3.0
         out = []
 
         def flush(parts):
-            if parts:
-                out.append((key[0], pd.Timestamp(parts[0][0], unit="us"), pd.Timestamp(parts[-1][0], unit="us"), len(parts), "\n".join(p[2] for p in parts)))
+            if text := "\n".join(p[2] for p in parts if p[2]):
+                out.append((key[0], pd.Timestamp(parts[0][0], unit="us"), pd.Timestamp(parts[-1][0], unit="us"), len(parts), text))
 
         def due(part):
             return part[0] + int((long_quiet if len(part[2]) >= 0.9 * most else quiet) * 1e6)
 
-        new = sorted((r.ts.value // 1000, r.msg_id, r.text) for b in batches for r in b.itertuples()) if not state.hasTimedOut else []
-        for part in new:
+        new = sorted((r.ts.value // 1000, r.msg_id, r.text, r.cmd) for b in batches for r in b.itertuples()) if not state.hasTimedOut else []
+        for *part, cmd in new:
             if held and part[0] >= due(held[-1]):
                 flush(held)
                 held = []
-            if part[2].startswith("/"):
+            if cmd:
                 flush(held)
                 flush([part])
                 held = []
@@ -50,7 +52,9 @@ def debounce_stream(msgs: DataFrame, quiet: float = 1.0, long_quiet: float = 3.0
             yield pd.DataFrame(out, columns=["session", "first_ts", "last_ts", "n", "text"])
 
     held_type = "held array<struct<at: bigint, msg_id: string, text: string>>"
-    source = msgs.withWatermark("ts", late).select("session", "ts", F.col("msg_id").cast("string").alias("msg_id"), "text")
+    x = T.command("text")
+    prose = x["kind"] == "prose"
+    source = msgs.withWatermark("ts", late).select("session", "ts", F.col("msg_id").cast("string").alias("msg_id"), F.when(prose, x["argument"]).otherwise(F.col("text")).alias("text"), (~prose).alias("cmd"))
     return source.groupBy("session").applyInPandasWithState(merge, schema, held_type, "append", "EventTimeTimeout")
 
 
