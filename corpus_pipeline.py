@@ -32,12 +32,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least id; of repeated rows, all that bear it.
+    """One row of each near-duplicate group: that with the least id, null ids last; of rows that share it, the first.
 
-    Sets are of two-word shingles, as in the operator's query: sets of five words lose copies with a few scattered edits.
+    Rows are told apart by a number of their own, so rows that share an id but no text are judged apart, and rows without an
+    id like all others.  Documents without a word have no duplicates and stay.  Sets are of two-word shingles, as in
+    the operator's query: sets of five words lose copies with a few scattered edits.
     """
-    found = neardup.near_duplicates(docs, shingle_words=2, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n")), "numbered")
+    found = neardup.near_duplicates(numbered.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), shingle_words=2, percent=80)
+    member = found.where("n_shingles > 0").select(F.col("doc_id").alias("n"), "component_id").join(numbered.select("n", F.col("row.doc_id").alias("doc_id")), "n")
+    member = materialize(member, "member")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")
+    first = member.groupBy("component_id").agg(F.min(rank).alias("kept"), F.count("*").alias("rows")).where("rows > 1")
+    gone = member.join(materialize(first.select("component_id", F.col("kept.n").alias("kept")), "kept"), "component_id").where("n <> kept").select("n")
+    return numbered.join(gone, "n", "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
