@@ -432,8 +432,9 @@ def new_violations(spark, sf_dir):
 
 DRIFT = f"""{SNAP},
 dr AS (SELECT 'doc-' || fb.doc_id AS slug, fb.path AS page, 'raw/' || fb.path AS raw_path FROM fb JOIN fa USING (path) WHERE fa.fp <> fb.fp),
-cites AS (SELECT 'entities/e-' || (doc_id % 97) || '.md' AS page, 'doc-' || doc_id AS slug FROM fb),
-cd AS (SELECT page, 'source-drift' AS reason, slug FROM dr UNION ALL SELECT DISTINCT page, 'cites-drifted-source', slug FROM cites WHERE slug IN (SELECT slug FROM dr))"""
+cites AS (SELECT 'entities/e-' || (doc_id % 97) || '.md' AS page, 'doc-' || doc_id AS slug FROM fb UNION ALL SELECT path, 'doc-' || (doc_id * 3) FROM fb),
+cd AS (SELECT page, CASE WHEN page IN (SELECT page FROM dr) THEN 'source-drift' ELSE 'cites-drifted-source' END AS reason, slug
+  FROM (SELECT page, slug FROM dr UNION SELECT page, slug FROM cites WHERE slug IN (SELECT slug FROM dr)))"""
 
 
 def _drift(spark, sf_dir):
@@ -442,7 +443,8 @@ def _drift(spark, sf_dir):
     pages = before.select("path", T.format_digest(raw, "fp").alias("raw_digest"))
     drifted = maintain.drifted_sources(pages, after.select(raw.alias("path"), "fp"))
     cites = before.groupBy(F.concat(F.lit("entities/e-"), (F.col("doc_id") % 97).cast("string"), F.lit(".md")).alias("path")).agg(F.collect_list(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("sources"))
-    return drifted, maintain.drift_candidates(drifted, cites)
+    own = before.select("path", F.array(F.concat(F.lit("doc-"), (F.col("doc_id") * 3).cast("string"))).alias("sources"))  # source pages cite as well
+    return drifted, maintain.drift_candidates(drifted, cites.unionByName(own))
 
 
 @query(f"WITH {DRIFT} SELECT * FROM dr")
@@ -508,23 +510,36 @@ def image_gc(spark, sf_dir):
     return maintain.image_garbage(files, refs)
 
 
-@query(f"""WITH {REFS}, nm AS (SELECT regexp_extract(path, '([^/]+)$', 1) AS name, count(*) AS n FROM fl GROUP BY 1)
-SELECT page_id AS page, ref, CASE WHEN ref IN (SELECT path FROM fl) THEN 'ok' WHEN n = 1 THEN 'recoverable' WHEN n > 1 THEN 'misplaced' ELSE 'dangling' END AS state
-FROM rf LEFT JOIN nm ON nm.name = regexp_extract(ref, '([^/]+)$', 1)""")
+LINT = r"""rr AS (SELECT 'parsed/page-' || page_id || '.md' AS page, page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\x22/?([^\x22]*)\x22', 1))) AS href FROM pages),
+rf AS (SELECT page, page_id, href, '../images/x/' || href || '.png' AS ref FROM rr UNION ALL SELECT page, page_id, href, 'images/page-' || page_id || '/' || href || '.PNG' FROM rr UNION ALL SELECT page, page_id, href, 'https://e.x/' || href FROM rr),
+fl AS (SELECT DISTINCT 'images/x/' || lower(href) || '.png' AS path FROM rr WHERE length(href) % 3 = 0 UNION SELECT DISTINCT 'images/y/' || href || '.png' FROM rr WHERE length(href) % 5 = 0
+  UNION SELECT 'parsed/images/page-' || page_id || '/' || href || '.PNG' FROM rr WHERE length(href) % 2 = 0)"""
+
+
+@query(rf"""WITH {LINT}, nm AS (SELECT lower(regexp_extract(path, '([^/]+)$', 1)) AS name, count(*) AS n FROM fl WHERE path LIKE 'images/%' GROUP BY 1),
+p AS (SELECT page, ref, CASE WHEN ref LIKE '../%' THEN substr(ref, 4) ELSE 'parsed/' || ref END AS path, lower(regexp_extract(ref, '([^/]*)$', 1)) AS name, 'parsed/images/page-' || page_id || '/' AS own FROM rf WHERE ref NOT LIKE 'https:%')
+SELECT page, ref, CASE WHEN path IN (SELECT path FROM fl) THEN CASE WHEN starts_with(path, own) THEN 'ok' ELSE 'misplaced' END WHEN n = 1 THEN 'misplaced' ELSE 'dangling' END AS state FROM p LEFT JOIN nm USING (name)""")
 def image_lint(spark, sf_dir):
-    return maintain.image_lint(*_refs(spark, sf_dir))
+    rows = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("parsed/page-"), F.col("page_id").cast("string"), F.lit(".md")).alias("page"), "page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/?([^"]*)"'), F.lit(1)))).alias("href"))
+    own = F.concat(F.lit("images/page-"), F.col("page_id").cast("string"), F.lit("/"), "href", F.lit(".PNG"))
+    refs = rows.select("page", F.explode(F.array(F.concat(F.lit("../images/x/"), "href", F.lit(".png")), own, F.concat(F.lit("https://e.x/"), "href"))).alias("ref"))
+    size = F.char_length("href")
+    files = rows.where(size % 3 == 0).select(F.concat(F.lit("images/x/"), F.lower("href"), F.lit(".png")).alias("path")).unionByName(
+        rows.where(size % 5 == 0).select(F.concat(F.lit("images/y/"), "href", F.lit(".png")).alias("path"))).unionByName(rows.where(size % 2 == 0).select(F.concat(F.lit("parsed/"), own).alias("path")))
+    return maintain.image_lint(refs, files)
 
 
-MSGS = "m AS (SELECT event_id AS msg_id, user_id AS session, ts, CASE WHEN event_type = 'purchase' THEN '/search ' ELSE '' END || event_type AS text FROM events)"
+MSGS = "m AS (SELECT event_id AS msg_id, user_id AS session, ts, CASE event_type WHEN 'purchase' THEN '/search ' WHEN 'error' THEN '/unknown ' ELSE '' END || event_type AS text FROM events)"
 
 
 def _msgs(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    text = F.concat(F.when(F.col("event_type") == "purchase", "/search ").otherwise(""), "event_type")
+    text = F.concat(F.when(F.col("event_type") == "purchase", "/search ").when(F.col("event_type") == "error", "/unknown ").otherwise(""), "event_type")
     return e.select(F.col("event_id").alias("msg_id"), F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'search' ELSE 'prose' END AS kind, event_type AS argument FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'search' ELSE 'prose' END AS kind, CASE event_type WHEN 'error' THEN '/unknown error' ELSE event_type END AS argument FROM events")
 def command_classify(spark, sf_dir):
     return _msgs(spark, sf_dir).select(F.col("msg_id").alias("event_id"), F.inline(F.array(T.command("text"))))
 
@@ -535,7 +550,7 @@ def session_state(spark, sf_dir):
     return sessions.session_states(_msgs(spark, sf_dir)).select("msg_id", "session", "state")
 
 
-@query(f"""WITH {MSGS}, w AS (SELECT *, text LIKE '/%' AS cmd, lag(epoch_us(ts) + 3600000000) OVER o AS due, lag(text LIKE '/%') OVER o AS before FROM m WINDOW o AS (PARTITION BY session ORDER BY ts, msg_id)),
+@query(f"""WITH {MSGS}, w AS (SELECT *, text LIKE '/search %' AS cmd, lag(epoch_us(ts) + 3600000000) OVER o AS due, lag(text LIKE '/search %') OVER o AS before FROM m WINDOW o AS (PARTITION BY session ORDER BY ts, msg_id)),
 p AS (SELECT *, sum(CASE WHEN due IS NULL OR epoch_us(ts) >= due OR cmd OR before THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, msg_id) AS part FROM w)
 SELECT session, count(*) AS n, string_agg(text, chr(10) ORDER BY ts, msg_id) AS text, min(msg_id) AS first_id FROM p GROUP BY session, part""")
 def debounce_merge(spark, sf_dir):
@@ -545,17 +560,24 @@ def debounce_merge(spark, sf_dir):
     return out.join(ids, ["session", "first_ts"]).select("session", "n", "text", "first_id")
 
 
-@query("""WITH m AS (SELECT event_id, ts, user_id || event_type AS msg_id FROM events)
-SELECT count(*) AS kept FROM (SELECT msg_id, ts FROM m QUALIFY lag(ts) OVER (PARTITION BY msg_id ORDER BY ts) IS NULL)""")
+#: Accepted times of each id: its first, and again and again the first past the span.
+SEEN = """m AS (SELECT event_id, epoch_us(ts) AS us, user_id || event_type AS msg_id FROM events),
+seen(msg_id, us) AS (SELECT msg_id, min(us) FROM m GROUP BY msg_id
+  UNION ALL SELECT s.msg_id, min(m.us) FROM seen s JOIN m ON m.msg_id = s.msg_id AND m.us > s.us + {0} GROUP BY s.msg_id)"""
+
+
+def _sent(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"))
+
+
+@query(f"WITH RECURSIVE {SEEN.format(10**15)} SELECT count(*) AS kept FROM seen")
 def msg_first_seen(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"))
-    return sessions.dedup_messages(e, seconds=10**9).agg(F.count("*").alias("kept"))
+    return sessions.dedup_messages(_sent(spark, sf_dir), seconds=10**9).agg(F.count("*").alias("kept"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SEEN.format(86_400_000_000)} SELECT min(event_id) AS event_id, msg_id FROM seen JOIN m USING (msg_id, us) GROUP BY msg_id, us")
 def msg_dedup(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"))
-    return sessions.dedup_messages(e, seconds=86_400)
+    return sessions.dedup_messages(_sent(spark, sf_dir), seconds=86_400).select("event_id", "msg_id")
 
 
 @query("SELECT event_id, user_id % 3 <> 0 AND (user_id % 2 = 0 OR (event_type IN ('click', 'view') AND value > 50)) AS permitted FROM events")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.catalogue import IDF, SCORED, TOP, D, query, star, table
-from lorekeep.catalogue_pages import given
 from lorekeep.functions import text as T
 from lorekeep.operators import maintain, resolve, search, sessions
 from lorekeep.plans import adapters
@@ -94,24 +93,28 @@ def heal_receipts(spark, sf_dir):
     return maintain.heal_receipts(targets, resolve.resolution_table(pages, T.fold_ascii), True, T.fold_ascii)
 
 
-#: Folder, aliases before, aliases after, body changes; None: no such page.
-EDITS = [
-    ("entities", ["a"], ["a"], False), ("entities", ["a"], None, False), ("concepts", None, ["a"], False), ("sources", None, [], False),
-    ("entities", ["a"], ["a", "b"], False), ("entities", ["a"], ["a", "b"], True), ("concepts", ["a", "b"], ["b", "a"], False), ("concepts", [], ["n"], False)]
-OUTCOMES = [None, ("removed", False), ("added", True), ("added", False), ("modified", True), ("modified", False), ("modified", False), ("modified", True)]
+#: Pages before and after a turn, made of documents: some go, come, get another body, an alias that was asked for, one that wasn't, or lose one.
+EDITS = """e AS (SELECT doc_id, n_chars % 9 AS k, CASE n_chars % 4 WHEN 0 THEN 'entities' WHEN 1 THEN 'concepts' WHEN 2 THEN 'sources' ELSE 'entities/deep' END || '/d' || doc_id || '.md' AS path, source, lang FROM documents WHERE n_chars IS NOT NULL)"""
 
 
-@query("SELECT folder || '/d' || doc_id || '.md' AS path, change, expected FROM ("
-       + given("folder, change, expected", [(e[0], *(o or (None, None))) for e, o in zip(EDITS, OUTCOMES, strict=True)]) + ") WHERE change IS NOT NULL")
+@query(f"""WITH {EDITS} SELECT path, CASE k WHEN 1 THEN 'removed' WHEN 2 THEN 'added' ELSE 'modified' END AS change,
+  path NOT LIKE 'sources/%' AND (k = 2 OR k = 4 OR (k = 5 AND lang = 'de')) AS expected FROM e WHERE k BETWEEN 1 AND 7
+UNION ALL SELECT 'log.md', 'modified', true""")
 def heal_write_set(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-
-    def side(k: int):
-        shapes = [F.struct(F.lit(e[0]).alias("folder"), (F.lit(None) if e[k] is None else F.array(*map(F.lit, e[k]))).cast("array<string>").alias("aliases"), F.lit("new" if e[3] and k == 2 else "old").alias("rest")) for e in EDITS]
-        rows = d.select("doc_id", F.get(F.array(*shapes), (F.col("doc_id") % len(EDITS)).cast("int")).alias("e")).where("e.aliases is not null")
-        return rows.select(_text(F.col("e.folder"), "/d", F.col("doc_id"), ".md").alias("path"), F.sha2(F.to_json("e"), 256).alias("fp"), "e.aliases", "e.rest")
-
-    return maintain.heal_write_set(side(1), side(2))
+    d = table(spark, sf_dir, "documents").where("n_chars is not null").withColumn("k", F.col("n_chars") % 9)
+    four = F.col("n_chars") % 4
+    folder = F.when(four == 0, "entities").when(four == 1, "concepts").when(four == 2, "sources").otherwise("entities/deep")
+    path, k = _text(folder, "/d", F.col("doc_id"), ".md"), F.col("k")
+    old = F.array("source", "lang")
+    # 3: another body; 4: an alias of the batch, in another spelling; 5: one that only sources of German texts ask for; 6: nothing but bytes; 7: other order
+    new = F.when(k == 4, F.array("source", "lang", F.concat(F.upper("source"), F.lit("#x")))).when(k == 5, F.array("source", "lang", F.concat("source", F.lit("-"), "lang"))).when(k == 7, F.array("lang", "source")).otherwise(old)
+    side = lambda rows, aliases, mark: rows.select(path.alias("path"), F.sha2(F.concat_ws("|", F.array_join(aliases, ","), mark, "text"), 256).alias("fp"), aliases.alias("aliases"), F.sha2(F.concat_ws("|", mark, "text"), 256).alias("rest"))
+    log = lambda fp: spark.createDataFrame([("log.md", fp, [], fp)], "path string, fp string, aliases array<string>, rest string")
+    before, after = side(d.where("k <> 2"), old, F.lit("a")), side(d.where("k <> 1"), new, F.when(k == 3, "b").otherwise("a"))
+    touched = side(d.where("k = 6"), old, F.lit("a")).select("path", F.lit("!").alias("more"))
+    after = after.join(touched, "path", "left").select("path", F.concat("fp", F.coalesce("more", F.lit(""))).alias("fp"), "aliases", "rest")
+    targets = d.select(F.col("source").alias("target")).unionByName(d.where("lang = 'de'").select(F.concat("source", F.lit("-de")).alias("target"))).distinct()
+    return maintain.heal_write_set(before.unionByName(log("a")), after.unionByName(log("b")), targets)
 
 
 @query("SELECT 's' || doc_id // 4 AS slug, bool_and(doc_id % 9 <> 0 AND doc_id % 11 <> 0) AS complete FROM documents GROUP BY 1")
