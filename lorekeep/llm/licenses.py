@@ -4,8 +4,12 @@ All rolling word k-gram hashes of a text are joined to their positions in licens
 notice gives hits with one offset (text position minus notice position), so hits are counted by offset; neighbouring
 offsets, which insertions and deletions cause, are merged; and each merged span is verified word by word.  A merged span
 is at most twice as wide as ``merge_within`` (or a tenth of the notice), whatever the text: offsets are merged by cells of
-two grids, one shifted by half a cell, so any two offsets that close share a cell.  Of notices whose verified spans start
-within ``RIVAL_WORDS`` of each other, as the wordings of related licenses do, the best covered one gives the label.
+two grids, one shifted by half a cell, so any two offsets that close share a cell.
+
+Verification aligns the notice with the text inside the span: both in order, a word of either serving once, as many words as
+possible, of equal alignments the shortest.  So words of a neighbouring notice don't count for this one.  Where the
+words of two labels' spans are the same for half of the shorter one, the better covered one gives the label; if both are
+covered alike, neither does.
 
 The notices are a parameter of bounded size, so their side of the join is broadcast and no text moves: only hits and
 one narrow row per document are shuffled.
@@ -13,7 +17,7 @@ one narrow row per document are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.plans.store import materialize
@@ -37,7 +41,8 @@ NOTICES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
 )
 GRAM, MERGE_WITHIN, MIN_COVERAGE = 4, 4, 0.8
-RIVAL_WORDS = 8
+#: Words of a cell in which verified spans meet.
+CELL_WORDS = 128
 #: Words that all notices hold at most.
 MAX_NOTICE_WORDS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -63,6 +68,30 @@ def _places(words: Column, joined: Column, phrase: str) -> Column:
         F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), lambda i: (words[i] == parts[0]) & hit(i))).otherwise(F.array().cast("array<int>"))
 
 
+def aligned(matched) -> Column:
+    """struct(n, start, before) of the best alignment of the notice ``tw`` with a text between the offsets ``low`` and ``high``.
+
+    matched: a function of a notice place and an offset to whether the words there count as equal.  n: aligned words, start: place of the
+    first one in the text, before: minus that of the last.  The state has one entry an offset; a step takes one word of the notice,
+    aligned or not, and then leaves out words of the text, which a running maximum over offsets stands for.
+    """
+    cell = "struct<n:int,start:int,before:int>"
+    none = F.array().cast(f"array<{cell}>")
+    band = F.sequence("low", "high")
+
+    def step(state: Column, p: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            d = F.col("low") + k
+            more = F.struct((x["n"] + 1).alias("n"), F.when(x["n"] == 0, p + d).otherwise(x["start"]).alias("start"), (-(p + d)).alias("before"))
+            return F.greatest(F.when(matched(p, d), more).otherwise(x), F.coalesce(F.get(state, k + 1), x))
+
+        best = lambda done, x: F.concat(done, F.array(F.greatest(x, F.coalesce(F.try_element_at(done, F.lit(-1)), x))))
+        return F.aggregate(F.transform(state, one), none, lambda done, x: best(done, x).cast(f"array<{cell}>"))
+
+    start = F.transform(band, lambda d: F.struct(F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("before")))
+    return F.element_at(F.aggregate(F.sequence(F.lit(0), F.size("tw") - 1), start.cast(f"array<{cell}>"), lambda state, p: step(state, p).cast(f"array<{cell}>")), -1)
+
+
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", notices=NOTICES, phrases=None, gram: int = GRAM, merge_within: int = MERGE_WITHIN,
     min_coverage: float = MIN_COVERAGE,
@@ -70,8 +99,8 @@ def license_scan(
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     n_base counts the places of all phrases, first_word and last_word are the least and greatest of their starts (null
-    without any).  labels adds to the phrases' labels those of notices of which ``min_coverage`` of the words stand along
-    one merged span, each beside a neighbour of the notice, and that no related notice covers better.  score: 1 with a
+    without any).  labels adds to the phrases' labels those of notices of which ``min_coverage`` of the words align with the text
+    inside one merged span, each beside a neighbour of the notice, and that no related notice covers as well.  score: 1 with a
     phrase, else the best coverage found, 0 without a label.  spans: (label, start, end, coverage) of the verified spans.
     Null and empty texts have no words and no labels; repeated rows get equal results; an empty table gives an empty one; a
     null id stays null; other columns are ignored.  Very long texts: their words are held once, hits are grouped by offset.
@@ -104,10 +133,15 @@ def license_scan(
     along = lambda p: lambda d: same(p, d) & (same(p - 1, d) | same(p + 1, d))  # noqa: E731  a word alone may meet by chance
     fits = lambda p: F.exists(F.sequence("low", "high"), along(p))
     met = islands.join(texts, "key").join(F.broadcast(known), "t").withColumn("met", F.filter(F.sequence(F.lit(0), F.size("tw") - 1), fits))
-    met = met.withColumn("coverage", F.size("met") / F.size("tw")).where(F.col("coverage") >= min_coverage)
-    met = met.withColumns({"start": F.greatest(F.lit(0), F.col("low") + F.array_min("met")), "end": F.col("high") + F.array_max("met") + 1})
-    rivals = Window.partitionBy("key").orderBy("start").rangeBetween(-RIVAL_WORDS, RIVAL_WORDS)
-    met = met.withColumn("best", F.max("coverage").over(rivals)).where(F.col("coverage") == F.col("best"))
+    met = met.where(F.size("met") / F.size("tw") >= min_coverage)  # an upper bound of what an alignment holds
+    met = met.select("key", "label", F.size("tw").alias("size"), aligned(lambda p, d: along(p)(d)).alias("a"))
+    met = met.select("key", "label", (F.col("a.n") / F.col("size")).alias("coverage"), F.col("a.start").alias("start"), (1 - F.col("a.before")).alias("end"))
+    met = materialize(met.where(F.col("coverage") >= min_coverage).distinct(), "met")
+    near = met.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL_WORDS), F.floor((F.col("end") - 1) / CELL_WORDS))))
+    rival = near.select("key", "cell", *[F.col(c).alias(f"r_{c}") for c in ("label", "coverage", "start", "end")])
+    shared = F.least("end", "r_end") - F.greatest("start", "r_start")
+    beaten = near.join(rival, ["key", "cell"]).where((F.col("label") != F.col("r_label")) & (F.col("coverage") <= F.col("r_coverage")) & (2 * shared >= F.least(F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start"))))
+    met = met.join(beaten.select("key", "label", "start", "end").distinct(), ["key", "label", "start", "end"], "left_anti")
     found = met.groupBy("key").agg(
         F.collect_set("label").alias("more"), F.max("coverage").alias("best"), F.sort_array(F.collect_set(F.struct("label", "start", "end", "coverage"))).alias("spans"))
 

@@ -93,7 +93,7 @@ def _op9_sql() -> str:
         f"list_filter(string_split_regex(translate(coalesce({c}, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.NOT_WORD}'), lambda x: x <> '')")
     phrases = ", ".join(f"({quoted(p)}, {quoted(x)}, {len(p.split())})" for p, x in licenses.PHRASES.items())
     return rf"""
-WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, {words('text')} AS w FROM documents),
 n AS (SELECT t, label, {words('wording')} AS tw FROM (VALUES {notices}) v(t, label, wording)),
 ng AS (SELECT t, len(tw) AS size, unnest(range(0, len(tw) - 3)) AS p, tw FROM n),
 tg AS (SELECT t, size, p, array_to_string(tw[p + 1:p + 4], ' ') AS g FROM ng),
@@ -106,14 +106,22 @@ islands AS (
   SELECT DISTINCT doc_id, t, low, high FROM (
     SELECT doc_id, t, min(diagonal) AS low, max(diagonal) AS high FROM celled GROUP BY doc_id, t, grid, cell, size HAVING sum(votes) >= greatest(1, size // 10))),
 held AS (
-  SELECT doc_id, label, low, len(tw) AS size, list_filter(range(0, len(tw)), lambda p: len(list_filter(range(low, high + 1), lambda e: p + e >= 0 AND w[p + e + 1] = tw[p + 1]
-      AND ((p >= 1 AND p + e >= 1 AND w[p + e] = tw[p]) OR coalesce(w[p + e + 2] = tw[p + 2], false)))) > 0) AS met
+  SELECT row_number() OVER () AS id, doc_id, label, low, len(tw) AS size, list_transform(range(0, len(tw)), lambda p: list_transform(range(low, high + 1), lambda d: coalesce(p + d >= 0 AND w[p + d + 1] = tw[p + 1]
+      AND ((p >= 1 AND p + d >= 1 AND w[p + d] = tw[p]) OR coalesce(w[p + d + 2] = tw[p + 2], false)), false))) AS same
   FROM islands JOIN d USING (doc_id) JOIN n USING (t)),
-spanned AS (SELECT doc_id, label, len(met) / size AS coverage, greatest(0, low + list_min(met)) AS start FROM held WHERE len(met) / size >= {licenses.MIN_COVERAGE}),
+walk(id, p, st) AS (
+  SELECT id, 0::BIGINT, list_transform(same[1], lambda x: {{'n': 0::BIGINT, 's': 0::BIGINT, 'e': 0::BIGINT}}) FROM held
+  UNION ALL
+  SELECT id, p + 1, list_transform(range(1, len(c) + 1), lambda k: list_max(c[1:k])) FROM (
+    SELECT id, p, list_transform(range(1, len(st) + 1), lambda k: list_max(list_filter([st[k], st[k + 1],
+      CASE WHEN same[p + 1][k] THEN {{'n': st[k].n + 1, 's': CASE WHEN st[k].n = 0 THEN p + low + k - 1 ELSE st[k].s END, 'e': -(p + low + k - 1)}} END], lambda x: x IS NOT NULL))) AS c
+    FROM walk JOIN held USING (id) WHERE p < size)),
+spanned AS (
+  SELECT DISTINCT doc_id, label, st[len(st)].n / size AS coverage, st[len(st)].s AS start, 1 - st[len(st)].e AS stop
+  FROM walk JOIN held USING (id) WHERE p = size AND st[len(st)].n / size >= {licenses.MIN_COVERAGE}),
 met AS (
-  SELECT doc_id, label, coverage FROM (
-    SELECT *, max(coverage) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {licenses.RIVAL_WORDS} PRECEDING AND {licenses.RIVAL_WORDS} FOLLOWING) AS best FROM spanned)
-  WHERE coverage = best),
+  SELECT * FROM spanned s WHERE NOT EXISTS (SELECT 1 FROM spanned r WHERE r.doc_id = s.doc_id AND r.label <> s.label AND r.coverage >= s.coverage
+    AND 2 * (least(s.stop, r.stop) - greatest(s.start, r.start)) >= least(s.stop - s.start, r.stop - r.start))),
 found AS (SELECT doc_id, list(DISTINCT label) AS more, max(coverage) AS best FROM met GROUP BY doc_id),
 ph AS (SELECT * FROM (VALUES {phrases}) v(phrase, label, size)),
 pl AS (

@@ -270,6 +270,21 @@ def test_license_scan_tells_related_notices_apart(spark):
     assert [got[k].labels for k in range(9)] == ["gpl", "lgpl", "cc-by-nc", "cc-by-sa", "gpl", "", "", "mit", "cc-by-nc,cc-by-sa"]
 
 
+def test_license_scan_takes_no_words_of_neighbours(spark):
+    """Words of one notice serve no other; a notice beside a better covered one keeps its label, a reading that two share has none."""
+    by = dict(licenses.NOTICES)
+    changed = by["mit"].split()
+    changed[20] = changed[20][:-1] + "x"
+    texts = ["Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 3.0.", "Licensed under CC BY-SA 3.0.", f"{by['cc-by-nc']}. {' '.join(changed)}", f"{by['cc-by-nc']}. {by['cc-by-sa']}.",
+             "Licensed under CC BY 4.0", " ".join([*by["isc"].split(), *by["mit"].split()]), " ".join(by["mit"].split()[::-1]), " ".join([by["gpl"]] * 3)]
+    got = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, texts), phrases={}).collect()}
+    assert [got[k].labels for k in range(8)] == ["cc-by-nc", "", "cc-by-nc,mit", "cc-by-nc,cc-by-sa", "", "isc,mit", "", "gpl"]
+    spans = {(x.label, x.start, x.end) for x in got[2].spans}
+    assert ("cc-by-nc", 0, 7) in spans and any(x[0] == "mit" and x[1] == 7 for x in spans)
+    size = len(re.findall(r"[A-Za-z0-9]+", by["gpl"]))
+    assert {(x.start, x.end) for x in got[7].spans} == {(0, size), (size, 2 * size), (2 * size, 3 * size)}
+
+
 def test_lm_prefers_learnt_order(spark, messy, empty):
     rng = random.Random(3)
     sentence = lambda: " ".join(f"{a} {b}" for a, b in (rng.choice([("red", "apple"), ("blue", "sky"), ("green", "tree"), ("old", "stone")]) for _ in range(30)))
