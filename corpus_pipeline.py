@@ -20,7 +20,8 @@ def _carried(docs: DataFrame, *columns: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(_carried(docs, "text")).where("kept").select("row.*")
+    lang = "lang" if "lang" in docs.columns else None
+    return quality.quality_rules(_carried(docs, "text", *([lang] if lang else [])), lang=lang).where("kept").select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
