@@ -4,7 +4,8 @@ A document's character-class histogram and its common-word histogram are compare
 languages by Jensen-Shannon distance (base 2, so 0 to 1).  A document passes if some language fits both and its common
 words make up a least part of the share they have in the reference: without any of them the distance stays below its limit.
 Histograms of few characters or words say little, so each has a minimum length under which it isn't judged.  The references
-are of languages in Latin letters; texts in other scripts are not judged by them, only by the base rules.
+say nothing of languages that they don't hold: a text that is said to be in another one, one without such a word whose letters
+theirs lack, and one in another script are judged by the base rules alone.
 
 The references are parameters of fixed size, not corpus statistics: one pass, no shuffle, no state that grows.
 """
@@ -30,6 +31,10 @@ WORD_REFERENCE = {
     "fr": {"de": 4.7, "la": 2.8, "le": 2.2, "et": 2.1, "les": 1.9, "des": 1.7, "en": 1.3, "un": 1.1, "du": 1.1, "une": 0.9, "que": 0.9, "pour": 0.8},
     "es": {"de": 5.5, "la": 3.6, "que": 2.8, "el": 2.7, "en": 2.5, "y": 2.4, "los": 1.6, "del": 1.1, "se": 1.1, "las": 1.0, "por": 0.9, "un": 0.9},
 }
+#: Fixed value: the Latin letters that the references' languages write.
+KNOWN_LETTERS = "a-zA-ZÄÖÜäöüßÀÂÆÇÈÉÊËÎÏÔŒÙÛŸàâæçèéêëîïôœùûÿÁÍÑÓÚáíñóú"
+#: A text without a language is in another one if more than this percentage of its letters are others.
+MAX_OTHER_LETTERS = 1
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.45
 #: Least share of a language's common words, as a part of their share in its reference.
@@ -138,15 +143,16 @@ def quality_signals(docs: DataFrame, text: str = "text", char_reference=None, wo
 def quality_rules(
     docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_chars: int = MIN_CHARS, min_letter_words: int = MIN_WORDS,
     max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, char_reference=None, word_reference=None,
-    min_common: float = MIN_COMMON, script: str = "Latin",
+    min_common: float = MIN_COMMON, script: str = "Latin", lang: str | None = None,
 ) -> DataFrame:
     """:func:`quality_signals` and the columns base_failed and kept.
 
     base_failed: under ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated 3-word windows.
     kept: not base_failed, and some language's distances are both small enough and its common words no fewer than
     ``min_common`` of their share in the reference; a histogram of under ``min_chars``
-    characters or ``min_letter_words`` words is not judged, nor is a text most of whose letters are of another script than
-    ``script``, that of the references.  Both references must name the same languages in order.
+    characters or ``min_letter_words`` words is not judged, nor is a text in a language without a reference: one of which the column
+    ``lang`` says so; one without a language there more than ``MAX_OTHER_LETTERS`` % of whose letters the references' languages don't
+    write; one most of whose letters are of another script than ``script``.  Both references must name the same languages in order.
 
     Null, empty and blank texts have no words and fail the base rules; repeated rows get equal results, an empty table an
     empty one.  A very long text is one row's work: lists of its words are held, of windows a hash each.
@@ -164,7 +170,9 @@ def quality_rules(
         no_words = (x["n_chars"] < min_chars) | (F.array_min(x["js_chars"]) <= max_char_distance)
         verdict = F.when(x["n_letter_words"] == 0, no_words).otherwise(fits)
         letters = lambda p: F.char_length(F.regexp_replace(x["t"], p, ""))
-        foreign = 2 * letters(rf"[^\p{{Is{script}}}]+") < letters(r"[^\p{L}]+")  # asked of rejected texts alone
+        named = F.lit(None).cast("string") if lang is None else F.col(lang).cast("string")
+        odd = 100 * letters(rf"[^\p{{L}}]+|[{KNOWN_LETTERS}]+") > MAX_OTHER_LETTERS * letters(r"[^\p{L}]+")
+        foreign = F.coalesce(~named.isin(*char_reference), odd) | (2 * letters(rf"[^\p{{Is{script}}}]+") < letters(r"[^\p{L}]+"))  # asked of rejected texts alone
         kept = F.when(failed, False).when(F.coalesce(verdict, F.lit(True)), True).otherwise(foreign)
         return F.struct(*[x[c].alias(c) for c in SIGNALS], failed.alias("base_failed"), kept.alias("kept"))
 

@@ -19,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
+    out = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"), lang="lang")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -48,9 +48,9 @@ def _op6_sql() -> str:
     chars_only = " OR ".join(f"{_js_sql(classes, r, 'n_chars')} <= {quality.MAX_CHAR_DISTANCE}" for r in quality.CHAR_REFERENCE.values())
     space = r"[ \t\n\x0B\f\r]"
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (
-  SELECT doc_id, t, list_filter(string_split_regex(t, '{space}+'), lambda x: x <> '') AS ws,
+  SELECT doc_id, lang, t, list_filter(string_split_regex(t, '{space}+'), lambda x: x <> '') AS ws,
     list_filter(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '{space}+', '', 'g')) > 0) AS ls,
     list_filter(string_split_regex(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS lw, length(t) AS n_chars,
     length(regexp_replace(t, '[^\p{{Ll}}]+', '', 'g')) AS lo, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS up,
@@ -69,7 +69,8 @@ s AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND CASE WHEN len(lw) = 0 THEN n_chars < {quality.MIN_CHARS} OR {chars_only} ELSE {' OR '.join(fits)} END
-    OR NOT base_failed AND 2 * length(regexp_replace(t, '[^\p{{Latin}}]+', '', 'g')) < length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS kept
+    OR NOT base_failed AND (2 * length(regexp_replace(t, '[^\p{{Latin}}]+', '', 'g')) < length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) OR lang NOT IN ({', '.join(f"'{x}'" for x in quality.CHAR_REFERENCE)})
+      OR (lang IS NULL AND 100 * length(regexp_replace(t, '[^\p{{L}}]+|[{quality.KNOWN_LETTERS}]+', '', 'g')) > {quality.MAX_OTHER_LETTERS} * length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')))) AS kept
 FROM b"""
 
 

@@ -248,6 +248,21 @@ def test_packing(messy, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_quality_judges_no_other_languages(spark):
+    """Clean texts in languages without a reference stay, with or without a word about their language; junk goes unless it is said to be in one."""
+    polish = "Wczoraj wieczorem w stolicy odbyło się spotkanie mieszkańców z władzami miasta, podczas którego omówiono budowę nowej linii tramwajowej oraz remont mostu. " \
+        "Według zapowiedzi prace ruszą jesienią, a ich koszt ma wynieść kilkaset milionów złotych. Część uczestników pytała o zieleń i hałas, inni chwalili krótszy dojazd do szkół. " * 3
+    finnish = "Kaupungin uusi kirjasto avattiin eilen ja ihmiset tulivat katsomaan sen suuria saleja sekä hiljaisia lukupaikkoja joita on nyt enemmän kuin koskaan ennen " \
+        "vaikka rakennus valmistui vasta kesällä kun viimeiset työt saatiin tehtyä hyvin " * 6
+    rng = random.Random(1)
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(200))
+    russian = "Вчера вечером в городе прошла встреча жителей с властями и на ней обсудили ремонт моста и новую линию трамвая которую построят к осени " * 4
+    rows = [(0, polish, None), (1, polish, "pl"), (2, finnish, "fi"), (3, junk, "en"), (4, junk, None), (5, russian, None), (6, russian, "ru"), (7, polish, "en")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lang="lang", max_repeat_percent=100)
+    assert {r.doc_id: r.kept for r in got.collect()} == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: False}
+    assert got.columns[:3] == ["doc_id", "text", "lang"]
+
+
 def test_license_scan(spark, messy, empty):
     mit = dict((a, b) for a, b in licenses.NOTICES)["mit"]
     words = mit.split()
