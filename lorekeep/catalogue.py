@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
-from lorekeep.operators import checks, graph, maintain, resolve, search, sessions
+from lorekeep.operators import checks, graph, index, maintain, resolve, search, sessions
 from lorekeep.plans import adapters
+from lorekeep.plans.ranks import ranked
+from lorekeep.plans.store import materialize
 from lorekeep.sources import wiki
 
 QUERIES: dict = {}
@@ -255,16 +257,19 @@ def graph_stats(spark, sf_dir):
 
 # --- reports ---------------------------------------------------------------------------------------------------------------
 INDEX = """
-ix AS (SELECT string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY path) || chr(10) || '- [gone](entities/gone.md)' || chr(10) || '- [out](../out.md) [web](https://x.example/a.md)' AS text
-  FROM p WHERE NOT is_config AND length(path) % 9 <> 0),
-tg AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\[[^\\[\\]\\r\\n]*\\]\\(([^()\\r\\n]*)\\)', 1)) AS target FROM ix),
+il AS (SELECT '- [' || title || '](' || path || ')' AS x, length(path) % 7 = 0 AS hidden FROM p WHERE NOT is_config AND length(path) % 9 <> 0
+  UNION ALL SELECT * FROM (VALUES ('- [gone](entities/gone.md)', false), ('- [out](../out.md) [web](https://x.example/a.md)', false))),
+tg AS (SELECT DISTINCT unnest(regexp_extract_all(x, '\\[[^\\[\\]\\r\\n]*\\]\\(([^()\\r\\n]*)\\)', 1)) AS target FROM il WHERE NOT hidden),
 tl AS (SELECT target FROM tg WHERE target NOT LIKE '%://%')""".replace("\\\\", "\\")
 
 
 def _index(pages: DataFrame) -> DataFrame:
+    """Lines of an index of most pages, in the order of their paths; some are comments, the last two link elsewhere."""
     line = F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")"))
-    lines = pages.where("not is_config and length(path) % 9 <> 0").agg(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))).alias("x"))
-    return lines.select(F.concat(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n- [gone](entities/gone.md)\n- [out](../out.md) [web](https://x.example/a.md)")).alias("text"))
+    line = F.when(F.length("path") % 7 == 0, F.concat(F.lit("  <!-- "), line, F.lit(" -->"))).otherwise(line)
+    listed = pages.where("not is_config and length(path) % 9 <> 0").select("path", line.alias("x"))
+    ends = pages.sparkSession.createDataFrame([("~1", "- [gone](entities/gone.md)"), ("~2", "- [out](../out.md) [web](https://x.example/a.md)")], "path string, x string")
+    return materialize(ranked(listed.unionByName(ends), "path", name="line").select(F.lit("index.md").alias("key"), "line", "x"), "index")
 
 
 @query(star("SELECT target FROM tl", INDEX).replace("WITH RECURSIVE", "WITH"))
@@ -284,6 +289,34 @@ def index_dangling(spark, sf_dir):
     return checks.index_dangling(pages, checks.index_targets(_index(pages))).select("detail")
 
 
+#: Every document as an index: each line links what its letters spell; some open or close a comment, one way or another.
+INDEXES = r"""x AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND text <> '')),
+b AS (SELECT doc_id, n, length(x) % 7 AS k, regexp_replace(x, '[^A-Za-z]+', '', 'g') || '.md' AS target FROM x),
+marks AS (SELECT doc_id, n, k, lead(k) OVER w AS nk, lead(n) OVER w AS nn FROM b WHERE k <= 2 WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+com AS (SELECT doc_id, unnest(range(n, nn + 1)) AS n FROM marks WHERE k = 0 AND nk = 1),
+st AS (SELECT *, last_value(CASE WHEN k <= 2 THEN k END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b)"""
+
+
+def _document_indexes(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    target = F.concat(F.regexp_replace("x", "[^A-Za-z]+", ""), F.lit(".md"))
+    link = F.concat(F.lit("- [n](./"), target, F.lit("#top) [w](https://e.x/"), target, F.lit(")"))
+    k = F.length("x") % 7
+    marked = F.when(k == 0, F.concat(F.lit("<!-- "), link)).when(k == 1, F.concat(link, F.lit(" --> "))).when(k == 2, F.concat(F.lit("see <!-- "), link)).otherwise(link)
+    return materialize(lines.select("key", "line", marked.alias("x")), "indexes")
+
+
+@query(f"WITH {INDEXES} SELECT DISTINCT doc_id AS key, target FROM b ANTI JOIN com USING (doc_id, n)")
+def index_targets_by_document(spark, sf_dir):
+    return index.targets(_document_indexes(spark, sf_dir))
+
+
+@query(f"WITH {INDEXES} SELECT doc_id AS key, n::INTEGER AS line FROM st ANTI JOIN com USING (doc_id, n) WHERE k > 2 AND coalesce(before, 1) = 1 AND length(target) % 2 = 0")
+def index_prune(spark, sf_dir):
+    lines = _document_indexes(spark, sf_dir)
+    return index.dangling_lines(lines, index.targets(lines).where("length(target) % 2 = 0"))
+
+
 @query(star("SELECT path AS page, raw AS detail, pos FROM r WHERE owner IS NULL"))
 def check_broken(spark, sf_dir):
     return checks.broken_occurrences(graph.resolved_links(adapters.star_kb(spark, sf_dir), T.fold_ascii)).select("page", "detail", "pos")

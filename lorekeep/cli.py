@@ -12,8 +12,10 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekeep.operators import checks, graph, maintain, search
+from lorekeep.operators import index as index_lines
 from lorekeep.sources import wiki
 
 
@@ -89,13 +91,13 @@ def main(argv: list[str] | None = None) -> int:
         hits = [r.asDict() for r in search.search(docs, a.query, a.limit, graph.backlinks(nodes, edges).withColumnRenamed("path", "page")).collect()]
         print(json.dumps({"ok": True, "query": a.query, "pages_searched": docs.count(), "results": hits}, ensure_ascii=False) if a.json else "\n".join(f"{h['rank']}. {h['page']} {h['score']} {h['snippet']}" for h in hits))
     elif a.verb == "reindex":
-        targets = checks.index_targets(index)
+        lines = index_lines.lines_of(index, F.lit("index.md"))
+        targets = checks.index_targets(lines)
         missing = pages.join(checks.index_missing(pages, targets).select("page").withColumnRenamed("page", "path"), "path", "left_semi")
-        plan = [(r["section"], r["line"]) for r in maintain.index_plan(missing).collect()]
-        gone = {r["detail"] for r in checks.index_dangling(pages, targets).collect()}
-        path = os.path.join(folder, "index.md")
-        with open(path, encoding="utf-8") as f:
-            wiki.write_atomically(path, maintain.spliced_index(f.read(), plan, gone))
+        plan = maintain.index_plan(missing).select(F.lit("index.md").alias("key"), "section", "path", F.col("line").alias("x"))
+        gone = checks.index_dangling(pages, targets).select(F.lit("index.md").alias("key"), F.col("detail").alias("target"))
+        rows = index_lines.inserted(index_lines.pruned(lines, gone), plan).orderBy("line", "sub").select("x").toLocalIterator()
+        wiki.write_atomically(os.path.join(folder, "index.md"), "".join(r["x"] + "\n" for r in rows))
     elif a.verb == "remove":
         for r in maintain.remove_plan(pages, a.slug).orderBy("path").collect():
             print(r["action"], r["path"])

@@ -20,7 +20,7 @@ CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
 WIKILINK = r"\[\[([^\[\]\r\n]+?)\]\]"
 COMMENT = r"(?<![^\r\n])[ \t]*<!--(?:(?!<!--|-->)[\s\S])*-->[ \t]*(?![^\r\n])"
 LINE_BREAKS = r"\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}"
-INDEX_LINK = r"\[[^\[\]\r\n]*\]\(((?:[^()\r\n]|\([^()\r\n]*\))*)\)"
+INDEX_LINK = r"\[[^\[\]\r\n]*\]\(([^()\r\n]*+(?:\([^()\r\n]*+\)[^()\r\n]*+)*+)\)"  # possessive: a target of any length takes no stack
 DIGEST = r"(?s)^(.+)@sha256:([0-9a-f]{64})$"
 
 
@@ -199,14 +199,19 @@ def split_lines(text: Column | str) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def index_links(text: Column | str) -> Column:
-    """Distinct local targets of markdown links: comments, anchors, ``./`` and external addresses removed."""
-    raw = F.regexp_extract_all(strip_comments(text), F.lit(INDEX_LINK), F.lit(1))
+def line_targets(text: Column | str) -> Column:
+    """Distinct local targets of markdown links: anchors, ``./`` and external addresses removed; comments aren't looked at."""
+    raw = F.regexp_extract_all(col(text), F.lit(INDEX_LINK), F.lit(1))
     clean = lambda t: F.regexp_replace(F.replace(strip(F.split_part(t, F.lit("#"), F.lit(1))), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
     local = F.filter(raw, lambda t: ~F.contains(t, F.lit("://")) & ~F.lower(strip(t)).startswith("mailto:"))
     return F.array_distinct(F.filter(F.transform(local, clean), lambda t: t != ""))
 
 
+def index_links(text: Column | str) -> Column:
+    """:func:`line_targets` of a small text, comments left out; indexes of any size go through ``operators.index``."""
+    return line_targets(strip_comments(text))
+
+
 def page_argument_ok(arg: Column | str) -> Column:
     a = strip(arg)
     return (F.length(a) > 0) & (F.char_length(a) <= 200) & ~a.rlike(r"[\x00-\x1F\x7F]")

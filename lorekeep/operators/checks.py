@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import graph as G
+from lorekeep.operators import index
 from lorekeep.operators.search import nearest_pages
+from lorekeep.plans.store import materialize
 from lorekeep.sources.wiki import page_order
 
 REQUIRED = ("title", "type", "tags", "sources", "last_updated")
@@ -106,8 +108,10 @@ def type_folder_mismatches(pages: DataFrame) -> DataFrame:
     return _rows(rows, F.col("path"), "health.type_dir_mismatch", F.concat_ws(" in a folder of ", "type", folder), 0)
 
 
-def index_targets(index_text: DataFrame, text: str = "text") -> DataFrame:
-    return index_text.select(F.explode(T.index_links(text)).alias("target")).distinct()
+def index_targets(lines: DataFrame) -> DataFrame:
+    """``(target)`` of an index that is a table of lines, or of its text where that is one row."""
+    rows = lines if "line" in lines.columns else index.lines_of(lines, F.lit("index.md"))
+    return index.targets(rows).select("target").distinct()
 
 
 def index_missing(pages: DataFrame, targets: DataFrame) -> DataFrame:
@@ -132,8 +136,8 @@ def _findings(rows: DataFrame, suggestion=None) -> DataFrame:
     return rows.select("page", "kind", "detail", (F.lit(None) if suggestion is None else suggestion).cast("string").alias("suggestion"))
 
 
-def health(pages: DataFrame, index_text: DataFrame) -> DataFrame:
-    targets = index_targets(index_text)
+def health(pages: DataFrame, index_lines: DataFrame) -> DataFrame:
+    targets = materialize(index_targets(index_lines), "targets")
     parts = [stub_pages(pages), uncharted_pages(pages), type_folder_mismatches(pages), index_missing(pages, targets), index_dangling(pages, targets)]
     out = _findings(parts[0])
     for p in parts[1:]:

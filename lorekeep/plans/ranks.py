@@ -21,3 +21,24 @@ def ranked(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
     before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
     offsets = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_part", "_place", "_before")
+
+
+def carried(rows: DataFrame, key: list[str], order: list[str], value: str, name: str, descending: bool = False) -> DataFrame:
+    """``rows`` and the column ``name``: the last ``value`` that isn't null in an earlier row of the same key, in the given order; a written table.
+
+    descending: in a later row instead, the nearest one.  Key columns mustn't be null.  A key's rows may lie in many range partitions: each
+    looks inside itself, and what its first key brings along from before is found from one row a partition.
+    """
+    by = [(F.desc(c) if descending else F.asc(c)) for c in (*key, *order)]
+    inner = rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    earlier = Window.partitionBy("_part", *key).orderBy(*by[len(key) :]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialize(inner.withColumn("_own", F.last(value, ignorenulls=True).over(earlier)), "placed")
+    keys, place = F.struct(*key), F.struct(*order)
+    first = F.max if descending else F.min
+    last = F.min if descending else F.max
+    held = placed.where(F.col(value).isNotNull()).groupBy("_part").agg((F.min_by if descending else F.max_by)(F.struct(keys.alias("k"), F.col(value).alias("v")), F.struct(keys, place)).alias("held"))
+    parts = placed.groupBy("_part").agg(first(keys).alias("first"), last(keys).alias("last")).join(held, "_part", "left")
+    before = F.last(F.when(F.col("held.k") == F.col("last"), F.col("held")), ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    brought = parts.withColumn("brought", before).where(F.col("brought.k") == F.col("first")).select("_part", *[F.col("first")[c].alias(c) for c in key], F.col("brought.v").alias("_brought"))
+    out = placed.join(F.broadcast(brought), ["_part", *key], "left")
+    return materialize(out.select(*rows.columns, F.coalesce("_own", "_brought").alias(name)), "carried")
