@@ -9,6 +9,7 @@ from lorekeep.functions import text as T
 from lorekeep.operators import maintain, resolve, search, sessions
 from lorekeep.plans import adapters
 from lorekeep.sources import wiki
+from lorekeep.streaming import registry
 
 
 def _text(*parts):
@@ -26,6 +27,32 @@ def busy_rejections(spark, sf_dir):
     return sessions.busy_rejections(turns)
 
 
+#: Messages, fresh starts (signup) and lost objects (error) of users, in five scopes.
+KINDS = "k AS (SELECT event_id, user_id AS session, user_id % 5 AS scope, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'drop' WHEN 'error' THEN 'vanish' ELSE 'message' END AS kind FROM events)"
+
+
+def _kinds(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "signup", "drop").when(F.col("event_type") == "error", "vanish").otherwise("message")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("scope"), F.col("user_id").alias("session"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("msg_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+
+
+@query(f"""WITH {KINDS}, w AS (SELECT *, max(CASE WHEN kind = 'message' THEN us END) OVER b AS told, max(CASE WHEN kind = 'drop' THEN us END) OVER b AS begun, max(CASE WHEN kind = 'vanish' THEN us END) OVER b AS lost
+  FROM k WINDOW b AS (PARTITION BY session ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, CASE WHEN told IS NULL OR begun > told THEN 'first' WHEN us - told > 6 * 3600000000 THEN 'expired' WHEN lost > told THEN 'lost' ELSE 'existing' END AS state FROM w WHERE kind = 'message'""")
+def session_registry(spark, sf_dir):
+    out = registry.session_batch(_kinds(spark, sf_dir), seconds=6 * 3600, tombstones=10**6)
+    return out.select(F.col("msg_id").cast("long").alias("event_id"), "state")
+
+
+@query("""WITH RECURSIVE m AS (SELECT epoch_us(ts) AS us, user_id % 5 AS scope, user_id || event_type AS msg_id FROM events),
+seen(scope, msg_id, us) AS (SELECT scope, msg_id, min(us) FROM m GROUP BY scope, msg_id
+  UNION ALL SELECT s.scope, s.msg_id, min(m.us) FROM seen s JOIN m ON m.msg_id = s.msg_id AND m.us > s.us + 43200000000 GROUP BY s.scope, s.msg_id)
+SELECT scope::VARCHAR AS scope, msg_id, us FROM seen""")
+def msg_dedup_bounded(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("scope"), F.concat(F.col("user_id").cast("string"), "event_type").alias("msg_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return registry.dedup_batch(e, seconds=43_200).select("scope", "msg_id", F.unix_micros("ts").alias("us"))
+
+
 @query("""WITH t AS (SELECT user_id AS session, event_id AS turn, count(*) OVER w AS n, sum((event_id % 9) * 1.5::DOUBLE) OVER w AS spent FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT session, min(turn) AS stopped_at, arg_min(CASE WHEN n >= 25 THEN 'turns' ELSE 'time' END, turn) AS reason FROM t WHERE n >= 25 OR spent >= 120 GROUP BY session""")
