@@ -314,12 +314,6 @@ def cut_vertices(spark, sf_dir):
     return graph.fragile_places(_forest(spark, sf_dir)[1]).where("kind = 'cut_vertex'")
 
 
-@query()
-def isolated_groups(spark, sf_dir):
-    nodes, edges = _forest(spark, sf_dir)
-    return graph.isolated_communities(edges, graph.communities(nodes, edges))
-
-
 @query(star("""SELECT 0 AS part, '{"id":"' || id || '","title":"' || title || '","type":"' || type || '","path":"' || path || '"}' AS line FROM nodes
 UNION ALL SELECT 1, '{"source":"' || source || '","target":"' || target || '","resolved":' || resolved::VARCHAR || '}' FROM edges"""))
 def graph_json(spark, sf_dir):

@@ -157,11 +157,11 @@ def lint(pages: DataFrame, docs: DataFrame, fold=T.fold_stem) -> DataFrame:
         named.join(near.select("target", F.col("page").alias("s")), "target", "left").select("page", F.lit("lint.broken_link").alias("kind"), F.col("target").alias("detail"), F.col("s").alias("suggestion")),
         missing_entities(edges, nodes).select(F.lit("").alias("page"), F.lit("lint.missing_entity").alias("kind"), F.concat_ws(": ", "target", F.array_join("ref_pages", ", ")).alias("detail"), F.lit(None).cast("string").alias("suggestion")),
         at(G.hub_nodes(nodes, edges), "id").select("page", F.lit("lint.hub_node").alias("kind"), F.col("degree").cast("string").alias("detail"), F.lit(None).cast("string").alias("suggestion"))]
-    com, fragile = G.communities(nodes, edges), G.fragile_places(edges)
+    com, fragile = materialize(G.communities(nodes, edges), "communities"), materialize(G.fragile_places(edges), "fragile")
     thin, lonely = G.thin_links(edges, com), G.isolated_communities(edges, com)
     parts += [
         at(thin, "u").select("page", F.lit("lint.thin_intercommunity_link").alias("kind"), F.concat_ws(" - ", "u", "v").alias("detail"), F.lit(None).cast("string").alias("suggestion")),
-        lonely.select(F.lit("").alias("page"), F.lit("lint.isolated_community").alias("kind"), F.array_join("members", ", ").alias("detail"), F.lit(None).cast("string").alias("suggestion")),
+        at(lonely, "id").select("page", F.lit("lint.isolated_community").alias("kind"), F.concat_ws(" of ", F.lit("one"), "size").alias("detail"), F.lit(None).cast("string").alias("suggestion")),
         at(fragile, "u").select("page", F.concat(F.lit("lint."), F.when(F.col("kind") == "bridge", "bridge_edge").otherwise("cut_vertex")).alias("kind"), F.concat_ws(" - ", "u", "v").alias("detail"), F.lit(None).cast("string").alias("suggestion"))]
     out = parts[0]
     for p in parts[1:]:

@@ -6,12 +6,11 @@ the two traversals that need an order (communities, low-links), which run per co
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
-from lorekeep.operators import biconnect
+from lorekeep.operators import biconnect, community
 from lorekeep.operators.resolve import page_links, resolution_table, resolve
 from lorekeep.plans.components import connected_components
 from lorekeep.plans.ranks import ranked
@@ -78,92 +77,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _moved(links: list[dict[int, float]], loops: list[float], total: float) -> list[int]:
-    """One level of local moves: the community of each node, numbered by least member."""
-    n = len(links)
-    of = list(range(n))
-    degree = [sum(x.values()) + 2 * l for x, l in zip(links, loops, strict=True)]
-    held = degree[:]
-    moved = True
-    while moved:
-        moved = False
-        for v in range(n):
-            near: dict[int, float] = {}
-            for w, weight in links[v].items():
-                near[of[w]] = near.get(of[w], 0.0) + weight
-            home, share = of[v], degree[v] / (2.0 * total)
-            held[home] -= degree[v]
-            stay = -near.get(home, 0.0) + held[home] * share
-            best, gain = home, 0.0
-            for c in sorted(near):
-                if (g := stay + near[c] - held[c] * share) > gain:
-                    best, gain = c, g
-            held[best] += degree[v]
-            of[v] = best
-            moved |= best != home
-    order: dict[int, int] = {}
-    for c in of:
-        order.setdefault(c, len(order))
-    return [order[c] for c in of]
-
-
-def _levels(edges: pd.DataFrame) -> pd.DataFrame:
-    """For one component: each node's community (least member) after each level, and the component's part of the modularity."""
-    ids = sorted(set(edges["u"]) | set(edges["v"]))
-    at = {x: k for k, x in enumerate(ids)}
-    total = float(edges["total"].iloc[0])
-    links: list[dict[int, float]] = [{} for _ in ids]
-    for u, v in zip(edges["u"], edges["v"], strict=True):
-        links[at[u]][at[v]] = links[at[v]][at[u]] = 1.0
-    loops, members, own = [0.0] * len(ids), list(range(len(ids))), []
-    labels, quality = [], []
-    while True:
-        of = _moved(links, loops, total)
-        k = max(of) + 1
-        if labels and k == len(links):
-            break
-        new: list[dict[int, float]] = [{} for _ in range(k)]
-        inner = [0.0] * k
-        for v, x in enumerate(links):
-            inner[of[v]] += loops[v]
-            for w, weight in x.items():
-                if of[v] != of[w]:
-                    new[of[v]][of[w]] = new[of[v]].get(of[w], 0.0) + weight
-                elif v < w:
-                    inner[of[v]] += weight
-        links, loops, members = new, inner, [of[m] for m in members]
-        least: dict[int, str] = {}
-        for k_, m in enumerate(members):
-            least.setdefault(m, ids[k_])
-        labels.append([least[m] for m in members])
-        quality.append(sum(i / total - ((sum(x.values()) + 2 * i) / (2 * total)) ** 2 for i, x in zip(inner, links, strict=True)))
-    own = [list(x) for x in zip(*labels, strict=True)]
-    return pd.DataFrame({"id": ids, "labels": own, "quality": [quality] + [None] * (len(ids) - 1)})
-
-
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, community)``: ordered multi-level modularity communities, numbered from 0 by least member.
-
-    Moves depend on a node's own component and the graph's total weight, so components are solved apart; only the level
-    at which the whole graph's modularity stops to rise is found together, from one number per component and level.
-    """
-    pairs = undirected(edges)
-    comp = connected_components(pairs, "u", "v")
-    total = pairs.agg(F.count("*").cast("double").alias("total"))
-    work = pairs.join(comp.select(F.col("id").alias("u"), "component"), "u").join(F.broadcast(total)).select("component", "u", "v", "total")
-    solved = work.groupBy("component").applyInPandas(_levels, "id string, labels array<string>, quality array<double>").cache()
-    depth = solved.agg(F.max(F.size("labels")).alias("n")).first()["n"] or 0
-    last = lambda k, c: F.element_at(c, F.least(F.lit(k), F.size(c)))
-    level = 1
-    if depth > 1:
-        sums = solved.where("quality is not null").agg(*[F.sum(last(k, F.col("quality"))).alias(f"q{k}") for k in range(1, depth + 1)]).first()
-        while level < depth and sums[level] - sums[level - 1] >= MIN_GAIN:
-            level += 1
-    label = solved.select("id", last(level, F.col("labels")).alias("least")) if depth else solved.select("id", F.col("id").alias("least"))
-    out = nodes.select("id").distinct().join(label, "id", "left").withColumn("least", F.coalesce("least", "id"))
+    """``(id, community)``: communities of :mod:`lorekeep.operators.community`, numbered from 0 by least member; lonely nodes are their own."""
+    pairs = materialize(undirected(edges), "pairs")
+    ids = materialize(ranked(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", name="n"), "ids")  # in the order of ids, so least members stay least
+    number = lambda c, n: ids.select(F.col("id").alias(c), F.col("n").alias(n))
+    found = community.communities(pairs.join(number("u", "a"), "u").join(number("v", "b"), "v").select("a", "b"))
+    named = found.select(F.col("id").alias("n"), F.col("community").alias("c")).join(ids, "n").join(number("least", "c"), "c").select("id", "least")
+    out = materialize(nodes.select("id").distinct().join(named, "id", "left").withColumn("least", F.coalesce("least", "id")), "labelled")
     return out.join(ranked(out.select("least").distinct(), "least", name="community"), "least").select("id", "community")
 
 
+def community_quality(edges: DataFrame, com: DataFrame) -> DataFrame:
+    """``(links, communities, modularity)`` of a partition, over the linked nodes."""
+    return community.modularity(undirected(edges).select(F.col("u").alias("a"), F.col("v").alias("b")), com)
+
+
 def _crossing(edges: DataFrame, com: DataFrame) -> DataFrame:
     side = lambda c: com.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
     return undirected(edges).join(side("u"), "u").join(side("v"), "v").where("cu <> cv")
@@ -176,11 +105,12 @@ def thin_links(edges: DataFrame, com: DataFrame) -> DataFrame:
 
 
 def isolated_communities(edges: DataFrame, com: DataFrame, least: int = MIN_COMMUNITY) -> DataFrame:
-    """``(community, size, members)`` of communities of ``least`` or more without an outer link, if there are several communities."""
-    sizes = com.groupBy("community").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("members")).where(F.col("size") >= least)
+    """``(community, size, id)``: a row a member of communities of ``least`` or more without an outer link, if there are several communities."""
+    sizes = com.groupBy("community").agg(F.count("*").alias("size"))
     linked = _crossing(edges, com).select(F.explode(F.array("cu", "cv")).alias("community")).distinct()
-    several = com.agg(F.countDistinct("community").alias("n"))
-    return sizes.join(linked, "community", "left_anti").join(F.broadcast(several)).where("n > 1").drop("n").orderBy("community")
+    several = sizes.agg(F.count("*").alias("n"))
+    lonely = sizes.where(F.col("size") >= least).join(linked, "community", "left_anti").join(F.broadcast(several)).where("n > 1").drop("n")
+    return com.join(materialize(lonely, "lonely"), "community").select("community", "size", "id").orderBy("community", "id")
 
 
 def fragile_places(edges: DataFrame) -> DataFrame:

@@ -42,3 +42,23 @@ def carried(rows: DataFrame, key: list[str], order: list[str], value: str, name:
     brought = parts.withColumn("brought", before).where(F.col("brought.k") == F.col("first")).select("_part", *[F.col("first")[c].alias(c) for c in key], F.col("brought.v").alias("_brought"))
     out = placed.join(F.broadcast(brought), ["_part", *key], "left")
     return materialize(out.select(*rows.columns, F.coalesce("_own", "_brought").alias(name)), "carried")
+
+
+def running(rows: DataFrame, key: str, order: list, value: str, name: str) -> DataFrame:
+    """``rows`` and the column ``name``: the sum of ``value`` over the earlier rows of the same key, in the given order of columns; a written table.
+
+    As in :func:`carried`, a key may fill many range partitions: what lies before a partition is added up from one row a partition.
+    """
+    by = [F.col(key), *[F.col(c) if isinstance(c, str) else c for c in order]]
+    inner = rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    earlier = Window.partitionBy("_part", key).orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialize(inner.withColumn("_own", F.coalesce(F.sum(value).over(earlier), F.lit(0))), "placed")
+    sums = placed.groupBy("_part", key).agg(F.sum(value).alias("sum"))
+    parts = sums.groupBy("_part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max_by("sum", key).alias("sum"))  # one row a partition
+    before = F.sum("sum").over(Window.partitionBy("last").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # a partition's first key may be the last of earlier ones, whole partitions of it among them
+    ends = parts.select("_part", F.col("last"), "sum").withColumn("upto", F.coalesce(before, F.lit(0)) + F.col("sum"))
+    brought = parts.select("_part", F.col("first").alias(key)).join(ends.select(F.col("_part").alias("q"), F.col("last").alias(key), "upto"), key).where("q < _part")
+    brought = brought.groupBy("_part", key).agg(F.max("upto").alias("_brought"))
+    out = placed.join(F.broadcast(brought), ["_part", key], "left")
+    return materialize(out.select(*rows.columns, (F.col("_own") + F.coalesce("_brought", F.lit(0))).alias(name)), "running")
