@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.catalogue import IDF, SCORED, TOP, D, query, star, table
 from lorekeep.functions import text as T
-from lorekeep.operators import maintain, resolve, search, sessions
+from lorekeep.operators import maintain, resolve, search, sessions, trees
 from lorekeep.plans import adapters
 from lorekeep.sources import wiki
 from lorekeep.streaming import registry
@@ -246,3 +246,54 @@ def page_miss_fallback(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").where("text is not null").select(_text(F.col("item_id"), " ", F.col("text")).alias("name"))
     asked = asked.unionByName(docs.where("doc_id % 50 = 0").select(_text("doc-", F.col("doc_id")).alias("name")))
     return search.page_or_best(asked, keys, docs, fold=T.fold_ascii)
+
+
+# --- image copies, review logs, hash trees ----------------------------------------------------------------------------------------
+_PICTURED = r"""h AS (SELECT 'parsed/page-' || page_id || '.md' AS page, page_id, regexp_replace(html, '<a href="/([^"()\s]*)">', '![a]( img/\1.PNG "t")', 'g') AS t FROM pages WHERE html IS NOT NULL),
+r AS (SELECT page, page_id, t, regexp_extract_all(t, '!\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)', 1) AS refs, string_split_regex(t, '!\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)') AS o FROM h),
+e AS (SELECT page, refs[i] AS ref, i FROM (SELECT page, refs, unnest(range(1, len(refs) + 1)) AS i FROM r)),
+f AS (SELECT DISTINCT ref, length(ref) * 1000000 AS size FROM e WHERE length(ref) % 3 <> 0),
+n AS (SELECT page, ref, size, row_number() OVER w AS number, sum(size) OVER w AS total FROM (SELECT page, ref, size, min(i) AS first FROM e JOIN f USING (ref) GROUP BY ALL) WINDOW w AS (PARTITION BY page ORDER BY first)),
+b AS (SELECT page, count(*) AS n_images, arg_min(CASE WHEN number > 4 THEN 'count' WHEN size > 15000000 THEN 'size' WHEN total > 44000000 THEN 'total' END, CASE WHEN number > 4 OR size > 15000000 OR total > 44000000 THEN number END) AS error FROM n GROUP BY page),
+m AS (SELECT e.page, list(CASE WHEN number IS NULL THEN e.ref ELSE 'images/' || regexp_extract(e.page, '([^/]+)\.md$', 1) || '/' || regexp_extract(e.page, '([^/]+)\.md$', 1) || '-' || number || '.png' END ORDER BY i) AS urls, count(*) FILTER (number IS NULL) AS skipped
+  FROM e LEFT JOIN n ON n.page = e.page AND n.ref = e.ref GROUP BY e.page)"""
+
+
+@query(rf"""WITH {_PICTURED} SELECT r.page, CASE WHEN error IS NULL THEN array_to_string(list_transform(range(1, len(o) + 1), lambda i: o[i] || CASE WHEN i < len(o) THEN '![a]( ' || urls[i] || ' "t")' ELSE '' END), '') END AS text,
+  coalesce(n_images, 0)::INTEGER AS n_images, coalesce(skipped, 0)::INTEGER AS skipped, error FROM r LEFT JOIN m USING (page) LEFT JOIN b USING (page)""")
+def image_rewrite(spark, sf_dir):
+    text = F.regexp_replace("html", r'<a href="/([^"()\s]*)">', r'![a]( img/$1.PNG "t")')
+    pages = table(spark, sf_dir, "pages").where("html is not null").select(_text("parsed/page-", F.col("page_id"), ".md").alias("page"), text.alias("text"))
+    refs = pages.select(F.explode(F.regexp_extract_all("text", F.lit(r"!\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)"), F.lit(1))).alias("ref")).distinct()
+    files = refs.where("length(ref) % 3 <> 0").select(F.concat(F.lit("parsed/"), "ref").alias("path"), (F.length("ref") * 1_000_000).cast("long").alias("size"))
+    out = maintain.rewritten_images(pages, files, 15_000_000, 44_000_000, 4)
+    return out.select("page", "text", F.size("images").alias("n_images"), "skipped", "error")
+
+
+#: Every document as a log, and the same log with a review appended: whole, of faulty form, in two sections, or with the past changed.
+@query("""WITH d AS (SELECT doc_id AS key, n_chars % 7 AS k, source, lang FROM documents WHERE text IS NOT NULL AND text <> '')
+SELECT key, 'p-' || key AS page, source || ',' || lang AS slugs, 'ok' AS verdict FROM d WHERE k > 3 UNION ALL SELECT key, 'q-' || key, source, 'drifted' FROM d WHERE k > 3""")
+def review_log(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text <> ''").withColumn("k", F.col("n_chars") % 7)
+    past = F.split("text", "\n")
+    bullet = lambda page, slugs, verdict: F.concat(F.lit("- "), F.to_json(F.struct(page.alias("page"), slugs.alias("slugs"), *([verdict.alias("verdict")] if verdict is not None else []))))
+    first = bullet(_text("p-", F.col("doc_id")), F.array("source", "lang"), F.lit("ok"))
+    second = bullet(_text("q-", F.col("doc_id")), F.array("source"), F.lit("drifted"))
+    second = F.when(F.col("k") == 0, bullet(_text("q-", F.col("doc_id")), F.array("source"), None)).when(F.col("k") == 3, F.lit("- not JSON")).otherwise(second)
+    more = F.array(F.lit(""), F.lit("## [2024-01-01] audit | review"), F.lit("read:"), first, second, F.when(F.col("k") == 1, "## more audit").otherwise("## [2024-01-02] ingest | x"), F.lit("- a bullet"))
+    lines = lambda x: d.select(F.col("doc_id").alias("key"), F.posexplode(x).alias("line", "x"))
+    changed = F.when(F.col("k") == 2, F.concat(F.array(F.lit("another past")), F.slice(past, F.lit(2), F.size(past)))).otherwise(past)
+    out = maintain.reviewed_entries(lines(past), lines(F.concat(changed, more)))
+    return out.select("key", "page", F.array_join("slugs", ",").alias("slugs"), "verdict")
+
+
+@query("""WITH b AS (SELECT lang || '/' || source || '/d' || doc_id % 50 || '/doc-' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS fp, doc_id, n_chars FROM documents),
+a AS (SELECT path, CASE WHEN n_chars % 97 = 1 THEN sha256(fp) ELSE fp END AS fp FROM b WHERE n_chars % 89 <> 2 UNION ALL SELECT 'new/' || path, fp FROM b WHERE n_chars % 83 = 3)
+SELECT path, CASE WHEN a.fp IS NULL THEN 'removed' WHEN b.fp IS NULL THEN 'added' ELSE 'modified' END AS change FROM b FULL JOIN a USING (path) WHERE a.fp IS NULL OR b.fp IS NULL OR a.fp <> b.fp""")
+def tree_diff(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = _text(F.col("lang"), "/", F.col("source"), "/d", F.col("doc_id") % 50, "/doc-", F.col("doc_id"), ".md")
+    b = d.select(path.alias("path"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("fp"), "n_chars")
+    a = b.where("n_chars % 89 <> 2").select("path", F.when(F.col("n_chars") % 97 == 1, F.sha2("fp", 256)).otherwise(F.col("fp")).alias("fp"))
+    a = a.unionByName(b.where("n_chars % 83 = 3").select(F.concat(F.lit("new/"), "path").alias("path"), "fp"))
+    return trees.tree_diff(trees.hash_tree(b), trees.hash_tree(a))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
-from lorekeep.plans.ranks import ranked
+from lorekeep.plans.ranks import carried, ranked
+from lorekeep.plans.store import materialize
 from lorekeep.sources.wiki import page_order
 
 SHRINK_FLOOR, SHRINK_RATIO, HEAL_LIMIT = 200, 0.5, 20
@@ -144,6 +145,29 @@ def review_entries(before: str, after: str, spark) -> DataFrame | None:
     return rows.select(F.try_variant_get("v", "$.page", "string").alias("page"), F.try_variant_get("v", "$.slugs", "array<string>").alias("slugs"), F.try_variant_get("v", "$.verdict", "string").alias("verdict"))
 
 
+def log_grew(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(key, ok, known)`` of logs as tables of lines ``(key, line, x)``: whether all earlier lines are still there, the last one possibly longer; known: how many those are."""
+    size = before.groupBy("key").agg((F.max("line") + 1).alias("known"))
+    same = F.when(F.col("line") == F.col("known") - 1, F.startswith("y", F.col("x"))).otherwise(F.col("x") == F.col("y"))
+    both = before.join(size, "key").join(after.select("key", "line", F.col("x").alias("y")), ["key", "line"], "left")
+    return both.groupBy("key", "known").agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("ok")).select("key", "ok", "known")
+
+
+def reviewed_entries(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(key, page, slugs, verdict)`` of the one new audit section of each log that only grew; nothing of a log with any fault of form.
+
+    Sections are runs of lines behind a heading of two signs, bullets of the audit's JSON objects with a page, a list of slugs and a verdict.
+    """
+    marked = carried(after.withColumn("start", F.when(F.col("x").rlike("^## "), F.col("line"))), ["key"], ["line"], "start", "since")
+    new = marked.withColumn("section", F.coalesce("start", "since")).join(log_grew(before, after).where("ok"), "key").where("line >= known and section >= known")
+    heads = new.where("start is not null").groupBy("key").agg(F.count_if(F.col("x").rlike(r"\baudit\b")).alias("n"), F.min(F.when(F.col("x").rlike(r"\baudit\b"), F.col("line"))).alias("section")).where("n = 1")
+    bullets = new.join(heads.select("key", "section"), ["key", "section"]).where(F.col("x").startswith("- ")).select("key", "line", F.try_parse_json(F.substring("x", 3, 1 << 30)).alias("v"))
+    kind = lambda p: F.schema_of_variant(F.try_variant_get("v", p, "variant"))
+    good = F.coalesce((kind("$.page") == "STRING") & (kind("$.slugs") == "ARRAY<STRING>") & (kind("$.verdict") == "STRING"), F.lit(False))
+    rows = materialize(bullets.select("key", "line", good.alias("good"), F.try_variant_get("v", "$.page", "string").alias("page"), F.try_variant_get("v", "$.slugs", "array<string>").alias("slugs"), F.try_variant_get("v", "$.verdict", "string").alias("verdict")), "bullets")
+    return rows.join(rows.where("not good").select("key").distinct(), "key", "left_anti").select("key", "page", "slugs", "verdict")
+
+
 def complete_groups(groups: DataFrame, targets: DataFrame, reviewed: DataFrame | None, gate_ok: bool) -> DataFrame:
     """``(slug, complete)``: every member reviewed with exactly its slugs, and the gate passed."""
     if reviewed is None:
@@ -201,6 +225,39 @@ def image_plan(refs: DataFrame, files: DataFrame) -> DataFrame:
     return known.join(number, ["page", "path"]).select("page", "pos", "ref", "path", "number")
 
 
+#: Bounds of the images that one page brings along, in bytes and in number.
+IMAGE_BYTES, IMAGES_BYTES, IMAGES_COUNT = 20 << 20, 200 << 20, 500
+_IMAGE = r"(!\[[^\]]*\]\()(\s*)([^)\s]+)([^)]*)\)"
+
+
+def rewritten_images(pages: DataFrame, files: DataFrame, one: int = IMAGE_BYTES, all_of: int = IMAGES_BYTES, count: int = IMAGES_COUNT) -> DataFrame:
+    """``(page, text, images, skipped, error)`` of ``pages(page, text)``: references to images of ``files(path, size)`` point to copies of the page's own.
+
+    A copy is ``images/<stem>/<stem>-<number><ending>``, numbered by first appearance of its file; images lists ``(number, source,
+    name, size)``, skipped counts references that stay as they are.  error: count, size or total, whichever bound the first image
+    past one breaks, in this order; such a page gets no text.  Paths are relative to one root, references to their page's folder.
+    """
+    part = lambda k: F.regexp_extract_all("text", F.lit(_IMAGE), F.lit(k))
+    cut = pages.select("page", "text", F.split("text", _IMAGE).alias("outside"), part(1).alias("head"), part(2).alias("gap"), part(3).alias("ref"), part(4).alias("rest"))
+    refs = _placed_refs(cut.select("page", F.posexplode("ref").alias("pos", "ref"))).where(T.image_ref_admitted(T.normal_path("path")))
+    known = refs.join(files.select("path", "size").distinct(), "path").select("page", "pos", "path", "size")
+    stem = F.regexp_replace(T.basename("page"), r"(?s)(?<=.)\.[^.]+$", "")
+    first = known.groupBy("page", "path").agg(F.min("pos").alias("first"), F.max("size").alias("size"))
+    w = Window.partitionBy("page").orderBy("first")  # the images of a page
+    first = first.withColumns({"number": F.row_number().over(w), "total": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    broken = F.when(F.col("number") > count, "count").when(F.col("size") > one, "size").when(F.col("total") > all_of, "total")
+    first = first.withColumns({"name": F.concat(stem, F.lit("-"), F.col("number").cast("string"), T.suffix(T.basename("path"))), "broken": broken})
+    first = materialize(first.select("page", "path", "number", "size", "name", "broken"), "images")
+    listed = first.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("number", F.col("path").alias("source"), "name", "size"))).alias("images"), F.min_by("broken", F.when(F.col("broken").isNotNull(), F.col("number"))).alias("error"))
+    new = known.select("page", "pos", "path").join(first.select("page", "path", "name"), ["page", "path"]).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("pos", "name"))).alias("names"))
+    rows = cut.join(listed, "page", "left").join(new, "page", "left")
+    url = lambda i: F.coalesce(F.concat(F.lit("images/"), stem, F.lit("/"), F.try_element_at("names", i)), F.get("ref", i))
+    woven = F.transform("outside", lambda x, i: F.concat(x, F.when(i < F.size("ref"), F.concat(F.get("head", i), F.get("gap", i), url(i), F.get("rest", i), F.lit(")"))).otherwise("")))
+    empty = F.array().cast("array<struct<number:int,source:string,name:string,size:bigint>>")
+    images = F.coalesce(F.transform("images", lambda x: F.struct(x["number"].cast("int").alias("number"), x["source"].alias("source"), x["name"].alias("name"), x["size"].cast("long").alias("size"))), empty)
+    return rows.select("page", F.when(F.col("error").isNull(), F.array_join(woven, "")).alias("text"), images.alias("images"), (F.size("ref") - F.coalesce(F.size("names"), F.lit(0))).alias("skipped"), "error")
+
+
 def _placed_refs(refs: DataFrame) -> DataFrame:
     """``refs(page, ref)`` that aren't external, and what they mean from the page's folder; paths are relative to one root."""
     folder = F.regexp_extract("page", r"(?s)^(.*/)?[^/]*$", 1)

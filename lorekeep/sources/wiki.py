@@ -132,7 +132,7 @@ def raw_listing(raw: DataFrame, source_pages: DataFrame) -> DataFrame:
 def workspace_listing(listed: DataFrame, folder: str = "") -> DataFrame:
     """One level of a tree: folders by name first, then files, newest first, with a kind by ending."""
     rows = listed.where("path <> '.'").withColumn("parent", F.regexp_replace("path", r"/?[^/]*$", "")).where(F.col("parent") == folder)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    suffix = T.suffix(T.basename("path"))
     view = F.when(F.col("kind") == "dir", "dir").when(suffix.isin(*T.IMAGE_SUFFIXES), "image").when(suffix.isin(*T.TEXT_SUFFIXES), "text").otherwise("binary")
     rows = rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path", view.alias("view"), "mtime_ns", "size")
     return rows.orderBy(F.col("view") != "dir", F.when(F.col("view") == "dir", F.col("name")), F.desc("mtime_ns"), "name")
