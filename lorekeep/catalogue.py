@@ -398,10 +398,16 @@ def type_folder_mismatch(spark, sf_dir):
 MISSING = "me AS (SELECT target, count(DISTINCT source) AS ref_count, list_sort(list_distinct(list(path))) AS ref_pages FROM edges JOIN nodes ON id = source WHERE NOT resolved GROUP BY target HAVING count(DISTINCT source) >= 2)"
 
 
-@query(star("SELECT target, ref_count, array_to_string(ref_pages, ',') AS refs FROM me", MISSING).replace("WITH RECURSIVE", "WITH"))
+@query(star("SELECT target, ref_count FROM me", MISSING).replace("WITH RECURSIVE", "WITH"))
 def missing_entities(spark, sf_dir):
     nodes, edges = _edges(spark, sf_dir)
-    return checks.missing_entities(edges, nodes).select("target", "ref_count", F.array_join("ref_pages", ",").alias("refs"))
+    return checks.missing_entities(edges, nodes)
+
+
+@query(star("SELECT DISTINCT target, path AS page FROM edges JOIN nodes ON id = source WHERE NOT resolved"))
+def missing_references(spark, sf_dir):
+    nodes, edges = _edges(spark, sf_dir)
+    return checks.missing_references(edges, nodes)
 
 
 @query(star("SELECT target, rank, rank > 20 AS postponed FROM (SELECT target, row_number() OVER (ORDER BY ref_count DESC, target)::INT AS rank FROM me)", MISSING).replace("WITH RECURSIVE", "WITH"))
@@ -552,12 +558,11 @@ def raw_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.raw_slug("url").alias("slug"))
 
 
-@query(r"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '^.*/', ''), '[^a-zA-Z0-9_.\-]+', '-', 'g'), '-+', '-', 'g'), '-.') AS slug FROM pages)
-SELECT DISTINCT a.slug, a.page_id::VARCHAR AS path, b.page_id::VARCHAR AS other FROM x a JOIN x b ON a.slug = b.slug AND a.page_id <> b.page_id""")
+@query(r"""WITH x AS (SELECT page_id, regexp_replace(split_part(url, '?', 1), '^.*/', '') AS name, trim(regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '^.*/', ''), '[^a-zA-Z0-9_.\-]+', '-', 'g'), '-+', '-', 'g'), '-.') AS slug FROM pages)
+SELECT slug, page_id || '/' || name AS path, min(page_id || '/' || name) OVER w AS first, count(*) OVER w AS files FROM x WINDOW w AS (PARTITION BY slug) QUALIFY count(*) OVER w > 1""")
 def slug_collision(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit("/"), F.regexp_extract(F.split_part("url", F.lit("?"), F.lit(1)), r"([^/]*)$", 1)).alias("path"))
-    out = resolve.slug_collisions(rows)
-    return out.select("slug", F.split_part("path", F.lit("/"), F.lit(1)).alias("path"), F.split_part("other", F.lit("/"), F.lit(1)).alias("other")).distinct()
+    return resolve.slug_collisions(rows)
 
 
 @query(r"SELECT doc_id, length(trim(text)) > 0 AND strlen(text) <= 5242880 AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS admitted FROM documents")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.plans.store import materialize
 from lorekeep.sources.wiki import page_order, stem_index
 
 
@@ -80,9 +81,13 @@ def source_page_of(slugs: DataFrame, source_pages: DataFrame, slug: str = "slug"
 
 
 def slug_collisions(raw: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """``(slug, path, other)``: raw files that share a slug; pairs whose page already belongs to ``path`` (owners: slug, path) are left out."""
-    rows = raw.select("path", T.raw_slug(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")).alias("slug"))
-    same = rows.join(rows.withColumnRenamed("path", "other"), "slug").where("path <> other").select("slug", "path", "other")
+    """``(slug, path, first, files)``: raw files whose slug another one has, a row each: the least path of that slug, and how many have it.
+
+    owners: ``(slug, path)`` of pages that belong to a file already; such files are left out, though they count.
+    """
+    rows = raw.select("path", T.raw_slug(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")).alias("slug")).distinct()
+    shared = rows.groupBy("slug").agg(F.min("path").alias("first"), F.count("*").alias("files")).where("files > 1")
+    same = rows.join(materialize(shared, "slugs"), "slug").select("slug", "path", "first", "files")
     return same if owners is None else same.join(owners, ["slug", "path"], "left_anti")
 
 

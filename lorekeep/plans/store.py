@@ -1,12 +1,15 @@
 """Scratch tables in the folder that driver and executors share.
 
 Iterative plans cut their lineage by writing a table and reading it back.  The folder is the one the
-cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder of this
-machine is made and set.  A lost executor costs nothing: the tables are whole files in shared storage.
+cluster names in ``spark.checkpoint.dir``; only where that is unset and all of Spark runs in this process (tests,
+a laptop) a folder of this machine is made and set, which goes when the process ends.  A lost executor costs nothing: the tables are whole files in shared storage.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: a local one would hold a part of the rows on each machine")
+        folder = tempfile.mkdtemp(prefix="lorekeep-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
