@@ -277,27 +277,67 @@ def coded_vectors(nodes: DataFrame) -> DataFrame:
     return materialize(nodes.select("cid", "v").mapInArrow(lambda b: _encode(b, largest), "cid bigint, q binary"), "coded")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None, **tuning) -> DataFrame:
+#: Queries of a block of the exact search, and vectors of a tile.
+EXACT_QUERIES, EXACT_TILE = 2048, 4096
+
+
+def search_all(nodes: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """``(cid, node, score)``: the ``top`` nodes of largest inner product of all ``nodes`` (cid, v) for each query node (cid).
+
+    Queries are answered in blocks, whose vectors are broadcast; a task multiplies tiles and keeps each query's best so far.
+    """
+    spark = nodes.sparkSession
+    wanted = materialize(nodes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "v"), "asked")
+    out, last = None, -1
+    while block := wanted.where(F.col("cid") > last).orderBy("cid").limit(EXACT_QUERIES).collect():
+        last = block[-1].cid
+        shared = spark.sparkContext.broadcast((np.array([r.cid for r in block]), np.array([r.v for r in block])))
+
+        def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best_score, best_node = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                for start in range(0, batch.num_rows, EXACT_TILE):
+                    part = batch.slice(start, EXACT_TILE)
+                    node = part.column(0).to_numpy()
+                    score = q @ np.array(part.column(1).to_pylist()).T
+                    score, node = np.hstack([best_score, score]), np.hstack([best_node, np.broadcast_to(node, (len(ids), len(node)))])
+                    order = np.lexsort((node, -score))[:, :top]
+                    best_score, best_node = np.take_along_axis(score, order, 1), np.take_along_axis(node, order, 1)
+            n = best_node.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_node.ravel()), pa.array(best_score.ravel())], names=["cid", "node", "score"])
+
+        found = nodes.select("cid", "v").mapInArrow(multiply, "cid bigint, node bigint, score double")
+        place = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("score"), "node"))
+        found = materialize(found.withColumn("n", place).where(F.col("n") <= top).drop("n"), "exact")
+        out = found if out is None else out.unionByName(found)
+    return nodes.select("cid", F.col("cid").alias("node"), F.lit(0.0).alias("score")).limit(0) if out is None else out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None, exact: bool = False, **tuning) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``top`` rows with the largest inner product found for each query.
 
     ``queries``: ids (one column) of rows of ``vectors``; None: all.  A row isn't its own neighbour, rows equal to it are.
     Ties go to the smaller id.  Null ids, and vectors that are null, zero, of another length, or hold a null, NaN or
     infinity take no part.  Fewer candidates than ``top``: all of them.  Other columns are ignored.
+    exact: compare every query with every vector instead, in tiles; the graph's bounds on neighbours, introductions and beams don't apply then.
     tuning: rounds, leaf, descents, width, k (of the graph), beam, expand, hops (of the search).
     """
     rows = materialize(valid_vectors(vectors, id_col, vector, dim), "vectors")
     nodes = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "nodes")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    coded = coded_vectors(nodes)
+    few = max(RERANK, 2 * top) + 1 + ENTRIES
+    coded = nodes.limit(0).select("cid", F.lit(None).cast("binary").alias("q")) if exact else coded_vectors(nodes)
     entries = [r["cid"] for r in nodes.orderBy(F.desc(square), "cid").limit(ENTRIES).select("cid").collect()]  # the longest vectors
     graph_options = {k: v for k, v in tuning.items() if k in ("k", "rounds", "leaf", "descents", "width", "seed")}
     search_options = {k: v for k, v in tuning.items() if k in ("beam", "expand", "hops")}
     graph = build_graph(coded, **graph_options) if not coded.isEmpty() else coded.select("cid", F.col("cid").alias("other"), F.lit(0).cast("double").alias("score")).limit(0)
     asked = rows if queries is None else rows.join(queries.select(F.col(queries.columns[0]).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     placed = asked.join(nodes.select("v", "cid"), "v").select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("qv"))
-    met = search_graph(coded, graph, placed.select("cid").distinct(), entries, **search_options)
+    cids = placed.select("cid").distinct()
+    met = search_all(nodes, cids, few) if exact else search_graph(coded, graph, cids, entries, **search_options)
     order = Window.partitionBy("cid").orderBy(F.desc("score"), "node")
-    best = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(RERANK, 2 * top) + 1 + ENTRIES).select("cid", "node")
+    best = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= few).select("cid", "node")
     # of equal vectors the least ids suffice: as many as are asked for, and one more for the query's own
     single = nodes.where("copies = 1").select(F.col("cid").alias("node"), F.col("least").alias("vec_id"), "v")
     several = rows.join(nodes.where("copies > 1").select("v", "cid"), "v").select(F.col("cid").alias("node"), "vec_id", "v")

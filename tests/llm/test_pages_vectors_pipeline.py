@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -218,3 +219,30 @@ def test_near_duplicate_stage_keeps_texts_of_shared_ids(spark):
     c = _prose(rng, 80)
     only = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame([(None, c), (None, c), (None, ""), (None, "")], "doc_id long, text string"), "")
     assert sorted(r.text for r in only.collect()) == ["", "", c]
+
+
+def test_exact_search_and_recall_over_several_leaves(spark, monkeypatch):
+    """The exact mode equals brute force, repeated ids and vectors included; the graph at shipped parameters finds nine in ten of it or more."""
+    monkeypatch.setattr(ann, "EXACT_QUERIES", 40)  # several blocks, and tiles of few vectors
+    monkeypatch.setattr(ann, "EXACT_TILE", 300)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(2600, 12)) * rng.lognormal(0, 0.5, size=(2600, 1)), 6)
+    x[100:130] = x[99]  # more copies than are asked for
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (7, x[8].tolist()), (None, x[1].tolist()), (9000, None), (9001, [0.0] * 12)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i,) for i in range(0, 2600, 20)], "vec_id long")
+    exact = defaultdict(list)
+    for r in ann.nearest(vectors, asked, exact=True).collect():
+        exact[r.query_id].append((r["rank"], r.vec_id))
+    ids = np.array([i for i, v in rows if i is not None and v and any(v)])
+    mat = np.array([v for i, v in rows if i is not None and v and any(v)])
+    for q in range(0, 2600, 20):
+        score = np.array([sum(a * b for a, b in zip(x[q].tolist(), v, strict=True)) for v in mat.tolist()])
+        order = [k for k in np.lexsort((ids, -score)) if ids[k] != q][:20]
+        assert [v for _, v in sorted(exact[q])] == ids[order].tolist()
+    found = defaultdict(set)
+    for r in ann.nearest(vectors, asked).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = [len(found[q] & {v for _, v in exact[q]}) / 20 for q in exact]
+    assert len(rows) > 2 * ann.LEAF and np.mean(hits) >= 0.9
+    assert ann.nearest(vectors.limit(0), exact=True).count() == 0
