@@ -432,7 +432,21 @@ def nearest_page(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query(star("""SELECT target, page, round(similarity, 9) AS similarity FROM (
+  SELECT target, page, similarity, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, page) AS n FROM (
+    SELECT target, page, max(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) AS similarity FROM tt, ff WHERE list_has_any(a, b) GROUP BY target, page)
+  WHERE similarity >= 0.5) WHERE n = 1""", """
+  tt AS (SELECT target, list_distinct(regexp_extract_all(lower(target), '[a-z0-9]+')) AS a FROM (
+    SELECT 'old ' || s_name || ' inc' AS target FROM supplier UNION SELECT c_name || ' ltd' FROM customer UNION SELECT 'the ' || p_name || ' new' FROM part UNION SELECT n_name || ' of ' || n_name || ' and more' FROM nation)),
+  ff AS (SELECT path AS page, list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')) AS b FROM (SELECT path, unnest([stem, title]) AS x FROM p WHERE NOT is_config))""").replace("WITH RECURSIVE", "WITH"))
+def nearest_title(spark, sf_dir):
+    pages = adapters.star_kb(spark, sf_dir)
+    name = lambda t, *parts: table(spark, sf_dir, t).select(F.concat(*[F.col(x) if x.endswith("_name") else F.lit(x) for x in parts]).alias("target"))
+    asked = name("supplier", "old ", "s_name", " inc").unionByName(name("customer", "c_name", " ltd")).unionByName(name("part", "the ", "p_name", " new")).unionByName(name("nation", "n_name", " of ", "n_name", " and more"))
+    return search.nearest_pages(asked.distinct(), search.documents_of(pages)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()  # its parts have queries with SQL, its order a test
 def lint_report(spark, sf_dir):
     pages = adapters.star_kb(spark, sf_dir)
     return checks.lint(pages, search.documents_of(pages), T.fold_ascii)

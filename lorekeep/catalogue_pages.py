@@ -83,10 +83,10 @@ def origin_stamp(spark, sf_dir):
     return d.select("doc_id", FM.with_origin(page, _text("from-", F.col("source"))).alias("text"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN '---' || chr(10) || 'title: "say \\"' || source || '\\" now"' || chr(10) || 'type: entity' || chr(10) || '---' || chr(10) || text END AS mended FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN '---' || chr(10) || 'title: ''say "' || source || '" it''''s''' || chr(10) || 'type: entity' || chr(10) || '---' || chr(10) || text END AS mended FROM documents WHERE text IS NOT NULL""")
 def frontmatter_repair(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    title = F.when(F.col("n_chars") % 2 == 0, _text('"say "', F.col("source"), '" now"')).otherwise(F.col("source"))
+    title = F.when(F.col("n_chars") % 2 == 0, _text('"say "', F.col("source"), '" it\'s"')).otherwise(F.col("source"))
     return d.select("doc_id", FM.repaired_page(_text("---\ntitle: ", title, "\ntype: entity\n---\n", F.col("text"))).alias("mended"))
 
 
@@ -161,7 +161,7 @@ ADDRESSES = r"""h AS (SELECT page_id, url, list_distinct(regexp_extract_all(html
 ad AS (SELECT page_id, url AS address FROM h UNION ALL SELECT page_id, unnest(list_concat(l, list_transform(l, lambda x: 'JaVa&#115;cript:' || x), list_transform(l, lambda x: 'mailto:' || x), list_transform(l, lambda x: 'da' || chr(9) || 'ta:' || x))) FROM h)"""
 
 
-@query(rf"""WITH {ADDRESSES}, p AS (SELECT *, regexp_replace(replace(replace(address, '&#115;', 's'), '&amp;', '&'), '[\x00-\x20\x7F]', '', 'g') AS plain FROM ad)
+@query(rf"""WITH {ADDRESSES}, p AS (SELECT *, regexp_replace(replace(replace(address, '&#115;', 's'), '&amp;', '&'), '[\x00-\x20]', '', 'g') AS plain FROM ad)
 SELECT page_id, address, NOT regexp_matches(plain, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') OR regexp_matches(lower(plain), '^(https?|mailto):') AS safe FROM p""")
 def url_safety(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("l"))

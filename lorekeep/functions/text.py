@@ -273,7 +273,7 @@ def url_is_safe(s: pd.Series) -> pd.Series:
     def ok(x):
         if x is None:
             return None
-        plain = re.sub(r"[\x00-\x20\x7f]", "", html.unescape(x))
+        plain = re.sub(r"[\x00-\x20]", "", html.unescape(x))
         scheme = re.match(r"([a-zA-Z][a-zA-Z0-9+.\-]*):", plain)
         return not scheme or scheme[1].lower() in ("http", "https", "mailto")
 

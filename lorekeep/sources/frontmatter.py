@@ -128,18 +128,22 @@ def scan_page(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([scan_block(x) for x in s], columns=["title", "type", "aliases"])
 
 
+def _parses(value: str) -> bool:
+    try:
+        yaml.safe_load(value)
+    except yaml.YAMLError:
+        return False
+    return True
+
+
 def requote(block: str) -> str:
-    """Top-level ``key: "value"`` lines whose quotes do not parse are quoted anew; all others stay."""
+    """Top-level ``key: "value"`` lines whose quoted value does not parse get single quotes around what stands inside; all others stay."""
     lines = block.splitlines(keepends=True)
     for k, line in enumerate(lines):
-        m = re.match(r"([A-Za-z_][\w-]*):[ \t]+(['\"])(.*)\2[ \t]*(\r?\n|\r)?$", line)
-        if not m:
-            continue
-        try:
-            yaml.safe_load(line)
-        except yaml.YAMLError:
-            value = m[3].replace("\\" + m[2], m[2]).replace("\\", "\\\\").replace('"', '\\"')
-            lines[k] = f'{m[1]}: "{value}"{m[4] or ""}'
+        m = re.match(r"([^\s#:-][^:]*:[ \t]+)((['\"]).*\3)[ \t]*(\r?\n|\r)?$", line)
+        if m and len(m[2]) > 1 and not _parses(m[2]):
+            inner = m[2][1:-1].replace("'", "''")
+            lines[k] = f"{m[1]}'{inner}'{m[4] or ''}"
     return "".join(lines)
 
 
@@ -159,16 +163,25 @@ def repaired_page(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(X.StringType())
 def with_origin(text: pd.Series, origin: pd.Series) -> pd.Series:
-    """The page with ``origin`` in its frontmatter, unless there is one; a block is made where none is."""
+    """The page with ``origin`` in its frontmatter, unless there is one; a block is made where none is, others are written anew.
+
+    Null for a page whose block is no mapping: it is neither mended nor taken for text.
+    """
 
     def put(t, o):
         if t is None or o is None:
             return t
         block, body = split_block(t)
-        line = yaml.safe_dump({"origin": o}, allow_unicode=True, width=10**9)
-        if block is None:
-            return f"---\n{line}---\n{t}"
-        return t if re.search(r"(?m)^origin:", block) else f"---\n{block}{line}---\n{body}"
+        try:
+            meta = yaml.safe_load(block) if block is not None else None
+        except yaml.YAMLError:
+            return None
+        meta = {} if meta is None else meta
+        if not isinstance(meta, dict):
+            return None
+        if "origin" in meta:
+            return t
+        return f"---\n{yaml.safe_dump({**meta, 'origin': o}, allow_unicode=True, sort_keys=False)}---\n{t if block is None else body}"
 
     return pd.Series([put(t, o) for t, o in zip(text, origin, strict=True)])
 

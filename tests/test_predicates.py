@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import maintain, sessions
+from lorekeep.sources import frontmatter as FM
 from lorekeep.streaming import messages
 
 
@@ -73,6 +74,16 @@ def test_comments_keep_their_length(spark):
     assert mapped(spark, T.strip_comments, [text, "plain", None]) == [blank, "plain", None]
 
 
+def test_frontmatter_is_requoted_and_stamped(spark):
+    pages = [
+        '---\ntitle: "say "it\'s" now"\ntype: "fine"\n---\nb', '---\r\ntitle: "a\\b "c""  \r\n---\r\nb', '---\ntitle: "open\n---\nb', '---\ntitle: "a" # x"y\n---\nb', "---\ntitle: [x\n---\nb", "---\ntitle: fine\n---\nb", "none", None]
+    assert mapped(spark, FM.repaired_page, pages) == ["---\ntitle: 'say \"it''s\" now'\ntype: \"fine\"\n---\nb", "---\r\ntitle: 'a\\b \"c\"'\r\n---\r\nb", None, None, None, None, None, None]
+    given = ["text", "---\ntitle: t\n---\nb", "---\norigin: o\ntitle: t\n---\nb", "---\n- list\n---\nb", "---\na: [\n---\nb", "---\n---\nb", "---\nopen", None]
+    stamped = mapped(spark, lambda c: FM.with_origin(c, F.lit("https://x: y #z")), given)
+    line = "origin: 'https://x: y #z'\n"
+    assert stamped == [f"---\n{line}---\ntext", f"---\ntitle: t\n{line}---\nb", given[2], None, None, f"---\n{line}---\nb", f"---\n{line}---\n---\nopen", None]
+
+
 def test_commands(spark):
     given = ["/search x y", "@bot @me /NEW", "/unknown thing", "/help\nmore", "/page  a ", "  hi ", "/", "@bot"]
     got = [(r.kind, r.argument) for r in mapped(spark, T.command, given)]
