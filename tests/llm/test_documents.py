@@ -248,6 +248,40 @@ def test_packing(messy, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_tournament_is_first_fit():
+    """The tree finds what a search through all bins from the first finds."""
+    rng = random.Random(7)
+    for sizes in ([rng.randrange(1, 1025) for _ in range(n)] for n in (1, 2, 3, 7, 64, 300)):
+        sizes.sort(reverse=True)
+        tree, free = packing.Tournament(len(sizes), 1024), [1024] * len(sizes)
+        for size in sizes:
+            want = next(k for k, room in enumerate(free) if room >= size)
+            free[want] -= size
+            assert tree.place(size) == want
+        lengths = [rng.randrange(1, 5000) for _ in sizes]
+        pieces = packing.pack_group(lengths)
+        held = defaultdict(list)
+        for sequence in pieces:
+            total = sum(n for _, _, n in sequence)
+            assert total <= 1024 and total & (total - 1) == 0
+            for k, start, n in sequence:
+                held[k].append((start, n))
+        assert sum(sum(n for _, _, n in x) < 1024 for x in pieces) <= 10  # one bin a group is cut at powers of two
+        for k, n in enumerate(lengths):
+            spans = sorted(held[k])
+            assert [a for a, _ in spans] == [sum(m for _, m in spans[:i]) for i in range(len(spans))] and sum(m for _, m in spans) == n
+
+
+def test_packing_ids_are_the_librarys():
+    """Random texts of odd pieces: special strings, ligatures, marks, digits, white space of all kinds, other scripts."""
+    lib, encode = library(), packing.encoder("byte_bpe_50k.tiktoken")
+    rng = random.Random(12)
+    atoms = ["<|endoftext|>", "<|end", "'ll", "'S", "don't", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2003", "\u200d", "é", "e\u0301", "ﬁ", "日本", "ß", "😀", "👩\u200d👩", "12", "٣", "½", "_", "--", "…", "x" * 40, "The", "ing", "\x00", "{", "//"]
+    for _ in range(400):
+        text = "".join(rng.choice(atoms) for _ in range(rng.randrange(0, 40)))
+        assert encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_quality_judges_no_other_languages(spark):
     """Clean texts in languages without a reference stay, with or without a word about their language; junk goes unless it is said to be in one."""
     polish = "Wczoraj wieczorem w stolicy odbyło się spotkanie mieszkańców z władzami miasta, podczas którego omówiono budowę nowej linii tramwajowej oraz remont mostu. " \
