@@ -1,8 +1,10 @@
 """A knowledge base as DataFrames: pages, raw files and their fingerprints.
 
 Spark's file sources do not list empty files, names that begin with ``_`` or ``.``, folders or links, all of which count
-here.  So names are listed on the driver (one row of names per file, no contents), contents are read by ``binaryFile`` on
-the executors, and a left join brings them together.  Paths are relative with ``/``; page order compares path parts.
+in a local folder.  So its names are listed on the driver (one row of names per file, no contents), contents are read by
+``binaryFile`` on the executors, and a left join brings them together.  A root with a scheme (``hdfs://``, ``s3a://``,
+``file://``) is listed and read by ``binaryFile`` alone, in tasks where there are many folders, with that source's limits.  Paths are relative with ``/``;
+page order compares path parts.
 """
 
 from __future__ import annotations
@@ -21,7 +23,13 @@ LISTING = "path string, kind string, target string, mtime_ns bigint, size bigint
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, kind, target, mtime_ns, size)`` of all below ``root``: files, folders, links, special files; the root is ``.``."""
+    """``(path, kind, target, mtime_ns, size)`` of all below ``root``: files, folders, links, special files; the root is ``.``.
+
+    A root with a scheme gives its files alone.
+    """
+    if "://" in root:
+        found = _stored(spark, root)
+        return found.select("path", F.lit("file").alias("kind"), F.lit(None).cast("string").alias("target"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
     rows, seen = [], set()
 
     def walk(folder: str, at: str) -> None:
@@ -46,9 +54,21 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, LISTING)
 
 
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, modificationTime, length, content)`` of the files below a root with a scheme, paths relative to it; what isn't selected isn't read."""
+    base = root.rstrip("/") + "/"
+    scheme, rest = base.split("://", 1)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    full = F.regexp_replace("path", "^[a-zA-Z0-9+.-]+:/+", "/")
+    below = "/" + rest.lstrip("/")  # of file:///a/b the path, of others host and path
+    return read.withColumn("path", F.when(F.startswith(full, F.lit(below)), F.substring(full, len(below) + 1, 1 << 30)))
+
+
 def with_content(listed: DataFrame, root: str) -> DataFrame:
     """``listed`` files and the column content; empty for files of no bytes."""
     spark = listed.sparkSession
+    if "://" in root:
+        return listed.where("kind = 'file'").join(_stored(spark, root).select("path", "content"), "path", "left")
     files = listed.where("kind = 'file'")
     if not os.path.isdir(root) or files.isEmpty():
         return files.withColumn("content", F.lit(None).cast("binary"))

@@ -24,6 +24,18 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(tuple, told)) == sorted(map(tuple, sessions.session_states(batch).select("session", "ts", "state").collect()))
 
 
+def test_listing_by_address(spark, tmp_path):
+    """A root with a scheme is listed by Spark's source: the same files, contents and pages as the local folder."""
+    (tmp_path / "w" / "concepts").mkdir(parents=True)
+    for name, text in (("a.md", "alpha"), ("concepts/b c.md", "---\ntitle: B\n---\nbeta [[a]]"), ("x.txt", "no page")):
+        (tmp_path / "w" / name).write_text(text)
+    local, stored = (wiki.list_tree(spark, r).where("kind = 'file'") for r in (f"{tmp_path}/w", f"file://{tmp_path}/w/"))
+    assert sorted(r.path for r in stored.collect()) == ["a.md", "concepts/b c.md", "x.txt"]
+    assert {(r.path, r["size"], r.mtime_ns // 10**6) for r in local.collect()} == {(r.path, r["size"], r.mtime_ns // 10**6) for r in stored.collect()}
+    pages = lambda r: {(p.path, p.text) for p in wiki.parse_pages(wiki.page_files(spark, r)).collect()}
+    assert pages(f"file://{tmp_path}/w") == pages(f"{tmp_path}/w")
+
+
 def test_corpus_refresh(spark, tmp_path):
     root = tmp_path / "wiki"
     (root / "concepts").mkdir(parents=True)
