@@ -6,6 +6,8 @@ of the scope.  The rules work on a small table of names; in a stream that is map
 
 from __future__ import annotations
 
+import heapq
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,19 +15,57 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from lorekeep.plans.store import materialize
+
 #: How long an id counts as seen, how many are held, to how many they are cut, how long a silent session lives.
 SEEN_SECONDS, SEEN_MOST, SEEN_KEPT, IDLE_SECONDS, TOMBSTONES = 300, 4096, 3072, 1800, 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Names(dict):
-    """Name to (time, live) over rows in memory."""
+    """Name to (time, live) over rows in memory.  Heaps of living and silent names by time hold stale entries too, which are passed over."""
+
+    def __init__(self):
+        super().__init__()
+        self.heaps: tuple[list, list] = ([], [])  # silent, living
+        self.silent = 0
 
     def put(self, name: str, at: int, live: bool = True) -> None:
+        self.drop(name)
         self[name] = (at, live)
+        self.silent += not live
+        heapq.heappush(self.heaps[live], (at, name))
+        if len(self.heaps[live]) > 2 * len(self) + 64:  # stale ones outnumber the others
+            self.heaps[live][:] = sorted((seen, n) for n, (seen, alive) in self.items() if alive == live)
 
     def drop(self, name: str) -> None:
-        self.pop(name, None)
+        known = self.pop(name, None)
+        self.silent -= known is not None and not known[1]
+
+    def clear(self) -> None:
+        super().clear()
+        self.__init__()
+
+    def retire(self, before: int, but: str) -> None:
+        """Living names last seen before a time become silent ones, except one."""
+        living = self.heaps[True]
+        while living and living[0][0] < before:
+            seen, name = heapq.heappop(living)
+            if name != but and self.get(name) == (seen, True):
+                self.put(name, seen, False)
+
+    def forget(self, most: int, but: str) -> None:
+        """Of more than ``most`` silent names those silent longest go, except one."""
+        silent, kept = self.heaps[False], None
+        while self.silent > most and silent:
+            seen, name = heapq.heappop(silent)
+            if self.get(name) == (seen, False):
+                if name == but:
+                    kept = (seen, name)
+                else:
+                    self.drop(name)
+        if kept is not None:
+            heapq.heappush(silent, kept)
 
 
 class StateNames:
@@ -58,14 +98,27 @@ class StateNames:
         self.map.clear()
         self.count.clear()
 
+    def retire(self, before: int, but: str) -> None:
+        for name, (seen, live) in self.items():
+            if live and name != but and seen < before:
+                self.put(name, seen, False)
+
+    def forget(self, most: int, but: str) -> None:
+        silent = sorted((seen, name) for name, (seen, live) in self.items() if not live)
+        over = len(silent) - most
+        for _, name in silent:
+            if over > 0 and name != but:
+                self.drop(name)
+                over -= 1
+
 
-def fresh(names, name: str, at: int, span: int, most: int, kept: int) -> bool:
-    """Whether a message's id wasn't accepted within ``span`` before; accepted ids are held, beyond ``most`` the expired and then the oldest go."""
+def fresh(names, name: str, at: int, span: int, most: int | None, kept: int) -> bool:
+    """Whether a message's id wasn't accepted within ``span`` before; accepted ids are held, beyond ``most`` (None: any number) the expired and then the oldest go."""
     before = names.get(name)
     if before is not None and at - before[0] <= span:
         return False
     names.put(name, at)
-    if len(names) > most:
+    if most is not None and len(names) > most:
         for other, (seen, _) in list(names.items()):
             if at - seen > span:
                 names.drop(other)
@@ -86,15 +139,8 @@ def acquired(names, session: str, at: int, span: int, tombstones: int, present:
     if state != "existing":
         if state == "expired":
             names.put(session, at, False)
-        for other, (seen, live) in list(names.items()):
-            if live and other != session and at - seen > span:
-                names.put(other, seen, False)
-        silent = sorted((seen, other) for other, (seen, live) in names.items() if not live)
-        over = len(silent) - tombstones
-        for _, other in silent:
-            if over > 0 and other != session:
-                names.drop(other)
-                over -= 1
+        names.retire(at - span, session)
+        names.forget(tombstones, session)
     names.put(session, at)
     return state
 
@@ -167,34 +213,42 @@ def session_stream(events: DataFrame, seconds: int = IDLE_SECONDS, tombstones: i
     return out.select("scope", "session", "msg_id", F.timestamp_micros("at").alias("ts"), "state")
 
 
-def _by_scope(source: DataFrame, schema: str, told) -> DataFrame:
-    """Rows sorted by scope and time, each told with the state of its scope: one bounded table of names at a time."""
-    names = source.columns
+def _told(source: DataFrame, name: str, bound: int | None, schema: str, told) -> DataFrame:
+    """Rows sorted by time, each told with the state of its scope: one bounded table of names at a time.
+
+    A scope of no more names than ``bound`` never gives one up, so its names know nothing of each other: they are dealt and told one by one.
+    """
+    part = F.col(name)
+    if bound is not None:
+        full = materialize(source.groupBy("scope").agg(F.countDistinct(name).alias("n")).where(F.col("n") > bound).select(F.col("scope").alias("full")), "full")
+        if not full.isEmpty():
+            source = source.join(full.withColumn("whole", F.lit(True)), F.col("scope").eqNullSafe(F.col("full")), "left")
+            part = F.when(F.col("whole").isNull(), part)
+    source = source.withColumn("part", part).drop("full", "whole")
+    row = namedtuple("row", names := source.columns)
+    fields = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[k]) for n, k in (x.split() for x in schema.split(", "))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scope, state = None, None
+        key, state = None, None
         for batch in batches:
             out = []
-            for values in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
-                r = Row(**dict(zip(names, values, strict=True)))
-                if state is None or r.scope != scope:
-                    scope, state = r.scope, (Names(), set())
-                if (row := told(r, *state)) is not None:
-                    out.append(row)
-            yield pa.RecordBatch.from_pylist(out, fields)
-
-    sorted_rows = source.repartition("scope").sortWithinPartitions("scope", "at", "msg_id")
-    fields = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[k]) for n, k in (x.split() for x in schema.split(", "))])
-    return sorted_rows.mapInArrow(scan, schema)
+            for r in map(row._make, zip(*[batch.column(c).to_pylist() for c in names], strict=True)):
+                if state is None or (r.scope, r.part) != key:
+                    key, state = (r.scope, r.part), (Names(), set())
+                if (found := told(r, *state)) is not None:
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields.types, strict=True)], schema=fields)
+
+    return source.repartition("scope", "part").sortWithinPartitions("scope", "part", "at", "msg_id").mapInArrow(scan, schema)
 
 
-def dedup_batch(msgs: DataFrame, seconds: int = SEEN_SECONDS, most: int = SEEN_MOST, kept: int = SEEN_KEPT) -> DataFrame:
-    """:func:`dedup_stream` over a table."""
+def dedup_batch(msgs: DataFrame, seconds: int = SEEN_SECONDS, most: int | None = SEEN_MOST, kept: int = SEEN_KEPT) -> DataFrame:
+    """:func:`dedup_stream` over a table; ``most`` None: ids without a bound on their number."""
 
     def told(r, names, _):
-        return {"scope": r.scope, "msg_id": r.msg_id, "at": r.at} if fresh(names, r.msg_id, r.at, seconds * 1_000_000, most, kept) else None
+        return (r.scope, r.msg_id, r.at) if fresh(names, r.msg_id, r.at, seconds * 1_000_000, most, kept) else None
 
-    return _by_scope(_source(msgs), "scope string, msg_id string, at long", told).select("scope", "msg_id", F.timestamp_micros("at").alias("ts"))
+    return _told(_source(msgs), "msg_id", most, "scope string, msg_id string, at long", told).select("scope", "msg_id", F.timestamp_micros("at").alias("ts"))
 
 
 def session_batch(events: DataFrame, seconds: int = IDLE_SECONDS, tombstones: int = TOMBSTONES) -> DataFrame:
@@ -210,7 +264,7 @@ def session_batch(events: DataFrame, seconds: int = IDLE_SECONDS, tombstones: in
         gone.discard(r.session)
         if r.kind == "drop":
             return None
-        return {"scope": r.scope, "session": r.session, "msg_id": r.msg_id, "at": r.at, "state": acquired(names, r.session, r.at, seconds * 1_000_000, tombstones, present)}
+        return (r.scope, r.session, r.msg_id, r.at, acquired(names, r.session, r.at, seconds * 1_000_000, tombstones, present))
 
     source = _source(events, F.col("session").cast("string").alias("session"), "kind")
-    return _by_scope(source, "scope string, session string, msg_id string, at long, state string", told).select("scope", "session", "msg_id", F.timestamp_micros("at").alias("ts"), "state")
+    return _told(source, "session", tombstones, "scope string, session string, msg_id string, at long, state string", told).select("scope", "session", "msg_id", F.timestamp_micros("at").alias("ts"), "state")

@@ -89,3 +89,53 @@ def test_streams_equal_batches(spark, tmp_path):
         assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect())) and kept.count() < 400
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+def test_ids_without_a_bound_are_all_remembered(spark):
+    """More ids than a scope holds by default: none is forgotten within the span."""
+    n = registry.SEEN_MOST + 500
+    rows = spark.range(2 * n).selectExpr("'x' AS scope", f"cast(id % {n} AS string) AS msg_id", "timestamp_micros(id * 1000) AS ts")
+    assert registry.dedup_batch(rows, 300, most=None).count() == n < registry.dedup_batch(rows, 300).count()
+
+
+def acquired_by_scans(names, session, at, span, tombstones, present):
+    """The rule with plain scans of a dictionary."""
+    known = names.get(session)
+    state = "first" if known is None else "expired" if not known[1] or at - known[0] > span else "existing" if present else "lost"
+    if state != "existing":
+        if state == "expired":
+            names[session] = (at, False)
+        for other, (seen, live) in list(names.items()):
+            if live and other != session and at - seen > span:
+                names[other] = (seen, False)
+        silent = sorted((seen, other) for other, (seen, live) in names.items() if not live)
+        over = len(silent) - tombstones
+        for _, other in silent:
+            if over > 0 and other != session:
+                del names[other]
+                over -= 1
+    names[session] = (at, True)
+    return state
+
+
+def test_heaps_of_names_equal_scans():
+    rng = random.Random(3)
+    for bound in (0, 1, 3, 20):
+        fast, plain, now = registry.Names(), {}, 0
+        for _ in range(1500):
+            now += rng.choice([0, 1, 5, 30])
+            name, present = f"s{rng.randrange(25)}", rng.random() < 0.8
+            if rng.random() < 0.1:
+                fast.drop(name)
+                plain.pop(name, None)
+            assert registry.acquired(fast, name, now, 50, bound, present) == acquired_by_scans(plain, name, now, 50, bound, present)
+            assert dict(fast) == plain
+
+
+def test_many_sessions_take_a_step_each():
+    """A new session doesn't look at all others: a hundred thousand in one scope end at once."""
+    import time
+
+    names, began = registry.Names(), time.process_time()
+    assert {registry.acquired(names, f"s{k}", k * SECOND, 60 * SECOND, 10**6, True) for k in range(100_000)} == {"first"}
+    assert time.process_time() - began < 20 and len(names) == 100_000
