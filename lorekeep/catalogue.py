@@ -398,10 +398,10 @@ def type_folder_mismatch(spark, sf_dir):
 MISSING = "me AS (SELECT target, count(DISTINCT source) AS ref_count, list_sort(list_distinct(list(path))) AS ref_pages FROM edges JOIN nodes ON id = source WHERE NOT resolved GROUP BY target HAVING count(DISTINCT source) >= 2)"
 
 
-@query(star("SELECT target, ref_count FROM me", MISSING).replace("WITH RECURSIVE", "WITH"))
+@query(star("SELECT target, ref_count, unnest(ref_pages) AS page FROM me", MISSING).replace("WITH RECURSIVE", "WITH"))
 def missing_entities(spark, sf_dir):
     nodes, edges = _edges(spark, sf_dir)
-    return checks.missing_entities(edges, nodes)
+    return checks.missing_entity_pages(edges, nodes)
 
 
 @query(star("SELECT DISTINCT target, path AS page FROM edges JOIN nodes ON id = source WHERE NOT resolved"))

@@ -137,6 +137,14 @@ def missing_entities(edges: DataFrame, nodes: DataFrame, least: int = MISSING_RE
     return by.groupBy("target").agg(F.count("*").alias("ref_count")).where(F.col("ref_count") >= least)
 
 
+def missing_entity_pages(edges: DataFrame, nodes: DataFrame, least: int = MISSING_REFS) -> DataFrame:
+    """``(target, ref_count, page)``: :func:`missing_entities` with every page that names them, a row each."""
+    pages = nodes.select(F.col("id").alias("source"), F.col("path").alias("page"))
+    named = materialize(edges.where("not resolved").select("target", "source").join(pages, "source").distinct(), "named")
+    counts = named.select("target", "source").distinct().groupBy("target").agg(F.count("*").alias("ref_count")).where(F.col("ref_count") >= least)
+    return named.select("target", "page").distinct().join(counts, "target").select("target", "ref_count", "page")
+
+
 def _findings(rows: DataFrame, suggestion=None) -> DataFrame:
     return rows.select("page", "kind", "detail", (F.lit(None) if suggestion is None else suggestion).cast("string").alias("suggestion"))
 

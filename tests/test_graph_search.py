@@ -6,7 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import biconnect, graph, search
+from lorekeep.functions import text as T
+from lorekeep.operators import biconnect, checks, graph, resolve, search
 from lorekeep.plans import ranks
 from lorekeep.plans.ranks import ranked
 
@@ -226,3 +227,23 @@ def test_running_sums_across_ranges(spark):
     rows = [(k, 1000 * i + n, v) for i, (k, n, v) in enumerate(rows)]
     got = ranks.running(spark.createDataFrame(rows, "k long, n long, v long").repartition(6), "k", [F.desc("n")], "v", "s").collect()
     assert {(r.k, r.n): r.s for r in got} == {(k, n): sum(v for kk, nn, v in rows if kk == k and nn > n) for k, n, _ in rows}
+
+
+def test_pages_that_name_missing_entities(spark):
+    edges = spark.createDataFrame([("a", "x", False), ("b", "x", False), ("c", "y", False), ("a", "b", True)], "source string, target string, resolved boolean")
+    nodes = spark.createDataFrame([("a", "p/a.md"), ("a", "q/a.md"), ("b", "p/b.md"), ("c", "p/c.md")], "id string, path string")
+    got = sorted(map(tuple, checks.missing_entity_pages(edges, nodes).collect()))
+    assert got == [("x", 2, "p/a.md"), ("x", 2, "p/b.md"), ("x", 2, "q/a.md")]  # one source of two pages counts once, both pages are told
+
+
+def test_links_without_a_page_do_not_meet_in_one_task(spark):
+    """Unknown stems keep places of their own in both probes."""
+    links = spark.createDataFrame([(f"gone-{k}",) for k in range(50)] + [("here",), ("He_re",), ("\x00odd",)], "stem string")
+    keys = spark.createDataFrame([("here", "here.md"), ("he-re", "here.md"), ("\x00odd", "odd.md")], "key string, owner string")
+    out = resolve.resolve(links, keys, fold=T.fold_ascii)
+    assert {r.stem: r.owner for r in out.where("owner is not null").collect()} == {"here": "here.md", "He_re": "here.md", "\x00odd": "odd.md"}
+    assert out.count() == 53
+    texts = [("a.md", "[[b]] [[gone]] [[B]] [[index]]"), ("b.md", ""), ("index.md", "")]
+    pages = spark.createDataFrame([(p, t, p == "index.md", []) for p, t in texts], "path string, body string, is_config boolean, aliases array<string>").withColumn("stem", T.link_stem("path"))
+    rows = graph.resolved_links(pages, T.fold_ascii).select("pos", "stem", "owner", "to_config", "target").collect()
+    assert sorted(map(tuple, rows)) == [(0, "b", "b.md", False, "b"), (1, "gone", None, False, "gone"), (2, "b", "b.md", False, "b"), (3, "index", "index.md", True, "index")]
