@@ -137,7 +137,9 @@ r AS (SELECT *, list_reduce(list_prepend('', list_filter(string_split(path, '/')
 SELECT doc_id, n::INTEGER AS n, normal, path NOT LIKE '/%' AND NOT contains(path, chr(92)) AND normal <> '' AND NOT regexp_matches(normal, '^\.\.(/|$)') AS inside FROM r""")
 def path_containment(spark, sf_dir):
     path = F.replace(F.replace(F.replace("x", F.lit(", "), F.lit("/../")), F.lit(". "), F.lit("/./")), F.lit(" "), F.lit("/"))
-    return _lines(spark, sf_dir).select("doc_id", "n", path.alias("path")).select("doc_id", "n", T.normal_path("path").alias("normal"), T.inside("path").alias("inside"))
+    lines = _lines(spark, sf_dir).select("doc_id", "n", path.alias("path"))
+    both = T.once(F.struct("path", T.normal_path("path").alias("normal")), lambda x: F.struct(x["normal"].alias("normal"), T.inside_as(x["path"], x["normal"]).alias("inside")))
+    return lines.select("doc_id", "n", F.inline(F.array(both)))
 
 
 @query("""WITH t AS (SELECT doc_id, replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(13)) AS t FROM documents WHERE text IS NOT NULL),

@@ -120,6 +120,29 @@ NAME_ZERO_WIDTH = "\u200B\uFEFF"
 NAME_DROPPED = "\"'“”‟„«»‘’‚‛‹›「」『』`…"
 
 
+def once(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
+def _plain(ranges) -> str:
+    """A regular expression of texts of characters that NFKC leaves alone, whatever stands beside them: no marks, nothing that composes."""
+    fine = [c for a, b in ranges for c in range(a, b) if not unicodedata.combining(chr(c)) and unicodedata.is_normalized("NFKC", chr(c))]
+    return "^[" + "".join(rf"\x{{{c:X}}}" if a == 1 else rf"\x{{{c:X}}}-\x{{{c + a - 1:X}}}" for c, a in _runs(fine)) + "]*$"
+
+
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    """(start, length) of runs of rising numbers."""
+    out: list[tuple[int, int]] = []
+    for n in numbers:
+        out[-1:] = [(out[-1][0], out[-1][1] + 1)] if out and sum(out[-1]) == n else [*out[-1:], (n, 1)]
+    return out
+
+
+#: Latin, Greek, Cyrillic, punctuation and the common ideographs: most names are of these alone and need no Python.
+PLAIN = _plain(((0, 0x2B0), (0x370, 0x530), (0x2000, 0x2070), (0x4E00, 0xA000)))
+
+
 @F.pandas_udf(X.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -134,7 +157,7 @@ def basename(path: Column | str) -> Column:
 def normalize_basename(name: Column | str) -> Column:
     """A file name without folders, NFKC, look-alikes folded, trimmed."""
     base = basename(name)
-    folded = F.when(base.rlike(r"^[\x00-\x7F]*$"), base).otherwise(nfkc(base))
+    folded = F.coalesce(nfkc(F.when(~base.rlike(PLAIN), base)), base)  # the others pass Python as nulls
     dashes, spaces = "-" * len(NAME_DASHES), " " * len(NAME_ZERO_WIDTH)
     return strip(F.translate(folded, NAME_DASHES + NAME_ZERO_WIDTH + NAME_DROPPED, dashes + spaces))
 
@@ -150,11 +173,12 @@ REJECTED_SUFFIXES = (".txt", ".pdf", ".docx", ".doc", ".html", ".htm", ".rtf", "
 
 def safe_raw_target(name: Column | str) -> Column:
     """struct(target, error): where a text of this name or title goes under ``raw/``; error: suffix, or empty if nothing of the name is left."""
-    base = normalize_basename(name)
-    ending = suffix(base)
-    slug = raw_slug(F.when(ending == ".md", F.regexp_replace(base, r"(?s)\.[^.]+$", "")).otherwise(base))
-    error = F.when(ending.isin(*REJECTED_SUFFIXES), "suffix").when(F.length(slug) == 0, "empty")
-    return F.struct(F.when(error.isNull(), F.concat(F.lit("raw/"), slug, F.lit(".md"))).alias("target"), error.alias("error"))
+    bare = lambda x: F.when(x["ending"] == ".md", F.regexp_replace(x["base"], r"(?s)\.[^.]+$", "")).otherwise(x["base"])
+    error = lambda x: F.when(x["ending"].isin(*REJECTED_SUFFIXES), "suffix").when(F.length(x["slug"]) == 0, "empty")
+    split = once(normalize_basename(name), lambda base: F.struct(base.alias("base"), suffix(base).alias("ending")))
+    slugged = once(split, lambda x: F.struct(x["ending"].alias("ending"), raw_slug(bare(x)).alias("slug")))
+    judged = once(slugged, lambda x: F.struct(x["slug"].alias("slug"), error(x).alias("error")))
+    return once(judged, lambda x: F.struct(F.when(x["error"].isNull(), F.concat(F.lit("raw/"), x["slug"], F.lit(".md"))).alias("target"), x["error"].alias("error")))
 
 
 def text_admitted(text: Column | str, most_bytes: int = 5 << 20) -> Column:
@@ -174,18 +198,25 @@ def format_digest(path: Column | str, sha256: Column | str) -> Column:
 
 def normal_path(path: Column | str) -> Column:
     """Path with ``.`` and ``..`` resolved lexically; what would leave the top keeps its ``..`` in front."""
-    step = lambda done, part: (
-        F.when((part == "") | (part == "."), done)
-        .when((part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.size(done) - 1))
-        .otherwise(F.concat(done, F.array(part))))
-    return F.array_join(F.aggregate(F.split(col(path), "/"), F.array().cast("array<string>"), step), "/")
+    parts = F.filter(F.split(col(path), "/"), lambda p: ~p.isin("", "."))
+    # runs of names between the steps up, each name with its slash: a turn for a step up, not for a name
+    runs = lambda names: F.split(F.concat(F.array_join(names, "/"), F.lit("/")), r"(?:^|(?<=/))\.\./")
+    stuck = lambda done: done.isin("", "../") | done.endswith("/../")
+    up = lambda done: F.when(stuck(done), F.concat(done, F.lit("../"))).otherwise(F.regexp_replace(done, "[^/]+/$", ""))
+    step = lambda done, run: F.when(done.isNull(), run).otherwise(F.concat(up(done), run))
+    walked = lambda names: F.aggregate(runs(names), F.lit(None).cast("string"), step, lambda done: F.regexp_replace(done, "/$", ""))
+    return once(parts, lambda names: F.when(F.size(names) == 0, "").otherwise(walked(names)))
 
 
 def inside(path: Column | str, top: str = "") -> Column:
     """Whether a relative path stays below ``top`` (lexically)."""
-    p = col(path)
+    return once(normal_path(path), lambda normal: inside_as(path, normal, top))
+
+
+def inside_as(path: Column | str, normal: Column | str, top: str = "") -> Column:
+    """:func:`inside` of a path whose normal form is known."""
+    p, normal = col(path), col(normal)
     relative = ~p.startswith("/") & ~F.contains(p, F.lit("\\"))
-    normal = normal_path(p)
     return relative & ~normal.rlike(r"^\.\.(/|$)") & (normal.startswith(f"{top}/") if top else F.length(normal) > 0)
 
 

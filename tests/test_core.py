@@ -1,6 +1,7 @@
 """Text functions, pages, resolution, graph, retrieval, reports and maintenance on small fixtures."""
 
 import itertools
+import random
 
 import pandas as pd
 import pytest
@@ -179,3 +180,35 @@ def test_entry_query(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 10
+
+
+def test_normal_paths_against_a_plain_walk(spark):
+    rng = random.Random(5)
+
+    def walk(path):
+        done = []
+        for part in path.split("/"):
+            if part == ".." and done and done[-1] != "..":
+                done.pop()
+            elif part not in ("", "."):
+                done.append(part)
+        return "/".join(done)
+
+    paths = ["/".join(rng.choice(["..", "..", ".", "", "a", "b..", "..c", "...", "d e"]) for _ in range(rng.randrange(12))) for _ in range(600)]
+    rows = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string").select("p", T.normal_path("p").alias("n"), T.inside("p").alias("i")).collect()
+    assert {r.p: r.n for r in rows} == {p: walk(p) for p in paths} | {None: None}
+    assert all(r.i == (r.n != "" and not r.p.startswith("/") and r.n.split("/")[0] != "..") for r in rows if r.p is not None)
+
+
+def test_names_that_need_no_python_are_normal(spark):
+    import re
+    import unicodedata
+
+    plain = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", T.PLAIN))
+    fine = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000 and plain.match(chr(c)) and chr(c) != "\n"]
+    assert len(fine) > 20_000 and all(unicodedata.is_normalized("NFKC", a + b) for a in fine[:400] for b in fine) and "\u0301" not in fine
+    names = ["a/b\u0301.md", "x/ﬁle", "“ü” — 中", "１", "e\u0301\u0300", "", None]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "x string").select(T.normalize_basename("x").alias("n")).collect()]
+    assert got == ["b\u0301.md", "file", "ü - 中", "1", unicodedata.normalize("NFKC", "e\u0301\u0300"), "", None]
+    targets = spark.createDataFrame([("a.MD",), ("b.pdf",), ("…",), (None,)], "x string").select(T.safe_raw_target("x").alias("t")).collect()
+    assert [r.t and tuple(r.t) for r in targets][:3] == [("raw/a.md", None), (None, "suffix"), (None, "empty")]
