@@ -247,3 +247,24 @@ def test_links_without_a_page_do_not_meet_in_one_task(spark):
     pages = spark.createDataFrame([(p, t, p == "index.md", []) for p, t in texts], "path string, body string, is_config boolean, aliases array<string>").withColumn("stem", T.link_stem("path"))
     rows = graph.resolved_links(pages, T.fold_ascii).select("pos", "stem", "owner", "to_config", "target").collect()
     assert sorted(map(tuple, rows)) == [(0, "b", "b.md", False, "b"), (1, "gone", None, False, "gone"), (2, "b", "b.md", False, "b"), (3, "index", "index.md", True, "index")]
+
+
+def test_terms_without_postings_and_places_down_to_a_page(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(f"p{k}", " ".join(rng.choices(words, range(1, 41), k=rng.randrange(30))), rng.choice(words), [rng.choice(words)]) for k in range(150)]
+    rows += [("p3", "w1 w1 extra", "w2", ["w1"]), ("p4", "", "", None)]  # a page of two rows, and one more row without a term
+    docs = spark.createDataFrame(rows, "page string, body string, title string, aliases array<string>")
+    want = {r.term: r["count"] for r in search.postings(docs).groupBy("term").count().collect()}
+    assert {r.term: r.df for r in search.term_counts(docs).collect()} == want
+    one = docs.dropDuplicates(["page"])
+    terms = search.query_terms(spark.createDataFrame([("q", "w1 w7 w30 gone"), ("r", "w2")], "qid string, query string"))
+    plain = sorted(map(tuple, search.scores(*search.stored_index(one), terms).collect()))
+    assert sorted(map(tuple, search.scores(*search.index_of_terms(one, terms), terms).collect())) == plain and plain
+    asked = one.where("page like 'p%0'")
+    golden = asked.select(F.col("page").alias("qid"), F.col("page").alias("primary"), F.array("page").alias("relevant"))
+    titles, index = search.query_terms(asked, "page", "title"), search.stored_index(one)
+    full = search.top_k(search.scores(*index, titles), 10)
+    told = search.best_pages(*index, titles, 10, down_to=golden.select("qid", F.col("primary").alias("page")))
+    place = lambda r: {(x.qid, x.rank) for x in r.where("qid = page").collect()}
+    assert place(told) == place(full) and search.quality(told, golden).collect() == search.quality(full, golden).collect()
