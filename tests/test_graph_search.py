@@ -82,6 +82,17 @@ def test_biconnected_parts(spark):
     assert none.count() == 0
 
 
+def test_stars_are_contracted_at_once(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(biconnect, "materialize", lambda df, label="step", real=biconnect.materialize: rounds.append(label) or real(df, label))
+    rows = [(k % 4, 10 + k) for k in range(200)] + [(0, 1), (1, 2), (2, 3), (3, 0)] + [(300 + k, 301 + k) for k in range(100)]
+    forest = biconnect.spanning_forest(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert rounds.count("hooks") <= 8  # a leaf a round before
+    nodes = {x for r in rows for x in r}
+    assert len(forest) == len(nodes) - 2 and {(r.a, r.b) for r in forest} <= {tuple(sorted(r)) for r in rows}
+    assert sorted(map(len, pieces(nodes, [(r.a, r.b) for r in forest]))) == [101, 204] and len({r.hooked for r in forest}) == len(forest)
+
+
 def test_list_ranks_and_ranked(spark):
     cells = spark.createDataFrame([(i, i + 1 if i % 100 != 99 else None) for i in range(250)] + [(500, 0)], "id long, next long")
     got = {r.id: (r.last, r.dist) for r in biconnect.list_ranks(cells.where("id <> 249").unionByName(spark.createDataFrame([(249, None)], "id long, next long"))).collect()}
