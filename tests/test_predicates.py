@@ -142,3 +142,30 @@ def test_dedup_at_the_edge(spark):
     msgs = spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "msg_id string, ts timestamp, v double")
     assert [r.v for r in sessions.dedup_messages(msgs).where("msg_id = 'm'").orderBy("ts").collect()] == [0.0, 301.0, 602.0]
     assert sessions.dedup_messages(msgs).count() == 5
+
+
+def test_frontmatter_heads_are_those_of_python(spark):
+    marks = ["---", " ---\t", "\u00a0---", "\u3000--- ", "----", "-- -", "a: 1", "x--- ", "", " ", "\u200b---"]
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028", "\n\n"]
+    rng = random.Random(5)
+    pages = [None, "", "---", "---\n---", "---\r\n---\r\n\n", "---\n---\n---\n", "\n---\n---\n", "\ufeff---\na: 1\n---\n", "---\na: \U0001f600\n---\n\U0001f600b"]
+    pages += ["".join(rng.choice(marks[:4] if rng.random() < 0.5 else marks) + rng.choice(breaks) for _ in range(rng.randrange(1, 7))) + rng.choice(["", "---", "end"]) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, t string")
+    got = {r.i: r for r in rows.select("i", FM.head_of("t").alias("head"), FM.parse_page("t").alias("m")).collect()}
+    for i, p in enumerate(pages):
+        block, body = FM.split_block(p or "")
+        assert got[i].head == (p or "")[: len(p or "") - len(body)] and (block is None) == (got[i].head == ""), repr(p)
+        want = FM.describe(p)
+        assert got[i].m.asDict() == want, repr(p)
+
+
+def test_bodies_stay_out_of_python(spark):
+    page = "---\ntitle: t\n---\n" + "b" * 100_000
+    one = spark.createDataFrame([(page,), ("b" * 100_000,)], "t string")
+    assert [r[0] for r in one.select(F.length(FM.head_of("t"))).collect()] == [17, 0]
+    assert [len(r[0]) for r in one.select(FM.with_origin("t", F.lit("o"))).collect()] == [100_027, 100_018]
+    assert [r[0] for r in one.select(FM.with_origin("t", F.lit(None).cast("string"))).collect()] == [page, "b" * 100_000]
+    for made in (FM.parse_page("t"), FM.scan_page("t"), FM.repaired_page("t"), FM.with_origin("t", F.lit("o"))):
+        plan = one.select(made.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+        evaluated = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
+        assert len(evaluated) == 1 and evaluated[0].count("(regexp_extract(") == 1  # the page's head, once
