@@ -42,13 +42,14 @@ def comment_lines(lines: DataFrame) -> DataFrame:
 def touched_lines(lines: DataFrame) -> DataFrame:
     """``(key, line)`` of lines that hold a comment mark or stand behind an opening one, closed or not: such lines are never taken out."""
     last = F.when(F.col("x").rlike(_MARK), F.element_at(F.regexp_extract_all("x", F.lit(f"({_MARK})"), F.lit(1)), -1))
-    state = carried(lines.withColumn("last", last), ["key"], ["line"], "last", "before")
+    state = carried(lines.select("key", "line", last.alias("last")), ["key"], ["line"], "last", "before")  # the text itself doesn't move
     return state.where((F.col("before") == "<!--") | F.col("last").isNotNull()).select("key", "line")
 
 
 def line_links(lines: DataFrame) -> DataFrame:
-    """``(key, line, targets)``: distinct local link targets of each line that isn't comment."""
-    return lines.join(comment_lines(lines), ["key", "line"], "left_anti").select("key", "line", T.line_targets("x").alias("targets"))
+    """``(key, line, targets)``: distinct local link targets of each line that has some and isn't comment."""
+    each = lines.select("key", "line", T.line_targets("x").alias("targets")).where(F.size("targets") > 0)
+    return each.join(comment_lines(lines), ["key", "line"], "left_anti")
 
 
 def targets(lines: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def targets(lines: DataFrame) -> DataFrame:
 
 def dangling_lines(lines: DataFrame, dangling: DataFrame) -> DataFrame:
     """``(key, line)`` of lines to take out: all their links dangle, and no comment touches them; dangling: ``(key, target)``."""
-    each = line_links(lines).where(F.size("targets") > 0).select("key", "line", F.explode("targets").alias("target"))
+    each = line_links(lines).select("key", "line", F.explode("targets").alias("target"))
     gone = dangling.select("key", "target", F.lit(True).alias("gone")).distinct()
     lost = each.join(gone, ["key", "target"], "left").groupBy("key", "line").agg(F.bool_and(F.coalesce("gone", F.lit(False))).alias("gone")).where("gone")
     return lost.select("key", "line").join(touched_lines(lines), ["key", "line"], "left_anti")

@@ -67,3 +67,12 @@ def test_carried_across_ranges(spark):
         for k, n, _ in rows:
             near = [v for kk, m, v in rows if kk == k and v is not None and (m > n if down else m < n)]
             assert got[k, n] == ((near[0] if down else near[-1]) if near else None)
+
+
+def test_pruning_moves_no_text(spark, monkeypatch):
+    moved = []
+    monkeypatch.setattr(index, "carried", lambda rows, *a, real=index.carried, **k: moved.append(rows.columns) or real(rows, *a, **k))
+    x = ["- [a](a.md)", "- [b](b.md)", "<!-- [a](a.md) -->", "- [a](a.md) [b](b.md)", "none", "x <!-- [a](a.md)", "- [a](a.md)"]
+    lines = spark.createDataFrame([("k", n, t) for n, t in enumerate(x)], "key string, line int, x string")
+    gone = index.dangling_lines(lines, spark.createDataFrame([("k", "a.md")], "key string, target string"))
+    assert sorted(r.line for r in gone.collect()) == [0] and not any("x" in columns for columns in moved)
