@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 import xxhash
@@ -31,7 +32,9 @@ SPACE = "▁"
 CHUNK = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Characters of text that are sampled at once; a longer text is sampled alone, in about 100 bytes a character.
 SLICE_CHARS = 2_000_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Noise of 53-bit draws stays below this.
+NOISE = 37.0
+_A, _B, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), 2**64 - 1
 
 
 def uniform(key: np.ndarray | int, salt: int, index: np.ndarray) -> np.ndarray:
@@ -44,6 +47,14 @@ def uniform(key: np.ndarray | int, salt: int, index: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
+def uniform_one(key: int, salt: int, index: int) -> float:
+    """One number of :func:`uniform`, without arrays."""
+    x = (key + salt * int(_B) + (index + 1) * int(_A)) & _WORD
+    x = ((x ^ (x >> 30)) * int(_B)) & _WORD
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _WORD
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2.0**53
+
+
 def normalized(text: str) -> str:
     """The model's view of a text: spaces as marks, and one more in front; empty stays empty."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -56,6 +67,24 @@ def chunks_of(text: str) -> list[str]:
     return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
 
+def numbered_chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of all texts, the number of each chunk in the order of the texts, and how many each text has.
+
+    Arrow cuts and numbers the words of texts that single spaces part; other texts are cut by :func:`chunks_of`.
+    """
+    plain = np.array([bool(t) and "  " not in t and t[0] != " " and SPACE not in t for t in texts], bool)
+    words = pc.split_pattern(pa.array(itertools.compress(texts, plain), pa.large_string()), " ")
+    coded = words.flatten().dictionary_encode()
+    number = {SPACE + w: n for n, w in enumerate(coded.dictionary.to_pylist())}
+    others = [chunks_of(t) for t in itertools.compress(texts, ~plain)]
+    sizes = np.empty(len(texts), np.int64)
+    sizes[plain], sizes[~plain] = pc.list_value_length(words).to_numpy(), [len(p) for p in others]
+    chunk, is_plain = np.empty(sizes.sum(), np.int64), np.repeat(plain, sizes)
+    chunk[is_plain] = coded.indices.to_numpy()
+    chunk[~is_plain] = [number.setdefault(c, len(number)) for c in itertools.chain.from_iterable(others)]
+    return list(number), chunk, sizes
+
+
 class Trie:
     """All starts of pieces; one hash table (node, character) -> node, which arrays of both are looked up in at once."""
 
@@ -246,22 +275,19 @@ def _walk(lat: Lattice, chunk: np.ndarray, key: np.ndarray, place: np.ndarray, s
     return out, count
 
 
-def _below(place: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def _below(place: np.ndarray, bound: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """The highest value of sets at ``place`` (log-probabilities), given that it is below ``bound``."""
     return place - np.logaddexp(place - bound, np.log(-np.log(u)))
 
 
 def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> list[list[dict]]:
     """For each text up to ``k`` distinct segmentations, the likeliest draws first: pieces, logp, gumbel, inclusion."""
-    parts = [chunks_of(t) for t in texts]
-    number = {c: n for n, c in enumerate(dict.fromkeys(itertools.chain.from_iterable(parts)))}
-    chunk = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(parts)), np.int64)
-    sizes = np.array([len(p) for p in parts])
+    distinct, chunk, sizes = numbered_chunks(texts)
     if not len(chunk):
         return [[{"pieces": np.empty(0, np.int64), "logp": 0.0, "gumbel": 0.0, "inclusion": 1.0}] for _ in texts]
-    lat = Lattice(list(number), v)
+    lat = Lattice(distinct, v)
     begin = np.cumsum(sizes) - sizes
-    length = np.fromiter(map(len, number), np.int64, len(number))[chunk]
+    length = np.fromiter(map(len, distinct), np.int64, len(distinct))[chunk]
     place = np.cumsum(length) - length
     place -= np.repeat(place[np.minimum(begin, len(place) - 1)], sizes)
     key = np.repeat(np.array(keys, np.uint64), sizes)
@@ -273,8 +299,8 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
     edges, count = _walk(lat, chunk, key, place, 2)
     cond = lat.cond[edges]
     ends = np.concatenate([[0], np.cumsum(count)])
-    for t, (a, b) in enumerate(zip(ends[begin].tolist(), ends[begin + sizes].tolist(), strict=True)):
-        _enter(lat, results[t], paths[t], rests[t], edges[a:b], cond[a:b], top[t], 0, keys[t], 1, k + 1)
+    first = [(t, edges[a:b], cond[a:b], top[t], 0, None) for t, (a, b) in enumerate(zip(ends[begin].tolist(), ends[begin + sizes].tolist(), strict=True))]
+    _enter(lat, results, paths, rests, first, keys, 1, k + 1)
     for sample in range(2, k + 1):
         entered, tails = [], []
         for t in range(len(texts)):
@@ -287,10 +313,12 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
             options = np.array([e for e in range(lat.first[node], lat.first[node + 1]) if e not in banned])
             share = np.cumsum(np.exp(lat.cond[options]))
             salt = 100 * sample
-            edge = int(options[min(len(options) - 1, int(np.searchsorted(share, share[-1] * uniform(keys[t], salt, np.array([step]))[0])))])
+            edge = int(options[min(len(options) - 1, int(np.searchsorted(share, share[-1] * uniform_one(keys[t], salt, step))))])
             kept, node, at = [*head[:step].tolist(), edge], int(lat.end[edge]), step + 1
             while not lat.final[node]:
-                edge = int(lat.draw(np.array([node]), uniform(keys[t], salt + 1, np.array([at])))[0])
+                edge, u = int(lat.first[node]), uniform_one(keys[t], salt + 1, at)
+                while u >= lat.upto[edge]:
+                    edge += 1
                 kept.append(edge)
                 node, at = int(lat.end[edge]), at + 1
             done = int(lat.final[lat.end[np.array(kept)]].sum())  # whole chunks so far
@@ -303,12 +331,13 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
         edges, count = _walk(lat, chunk[tail], key[tail], place[tail], 100 * sample + 2)
         cond = lat.cond[edges]
         ends = np.concatenate([[0], np.cumsum(count)])
-        at = 0
+        at, found = 0, []
         for (t, value, step, kept, banned, more), own in zip(entered, tails, strict=True):
             a, b = ends[at], ends[at + len(own)]
             at += len(own)
             path, along = np.concatenate([kept, edges[a:b]]), np.concatenate([lat.cond[kept], cond[a:b]])
-            _enter(lat, results[t], paths[t], rests[t], path, along, value, step + 1, keys[t], sample, k + 1, banned if more else None)
+            found.append((t, path, along, value, step + 1, banned if more else None))
+        _enter(lat, results, paths, rests, found, keys, sample, k + 1)
     for t in range(len(texts)):
         threshold = max((r[0] for r in rests[t]), default=-np.inf)
         for r in results[t]:
@@ -322,36 +351,53 @@ def sample_texts(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> li
     return results
 
 
-def _enter(
-    lat: Lattice, results: list, paths: list, rests: list, path: np.ndarray, cond: np.ndarray, value: float, fresh: int, key: int, sample: int, most: int,
-    banned: set | None = None,
-) -> None:
-    """Note a path (its edges and their log-probabilities) whose set has the highest value ``value``, and the rests that it leaves from step ``fresh`` on.
+def _enter(lat: Lattice, results: list, paths: list, rests: list, found: list[tuple], keys: list[int], sample: int, most: int) -> None:
+    """Note new paths, one of a text, and the rests that they leave.
 
-    banned: edges of the step before that are taken, where more are left.
+    found: (text, path's edges, their log-probabilities, highest value of the path's set, first step that leaves rests, edges of
+    the step before that are taken, where more are left).
     """
-    results.append({"edges": path, "logp": float(cond.sum()), "gumbel": value})
-    own = []
-    if banned:
-        node = lat.start[path[fresh - 1]]
-        left = [lat.cond[e] for e in range(lat.first[node], lat.first[node + 1]) if e not in banned]
-        where = cond[: fresh - 1].sum() + np.logaddexp.reduce(left)
-        own.append((float(_below(np.array([where]), value, uniform(key, 50 * sample + 7, np.array([fresh - 1])))[0]), len(paths), fresh - 1, banned))
-    # noise of 53-bit draws stays below 37: once ``most`` rests stand that far above all sets further down, the head suffices
-    size = max(160, 2 * fresh)
-    while True:
-        prefix = np.cumsum(cond[:size]) - cond[:size]
-        steps = np.arange(fresh, len(prefix))
-        steps = steps[cond[fresh : len(prefix)] < 0.0]  # a node's only edge leaves no rest
-        place = prefix[steps] + np.log(-np.expm1(np.minimum(cond[steps], -1e-300)))
-        drawn = _below(place, value, uniform(key, 50 * sample + 8, steps))
-        keep = np.argsort(-drawn)[:most]  # no path gives more than that
-        if size >= len(path) or (len(keep) == most and prefix[-1] + 37.0 < drawn[keep[-1]]):
-            break
-        size *= 4
-    own.extend((float(drawn[i]), len(paths), int(steps[i]), {int(path[steps[i]])}) for i in keep)
-    rests.extend(own)
-    paths.append(path)
+    heads, lasts = [], []
+    for t, path, cond, value, fresh, banned in found:
+        results[t].append({"edges": path, "logp": float(cond.sum()), "gumbel": value})
+        if banned:
+            node = lat.start[path[fresh - 1]]
+            left = [lat.cond[e] for e in range(lat.first[node], lat.first[node + 1]) if e not in banned]
+            where = cond[: fresh - 1].sum() + np.logaddexp.reduce(left)
+            u = uniform_one(keys[t], 50 * sample + 7, fresh - 1)
+            rests[t].append((float(_below(where, value, u)), len(paths[t]), fresh - 1, banned))
+        prefix = np.cumsum(cond) - cond
+        heads.append(prefix)
+        # rests as far down as this hardly ever count
+        lasts.append(max(fresh, int(np.searchsorted(-prefix, 2 * NOISE - min(value, 0.0)))))
+    # once ``most`` rests stand above all that noise can lift sets further down to, the head suffices; else the whole path is drawn
+    todo = list(range(len(found)))
+    while todo:
+        again, spans = [], [(found[i][4], min(lasts[i] + 1, len(heads[i]))) for i in todo]
+        sizes = np.array([max(0, b - a) for a, b in spans])
+        cut = lambda arrays: np.concatenate([x[a:b] for x, (a, b) in zip(arrays, spans, strict=True)])  # noqa: B023, E731
+        cond, prefix = cut([found[i][2] for i in todo]), cut([heads[i] for i in todo])
+        ends = np.cumsum(sizes)
+        steps = np.arange(len(cond)) - np.repeat(ends - sizes - np.array([a for a, _ in spans]), sizes)
+        who = np.repeat(np.arange(len(todo)), sizes)
+        open_ = np.flatnonzero(cond < 0.0)  # a node's only edge leaves no rest
+        cond, prefix, steps, who = cond[open_], prefix[open_], steps[open_], who[open_]
+        place = prefix + np.log(-np.expm1(np.minimum(cond, -1e-300)))
+        u = uniform(np.array([keys[found[i][0]] for i in todo], np.uint64)[who], 50 * sample + 8, steps)
+        drawn = _below(place, np.array([found[i][3] for i in todo])[who], u)
+        cuts = np.searchsorted(who, np.arange(len(todo) + 1)).tolist()
+        for n, i in enumerate(todo):
+            t, path, last = found[i][0], found[i][1], spans[n][1]
+            own = drawn[cuts[n] : cuts[n + 1]]
+            keep = np.argsort(-own)[:most]  # no path gives more than that
+            if last < len(path) and not (len(keep) == most and heads[i][last - 1] + NOISE < own[keep[-1]]):
+                lasts[i] = len(path)
+                again.append(i)
+                continue
+            at = steps[cuts[n] : cuts[n + 1]]
+            rests[t].extend((float(own[x]), len(paths[t]), int(at[x]), {int(path[at[x]])}) for x in keep)
+            paths[t].append(path)
+        todo = again
 
 
 def decode(pieces, v: Vocabulary) -> str:

@@ -409,3 +409,28 @@ def test_sampled_segmentations(messy, empty):
             assert pieces.decode(r["pieces"], v) == text.replace("▁", " ")
     back = pieces.decode_ids(pieces.encode_texts(messy)).where("text is not null").collect()
     assert all(r.decoded == r.text for r in back)
+
+
+def test_segmentations_are_drawn_by_slices_not_by_texts(monkeypatch):
+    v = pieces.vocabulary("piece_bpe_32k.model", 1.0)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["Straße", "lowercase", "x", "日本", "internationalization", "a\nb", "\x00"]) for _ in range(rng.randrange(300))) for _ in range(120)]
+    texts += ["", " ", "  two  marks ", " lead", "trail ", "x▁y", "▁", "\n"]
+    rng.shuffle(texts)
+    # Arrow numbers the chunks of plain texts; they are those of chunks_of, in the order of the texts
+    distinct, chunk, sizes = pieces.numbered_chunks(texts)
+    assert [distinct[n] for n in chunk] == [c for t in texts for c in pieces.chunks_of(t)] and sizes.tolist() == [len(pieces.chunks_of(t)) for t in texts]
+    assert len(set(distinct)) == len(distinct)
+    for few in ([""], ["  a"], ["a"], ["", "b c"]):
+        distinct, chunk, sizes = pieces.numbered_chunks(few)
+        assert [distinct[n] for n in chunk] == [c for t in few for c in pieces.chunks_of(t)] and len(sizes) == len(few)
+    big = 2**64 - 1
+    assert all(pieces.uniform_one(key, salt, i) == pieces.uniform(key, salt, np.array([i]))[0] for key in (0, 7, big) for salt in (1, 208) for i in (0, 5, 10**6))
+    alone = [pieces.sample_texts([t], [n], 3, v)[0] for n, t in enumerate(texts)]
+    calls, real = [], pieces.uniform
+    monkeypatch.setattr(pieces, "uniform", lambda key, *a: calls.append(1) or real(key, *a))
+    together = pieces.sample_texts(texts, list(range(len(texts))), 3, v)
+    assert len(calls) < 3 * len(texts)  # one for each step of the longest word and each draw, none for each text
+    for t, a, b in zip(texts, alone, together, strict=True):
+        assert [x["pieces"].tolist() for x in a] == [x["pieces"].tolist() for x in b]
+        assert not t or np.allclose([(x["gumbel"], x["logp"], x["inclusion"]) for x in a], [(x["gumbel"], x["logp"], x["inclusion"]) for x in b])
