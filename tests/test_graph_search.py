@@ -1,14 +1,15 @@
 """Bridges, cut vertices, ranked retrieval and set joins against brute force."""
 
 import random
+import threading
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
-from lorekeep.operators import biconnect, checks, graph, resolve, search
-from lorekeep.plans import ranks
+from lorekeep.operators import biconnect, checks, community, graph, resolve, search
+from lorekeep.plans import adapters, ranks
 from lorekeep.plans.ranks import ranked
 
 
@@ -279,3 +280,35 @@ def test_terms_without_postings_and_places_down_to_a_page(spark):
     told = search.best_pages(*index, titles, 10, down_to=golden.select("qid", F.col("primary").alias("page")))
     place = lambda r: {(x.qid, x.rank) for x in r.where("qid = page").collect()}
     assert place(told) == place(full) and search.quality(told, golden).collect() == search.quality(full, golden).collect()
+
+
+def test_lint_writes_its_links_once_and_runs_its_rounds_side_by_side(spark, monkeypatch):
+    seen, threads = {}, {}
+
+    def watched(name):
+        real = getattr(graph, name)
+
+        def call(*tables):
+            seen[name], threads[name] = tables[-1], threading.get_ident()
+            return real(*tables)
+
+        monkeypatch.setattr(graph, name, call)
+
+    watched("communities"), watched("fragile_places")
+    body = {"a": "[[b]] [[c]] [[ghost]]", "b": "[[c]] [[ghost]]", "c": "[[d]]", "d": "[[e]]", "e": "[[f]]", "f": "[[d]]"}
+    rows = spark.createDataFrame([(f"entities/{k}.md", k.upper(), "entity", [], [], t) for k, t in body.items()], "path string, title string, type string, aliases array<string>, sources array<string>, body string")
+    pages = adapters.as_pages(rows)
+    found = {(r.page, r.kind, r.detail) for r in checks.lint(pages, search.documents_of(pages)).collect()}
+    assert {("entities/c.md", "lint.bridge_edge", "c - d"), ("entities/c.md", "lint.cut_vertex", "c"), ("entities/d.md", "lint.cut_vertex", "d"), ("", "lint.missing_entity", "ghost: 2 pages"), ("entities/a.md", "lint.orphan", "entity")} <= found
+    for edges in seen.values():
+        assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()  # a written table, no resolution once more
+    assert len({threading.get_ident(), *threads.values()}) == 3
+
+
+def test_a_round_of_communities_writes_few_tables(spark, monkeypatch):
+    made, real = [], community.materialize
+    monkeypatch.setattr(community, "materialize", lambda df, label: made.append(label) or real(df, label))
+    links = spark.createDataFrame([(6 * k + i, 6 * k + j) for k in range(8) for i in range(6) for j in range(i)] + [(6 * k, 6 * k + 7) for k in range(7)], "a long, b long")
+    got = {r.id: r.community for r in community.communities(links).collect()}
+    assert got == {n: n - n % 6 for n in range(48)}
+    assert made.count("picks") > 1 and len(made) <= 4 * made.count("picks") + 3
