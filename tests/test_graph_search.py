@@ -312,3 +312,30 @@ def test_a_round_of_communities_writes_few_tables(spark, monkeypatch):
     got = {r.id: r.community for r in community.communities(links).collect()}
     assert got == {n: n - n % 6 for n in range(48)}
     assert made.count("picks") > 1 and len(made) <= 4 * made.count("picks") + 3
+
+
+def test_best_pages_leave_their_tiles_alone(spark, monkeypatch):
+    monkeypatch.setattr(search, "TILE_POSTINGS", 100)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 8)
+    docs, queries = corpus(spark, 300)
+    docs = docs.unionByName(docs.where("page like 'p%7'").withColumn("body", F.concat("body", F.lit(" w1 w2 more words"))))  # pages of two lengths
+    terms = search.query_terms(queries.unionByName(spark.createDataFrame([(None, "w2 w3")], "qid int, query string")))
+    rows = {}
+    real = search.materialize
+
+    def counted(df, label="step"):
+        out = real(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "materialize", counted)
+    whole, index = search.stored_index(docs), search.stored_index(docs, terms)
+    asked = {r.term for r in terms.select("term").distinct().collect()}
+    assert {r.term for r in index[0].select("term").distinct().collect()} <= asked and sorted(map(tuple, index[1].collect())) == sorted(map(tuple, whole[1].collect()))
+    assert sorted(map(tuple, index[0].collect())) == sorted(map(tuple, whole[0].where(F.col("term").isin(*asked)).select(*index[0].columns).collect()))
+    want = search.top_k(search.scores(*whole, terms), 2).collect()
+    rows.clear()
+    assert sorted(map(str, search.best_pages(*index, terms, 2).collect())) == sorted(map(str, want)) and want
+    pairs, tiles = search.scores(*whole, terms).count(), -(-rows["gains"][0] // 100)
+    assert max(rows["found"]) <= terms.select("qid").distinct().count() * max(tiles, spark.sparkContext.defaultParallelism) * 2
+    assert not {"held", "part", "could"} & set(rows) and pairs > max(n for label, sizes in rows.items() if label != "gains" for n in sizes)
