@@ -573,11 +573,11 @@ def raw_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.raw_slug("url").alias("slug"))
 
 
-@query(r"""WITH x AS (SELECT page_id, regexp_replace(split_part(url, '?', 1), '^.*/', '') AS name, trim(regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '^.*/', ''), '[^a-zA-Z0-9_.\-]+', '-', 'g'), '-+', '-', 'g'), '-.') AS slug FROM pages)
-SELECT slug, page_id || '/' || name AS path, min(page_id || '/' || name) OVER w AS first, count(*) OVER w AS files FROM x WINDOW w AS (PARTITION BY slug) QUALIFY count(*) OVER w > 1""")
+@query(r"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '^.*/', ''), '[^a-zA-Z0-9_.\-]+', '-', 'g'), '-+', '-', 'g'), '-.') AS slug FROM pages)
+SELECT DISTINCT a.slug, a.page_id::VARCHAR AS path, b.page_id::VARCHAR AS other FROM x a JOIN x b ON a.slug = b.slug AND a.page_id <> b.page_id""")
 def slug_collision(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit("/"), F.regexp_extract(F.split_part("url", F.lit("?"), F.lit(1)), r"([^/]*)$", 1)).alias("path"))
-    return resolve.slug_collisions(rows)
+    name = F.regexp_extract(F.split_part("url", F.lit("?"), F.lit(1)), r"([^/]*)$", 1)
+    return resolve.slug_collisions(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), T.raw_slug(name).alias("slug")))
 
 
 @query(r"SELECT doc_id, length(trim(text)) > 0 AND strlen(text) <= 5242880 AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS admitted FROM documents")

@@ -82,15 +82,31 @@ def source_page_of(slugs: DataFrame, source_pages: DataFrame, slug: str = "slug"
     return out.withColumn("page", F.coalesce("_exact", "_p")).drop("_s", "_p", "_exact")
 
 
+#: Files of a slug that meet as many others of it on one key, and pairs of a task, about.
+SLUG_BLOCK, TASK_PAIRS = 1024, 1 << 22
+
+
 def slug_collisions(raw: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """``(slug, path, first, files)``: raw files whose slug another one has, a row each: the least path of that slug, and how many have it.
+    """``(slug, path, other)``: every ordered pair of raw files that share a slug.
 
-    owners: ``(slug, path)`` of pages that belong to a file already; such files are left out, though they count.
+    raw: ``(path)``, or ``(path, slug)`` where slugs are known.  owners: ``(slug, path)`` of pages that belong to a file already; pairs of such a path are
+    left out.  Pairs grow with the square of a slug's files: these are numbered and cut into blocks, and each two blocks meet on a key of their own.
     """
-    rows = raw.select("path", T.raw_slug(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")).alias("slug")).distinct()
-    shared = rows.groupBy("slug").agg(F.min("path").alias("first"), F.count("*").alias("files")).where("files > 1")
-    same = rows.join(materialize(shared, "slugs"), "slug").select("slug", "path", "first", "files")
-    return same if owners is None else same.join(owners, ["slug", "path"], "left_anti")
+    slug = F.col("slug") if "slug" in raw.columns else T.raw_slug(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", ""))
+    rows = materialize(raw.select("path", slug.alias("slug")).where("slug is not null and path is not null").distinct(), "slugs")
+    shared = materialize(rows.groupBy("slug").agg(F.count("*").alias("files")).where("files > 1"), "sizes")
+    pairs = shared.agg(F.sum(F.col("files").cast("double") * F.col("files")).alias("n")).first()["n"] or 0
+    parts = max(raw.sparkSession.sparkContext.defaultParallelism, int(pairs // TASK_PAIRS) + 1)
+    blocks = F.ceil(F.col("files") / SLUG_BLOCK).cast("int")
+    same = rows.join(shared, "slug").select("slug", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("path"), blocks).cast("int").alias("block"))
+    same = materialize(same, "shared")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = same.select("slug", "path", F.col("block").alias("a"), every.alias("b"))
+    right = same.select("slug", F.col("path").alias("other"), every.alias("a"), F.col("block").alias("b"))
+    if owners is not None:
+        left = left.join(owners, ["slug", "path"], "left_anti")
+    met = left.repartition(parts, "slug", "a", "b").join(right.repartition(parts, "slug", "a", "b").hint("merge"), ["slug", "a", "b"])  # by number: few bytes make many pairs
+    return met.where("path <> other").select("slug", "path", "other")
 
 
 def code_reference(code: Column, paths: DataFrame) -> DataFrame:

@@ -339,3 +339,14 @@ def test_best_pages_leave_their_tiles_alone(spark, monkeypatch):
     pairs, tiles = search.scores(*whole, terms).count(), -(-rows["gains"][0] // 100)
     assert max(rows["found"]) <= terms.select("qid").distinct().count() * max(tiles, spark.sparkContext.defaultParallelism) * 2
     assert not {"held", "part", "could"} & set(rows) and pairs > max(n for label, sizes in rows.items() if label != "gains" for n in sizes)
+
+
+def test_slug_collisions_list_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "SLUG_BLOCK", 3)
+    paths = [f"raw/{k}/report.md" for k in range(11)] + ["raw/a b.md", "raw/a-b.md", "raw/x/a?b.md", "raw/lone.md"]
+    raw = spark.createDataFrame([(p,) for p in [*paths, paths[0]]], "path string")
+    groups = [("report", paths[:11]), ("a-b", paths[11:14])]
+    want = sorted((s, x, y) for s, g in groups for x in g for y in g if x != y)
+    assert sorted(map(tuple, resolve.slug_collisions(raw).select("slug", "path", "other").collect())) == want
+    owners = spark.createDataFrame([("report", paths[4]), ("a-b", "raw/lone.md")], "slug string, path string")
+    assert sorted(map(tuple, resolve.slug_collisions(raw, owners).collect())) == [x for x in want if x[1] != paths[4]]
