@@ -350,3 +350,21 @@ def test_slug_collisions_list_every_pair(spark, monkeypatch):
     assert sorted(map(tuple, resolve.slug_collisions(raw).select("slug", "path", "other").collect())) == want
     owners = spark.createDataFrame([("report", paths[4]), ("a-b", "raw/lone.md")], "slug string, path string")
     assert sorted(map(tuple, resolve.slug_collisions(raw, owners).collect())) == [x for x in want if x[1] != paths[4]]
+
+
+def test_lint_numbers_its_links_once(spark, monkeypatch):
+    made, real = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label="step": made.append(label) or real(df, label))
+    body = {"a": "[[b]] [[c]] [[ghost]]", "b": "[[c]] [[ghost]]", "c": "[[d]]", "d": "[[e]]", "e": "[[f]]", "f": "[[d]]", "g": "[[h]] [[h|twice]]", "h": "<!-- [[a]] -->\n[[g.md]] [[ | ]]"}
+    rows = spark.createDataFrame([(f"entities/{k}.md", k.upper(), "entity", [], [], t) for k, t in body.items()], "path string, title string, type string, aliases array<string>, sources array<string>, body string")
+    pages = adapters.as_pages(rows)
+    found = {(r.page, r.kind, r.detail) for r in checks.lint(pages, search.documents_of(pages)).collect()}
+    assert made.count("pairs") == 1 and made.count("numbered") == 1 and made.count("crossing") == 1
+    assert {("entities/g.md", "lint.isolated_community", "one of 2"), ("", "lint.missing_entity", "ghost: 2 pages"), ("entities/a.md", "lint.broken_link", "ghost"), ("entities/c.md", "lint.thin_intercommunity_link", "c - d")} <= found
+    links = resolve.page_links(pages)
+    assert sorted((r.source, r.pos, r.raw, r.stem) for r in links.where("path >= 'entities/g'").collect()) == [("g", 0, "h", "h"), ("g", 1, "h|twice", "h"), ("h", 0, "g.md", "g")]
+    assert links._jdf.queryExecution().optimizedPlan().toString().count(r"\.md$") == 2  # of the page and of the link, each computed once
+    nodes, edges = graph.graph_nodes(pages), graph.graph_edges(pages)
+    plain = sorted(map(tuple, graph.degrees(nodes, edges).collect()))
+    graph.numbered(edges)
+    assert sorted(map(tuple, graph.degrees(nodes, edges).collect())) == plain and plain
